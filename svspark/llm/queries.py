@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, minhash, substrings, tokens
+from . import capfilter, minhash, mixing, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return documents
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=50)
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_mixing": op7_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
