@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, minhash, mixing, packing, substrings, tokens, topk
+from . import capfilter, minhash, mixing, packing, substrings, tokens, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), ["quality", "toxic"])
+    return toxicity.score(docs, chain, "toxic")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -48,6 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_exact_top_k": op8_exact_top_k,
