@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, minhash, mixing, packing, substrings, tokens, topk, toxicity
+from . import capfilter, minhash, mixing, packing, substrings, tokens, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain, "toxic")
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op5_warc_bundles": op5_warc_bundles,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_exact_top_k": op8_exact_top_k,
@@ -64,6 +69,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op5_warc_bundles": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), k AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN keeper IS NULL OR keeper IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to
+        FROM k
+    """,
     "op8_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
