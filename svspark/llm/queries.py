@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, minhash, mixing, packing, substrings, tokens, topk, toxicity, warc
+from . import capfilter, html, minhash, mixing, packing, substrings, tokens, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain, "toxic")
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_html_main_text": op4_html_main_text,
     "op5_warc_bundles": op5_warc_bundles,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mixing": op7_mixing,
