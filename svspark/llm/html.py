@@ -59,7 +59,8 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, each with its place: apart, article, outside or plain.
 
     ``outside`` is text that isn't in the article of a page that has one, ``plain`` is text of a page
-    that doesn't say. Unclosed and crossing tags are read as browsers do, as far as boxes go.
+    that doesn't say. What an article holds of adverts, forms, asides or comments (an inset) is no part
+    of the sequence. Unclosed and crossing tags are read as browsers do, as far as boxes go.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # (element, what it makes of what is in it)
@@ -71,8 +72,9 @@ def blocks(page: str) -> list[Block]:
         nonlocal tags
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
-        if text:
-            out.append(Block(text, stack[-1][1] if stack else "plain", tags))
+        place = stack[-1][1] if stack else "plain"
+        if text and place != "inset":
+            out.append(Block(text, place, tags))
             tags = []
 
     for m in TOKEN.finditer(page):
@@ -108,8 +110,10 @@ def blocks(page: str) -> list[Block]:
             continue
         around = stack[-1][1] if stack else "plain"
         marks = _marks(m[3]) if m[3] else set()
-        if around == "apart" or name in APART or marks & MARKS:
-            place = "apart"
+        if around in ("apart", "inset"):
+            place = around
+        elif name in APART or marks & MARKS:
+            place = "inset" if around == "article" else "apart"
         elif around != "article" and (name == "header" or marks & HEADS):
             place = "apart"
         elif name in ("article", "main") or "main" in marks or "articlebody" in marks:
@@ -171,7 +175,9 @@ def main_text(page: str | None, weights: Weights) -> str:
     found = blocks(page or "")
     scores: list[float] = []
     for b in found:
-        scores += [sum(weights.tags[t] for t in b.tags), weights.words[b.place] * len(b.text.split())]
+        # what speaks against a block counts for two of its words at most: an advert doesn't end the run
+        weight, n = weights.words[b.place], len(b.text.split())
+        scores += [sum(weights.tags[t] for t in b.tags), weight * (n if weight > 0 else min(n, 2))]
     start, stop = best_run(scores)
     return "\n".join(b.text for i, b in enumerate(found) if start <= 2 * i + 1 < stop and weights.words[b.place] > 0)
 
