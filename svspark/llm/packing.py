@@ -89,8 +89,8 @@ def pack(
 ) -> DataFrame:
     """Pack every document: doc_id, piece, start, size (words), shard, bin, fill (words in the bin).
 
-    Documents longer than ``capacity`` are cut into full pieces, each a bin of its own, and a rest
-    that is packed like a short document. ``cluster`` names a column of duplicate clusters; without
+    Documents longer than ``capacity`` are cut into full pieces, each a bin of its own (with a shard
+    below 0), and a rest that is packed like a short document. ``cluster`` names a column of duplicate clusters; without
     it documents of equal text are one. Null sources and null clusters conflict with nothing. A
     document without words (null, empty or blank text) takes a bin number of -1 and no room. Rows
     that repeat are packed each, in different bins where text or cluster is equal. Extra columns
@@ -116,7 +116,7 @@ def pack(
         .withColumn("piece", F.explode(F.sequence(F.lit(0), full.cast("int") - 1)))
         .select(
             "doc_id", "row", "piece", (F.col("piece") * capacity).cast("long").alias("start"), F.lit(capacity).cast("long").alias("size"),
-            F.lit(-1).cast("long").alias("shard"), F.lit(None).cast("long").alias("bin"),
+            (-1 - F.col("piece")).cast("long").alias("shard"), F.col("row").alias("bin"),
         )
     )
     rest = rows.select(
@@ -141,7 +141,7 @@ def pack(
         .groupBy("shard")
         .applyInPandas(run, "doc_id long, row long, piece int, start long, size long, shard long, bin long")
     )
-    packed = cut(packed.unionByName(whole.withColumn("bin", F.col("row"))).unionByName(empty), "packed")
+    packed = cut(packed.unionByName(whole).unionByName(empty), "packed")
     fills = packed.where("shard >= 0").groupBy("shard", "bin").agg(F.sum("size").alias("fill"))
     return packed.join(fills, ["shard", "bin"], "left").select(
         F.col("doc_id").alias(doc_id), "piece", "start", "size", "shard", "bin", F.coalesce("fill", "size").alias("fill")
