@@ -104,4 +104,60 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), good AS (
+            SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v
+            WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+        ), walk(node, root) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION
+            SELECT l.b, w.root FROM walk w JOIN links l ON l.a = w.node WHERE l.b > w.root
+        ), comp AS (SELECT node, min(root) AS component_id FROM walk GROUP BY node),
+        n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v LEFT JOIN n ON n.a = v.vec_id JOIN comp c ON c.node = v.vec_id
+    """,
+    "op6_minhash_near_dedup": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + 4], ' ')) AS k
+            FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), near AS (
+            SELECT l.a, l.b FROM links l JOIN n x ON x.doc_id = l.a JOIN n y ON y.doc_id = l.b WHERE 100 * l.c >= 85 * (x.n + y.n - l.c)
+        ), walk(node, root) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT e.b, w.root FROM walk w JOIN near e ON e.a = w.node WHERE e.b > w.root
+        ), comp AS (SELECT node, min(root) AS component_id FROM walk GROUP BY node)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN comp c ON c.node = d.doc_id
+    """,
+    "op10_substring_dedup": """
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), win AS (
+            SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS k
+            FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)
+        ), firsts AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM win JOIN firsts USING (k) WHERE doc_id > first
+        ), each AS (
+            SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        ), removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(removed.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+    """,
 }
