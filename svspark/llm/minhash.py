@@ -7,7 +7,9 @@ threshold are left out. The rest is confirmed on the full shingle sets.
 
 Only components are asked for, so a bucket isn't expanded into pairs: its members are first linked
 with the member that meets most others; only members that this leaves in different components are
-paired, with bounds on size and estimate in the join itself.
+paired, and the join itself tests them: by the estimate, by what two sets can have in common at most,
+and, for sets that differ little from the first member's, by their exact number of common shingles,
+which follows from those differences.
 """
 
 from __future__ import annotations
@@ -214,7 +216,9 @@ def _links(source: DataFrame, reps: DataFrame, percent: int, width: int, longs:
         .select(F.col("rep").alias("a"), F.col("leader").alias("b"))
         .distinct()
     )
-    first = _confirm(source, _near(stars, slim, close), percent, width)
+    texts = source.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = cut(texts.select("doc_id", "text").mapInArrow(_full_sets(width), "rep long, shingles array<long>"), "sets")
+    first = _confirm(sets, _near(stars, slim, close), percent)
     label = components(first).withColumnRenamed("node", "rep")
 
     # second pass: members that their leader's component leaves out meet all others of the bucket
@@ -222,25 +226,52 @@ def _links(source: DataFrame, reps: DataFrame, percent: int, width: int, longs:
         members.join(leaders, ["band", "key"])
         .join(label, "rep", "left")
         .join(label.select(F.col("rep").alias("leader"), F.col("component").alias("chief")), "leader", "left")
-        .select("rep", "band", "key", F.coalesce("component", "rep").alias("component"), F.coalesce("chief", "leader").alias("chief"))
+        .select("rep", "leader", "band", "key", F.coalesce("component", "rep").alias("component"), F.coalesce("chief", "leader").alias("chief"))
     )
     split = left.where("component <> chief").select("band", "key").distinct()
-    open_ = cut(
-        left.join(split, ["band", "key"]).join(slim, "rep").select("band", "key", "component", "chief", "rep", "n", "packed"),
-        "open",
+    open_ = cut(left.join(split, ["band", "key"]).select("band", "key", "component", "chief", "leader", "rep"), "open")
+    alone = (
+        sets.join(open_.select("rep").distinct(), "rep")
+        .select("rep", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.count("*").alias("holders"), F.min("rep").alias("rep"))
+        .where("holders = 1")
+        .groupBy("rep")
+        .agg(F.count("*").alias("alone"))
     )
-    others = open_.where("component <> chief").drop("chief")
+    # how each member differs from its leader: what it lacks, and what it has besides
+    small = lambda c: F.when((F.size("lacks") <= 64) & (F.size("has") <= 64), F.col(c))
+    differ = (
+        open_.select("rep", "leader").distinct()
+        .join(sets.withColumnRenamed("shingles", "x"), "rep")
+        .join(sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("y")), "leader")
+        .select("rep", "leader", F.size("y").alias("whole"), F.array_except("y", "x").alias("lacks"), F.array_except("x", "y").alias("has"))
+        .join(alone, "rep", "left")
+        .select(
+            "rep", "leader", "whole", F.size("lacks").alias("n_lacks"), F.size("has").alias("n_has"), small("lacks").alias("lacks"), small("has").alias("has"),
+            F.greatest(F.size("has") - F.coalesce("alone", F.lit(0)), F.lit(0)).alias("n_has_shared"),
+        )
+    )
+    open_ = cut(open_.join(differ, ["rep", "leader"]).join(slim, "rep"), "open")
+    others = open_.where("component <> chief")
     second = open_.select(*[F.col(c).alias(c + "2") for c in open_.columns])
+    enough = lambda common: 100 * common >= percent * (F.col("n") + F.col("n2") - common)
+    # two sets share at most what both have of the leader, and of the rest what others have as well
+    most = F.col("whole") - F.greatest("n_lacks", "n_lacks2") + F.least("n_has_shared", "n_has_shared2")
+    exact = (
+        F.col("whole") - F.col("n_lacks") - F.col("n_lacks2")
+        + F.size(F.array_intersect("lacks", "lacks2")) + F.size(F.array_intersect("has", "has2"))
+    )
     pairs = others.join(
         second,
         (F.col("band") == F.col("band2"))
         & (F.col("key") == F.col("key2"))
         & (F.col("component") != F.col("component2"))
         & ((F.col("component2") == F.col("chief2")) | (F.col("rep") < F.col("rep2")))
-        & close,
+        & F.when(~enough(most), False).when(~close, False).when(F.col("lacks").isNull() | F.col("lacks2").isNull(), True).otherwise(enough(exact)),
     ).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = _confirm(source, pairs.join(done, ["a", "b"], "left_anti"), percent, width)
+    rest = _confirm(sets, pairs.join(done, ["a", "b"], "left_anti"), percent)
     return first.unionByName(rest)
 
 
@@ -250,12 +281,8 @@ def _near(pairs: DataFrame, slim: DataFrame, close: F.Column) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(close).select("a", "b")
 
 
-def _confirm(source: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full shingle sets meet the threshold."""
-    pairs = cut(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = source.join(needed, "doc_id", "left_semi").select("doc_id", "text")
-    sets = cut(texts.mapInArrow(_full_sets(width), "rep long, shingles array<long>"), "sets")
     both = pairs.join(sets.withColumnRenamed("rep", "a").withColumnRenamed("shingles", "x"), "a").join(
         sets.withColumnRenamed("rep", "b").withColumnRenamed("shingles", "y"), "b"
     )
