@@ -168,24 +168,31 @@ def genotype(ref_reads, alt_reads, error: float = 0.1, prior: float = 1 / 3, mos
     r, a = _c(ref_reads).cast("double"), _c(alt_reads).cast("double")
     total = r + a
     r0 = F.when(total > most, F.floor(most * r / total)).otherwise(r)
-    a0 = F.when(total > most, most - F.floor(most * r / total)).otherwise(a)
+    counts = F.struct(r0.alias("r"), F.when(total > most, most - r0).otherwise(a).alias("a"))
     rest = F.log10(F.lit((1 - prior) / 2))
-    logs = [
-        F.log10(F.lit(1 - error)) * r0 + F.log10(F.lit(error)) * a0 + rest,
-        F.log10(F.lit(0.5)) * (r0 + a0) + F.log10(F.lit(prior)),
-        F.log10(F.lit(error)) * r0 + F.log10(F.lit(1 - error)) * a0 + rest,
-    ]
-    top = F.greatest(*logs)
-    sum_ = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in logs[1:]), F.pow(F.lit(10.0), logs[0] - top)))
-    normal = [x - sum_ for x in logs]
-    p = [F.pow(F.lit(10.0), x) for x in normal]
-    pl = [F.rint(-10 * x).cast("int") for x in normal]
-    best = F.greatest(*normal)
-    gt = F.when(normal[0] == best, "0/0").when(normal[1] == best, "0/1").otherwise("1/1")
-    others = [1 - x for x in p]
-    gq = F.greatest(*[F.floor(-10 * F.log10(F.greatest(o, F.lit(1e-10)))).cast("int") for o in others])
-    qual = F.abs(F.rint(-100 * normal[0]) / 10)
-    return F.struct(gt.alias("gt"), F.array(*pl).alias("pl"), gq.alias("gq"), qual.alias("qual"))
+    yes, no, half = F.log10(F.lit(1 - error)), F.log10(F.lit(error)), F.log10(F.lit(0.5))
+
+    def logs(c: Column) -> Column:
+        return F.array(yes * c["r"] + no * c["a"] + rest, half * (c["r"] + c["a"]) + F.log10(F.lit(prior)), no * c["r"] + yes * c["a"] + rest)
+
+    def normal(x: Column) -> Column:
+        top = F.array_max(x)
+        sum_ = F.aggregate(x, F.lit(0.0), lambda acc, y: acc + F.pow(F.lit(10.0), y - top))
+        return F.transform(x, lambda y: y - top - F.log10(sum_))
+
+    def call(n: Column) -> Column:
+        # 1 - 10 ** x is floored where a genotype is all but certain
+        doubt = F.transform(n, lambda y: F.floor(-10 * F.log10(F.greatest(1 - F.pow(F.lit(10.0), y), F.lit(1e-10)))).cast("int"))
+        return F.struct(
+            F.element_at(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), F.array_position(n, F.array_max(n)).cast("int")).alias("gt"),
+            F.transform(n, lambda y: F.rint(-10 * y).cast("int")).alias("pl"), F.array_max(doubt).alias("gq"), F.abs(F.rint(-100 * n[0]) / 10).alias("qual"),
+        )
+
+    # each step is bound once by a one-element transform, so that the expression doesn't multiply
+    bound = F.array(counts)
+    for step in (logs, normal, call):
+        bound = F.transform(bound, step)
+    return bound[0]
 
 
 def corrected_genotype(svlen, gt, ratio, large_hom, small_hom, large_het, small_het, large: int = 1000) -> Column:
