@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Element names by their part in a page.
 SKIPPED = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "select", "textarea", "title", "head"}
+#: Of these, the ones whose content is text up to their closing tag, whatever looks like a tag in it.
+RAW = {"script", "style", "noscript", "iframe", "textarea", "title"}
 BOXES = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "article", "main", "section", "div", "body", "figure", "ul", "ol", "dl", "table", "button"}
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -30,9 +32,15 @@ MARKS = {"ad", "ads", "adv", "advert", "advertisement", "adverts", "banner", "br
 #: Of the same kind, but at the head of an article they belong to it.
 HEADS = {"header", "masthead", "topbar"}
 
+#: Elements in which an article is a teaser or a note.
+FAR = {"nav", "footer", "aside", "menu"}
+#: So many outermost boxes, one in the other, are tried without their marks; fewer words count as hardly any.
+OUTER, FEW = 8, 10
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
 )
+CLOSING = {name: re.compile(rf"<(/)({name})(?=[\s/>])([^>]*)>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
@@ -55,12 +63,21 @@ def _marks(attributes: str) -> set[str]:
     return found
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, each with its place: apart, article, outside or plain.
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and declarations of ``page``; inside a raw element none but its closing tag."""
+    m = TOKEN.search(page)
+    while m:
+        yield m
+        closing = CLOSING.get((m[2] or "").lower()) if not m[1] and not (m[3] or "").endswith("/") else None
+        m = (closing or TOKEN).search(page, m.end())
 
-    ``outside`` is text that isn't in the article of a page that has one, ``plain`` is text of a page
-    that doesn't say. What an article holds of adverts, forms, asides or comments (an inset) is no part
-    of the sequence. Unclosed and crossing tags are read as browsers do, as far as boxes go.
+
+def _read(page: str, outer: int, afresh: bool) -> tuple[list[Block], bool]:
+    """The text blocks of a page in order, and whether it has an article. Places are those of
+    ``blocks``, and ``held`` for text of an article inside a box that is apart by its marks.
+
+    Marks don't count on the body and on ``outer`` boxes around all others; with ``afresh`` a held
+    article is one. A main element is one wherever it stands, unless it's marked itself.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # (element, what it makes of what is in it)
@@ -77,7 +94,7 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, place, tags))
             tags = []
 
-    for m in TOKEN.finditer(page):
+    for m in _tokens(page):
         if not skip:
             held.append(page[last : m.start()])
         last = m.end()
@@ -110,12 +127,19 @@ def blocks(page: str) -> list[Block]:
             continue
         around = stack[-1][1] if stack else "plain"
         marks = _marks(m[3]) if m[3] else set()
-        if around in ("apart", "inset"):
+        if name == "body" or sum(n != "body" for n, _ in stack) < outer and name not in APART and "alert" not in marks:
+            marks -= MARKS | HEADS
+        if around == "apart" and name in ("article", "main") and not marks & MARKS and not any(n in FAR for n, _ in stack):
+            place = "article" if afresh or name == "main" else "held"
+            marked = marked or place == "article"
+        elif around in ("apart", "inset"):
             place = around
         elif name in APART or marks & MARKS:
-            place = "inset" if around == "article" else "apart"
-        elif around != "article" and (name == "header" or marks & HEADS):
+            place = "inset" if around in ("article", "held") else "apart"
+        elif around not in ("article", "held") and (name == "header" or marks & HEADS):
             place = "apart"
+        elif around == "held":
+            place = around
         elif name in ("article", "main") or "main" in marks or "articlebody" in marks:
             place, marked = "article", True
         else:
@@ -125,10 +149,34 @@ def blocks(page: str) -> list[Block]:
         tail = page[last:]
         held.append(tail[: tail.find("<")] if re.search(r"<[a-zA-Z/!?][^>]*\Z", tail) else tail)
     flush()
-    if marked:
-        for b in out:
-            b.place = "outside" if b.place == "plain" else b.place
-    return out
+    return out, marked
+
+
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page in order, each with its place: apart, article, outside or plain.
+
+    ``outside`` is text that isn't in the article of a page that has one, ``plain`` is text of a page
+    that doesn't say. What an article holds of adverts, forms, asides or comments (an inset) is no part
+    of the sequence. Unclosed and crossing tags are read as browsers do, as far as boxes go.
+
+    The marks of a box around the whole page say nothing about its text: if an article stands in a
+    marked box and holds more words than the rest, or hardly a word stands outside of such boxes,
+    the page is read again without the marks of its outermost boxes.
+    """
+    found, marked = _read(page, 0, False)
+    words = lambda place: sum(len(b.text.split()) for b in found if b.place == place)
+    if not marked and words("held") > words("plain"):
+        found, marked = _read(page, 0, True)
+    outer = 0
+    while not marked and outer < OUTER and words("plain") < min(FEW, words("apart") / FEW):
+        outer += 1
+        found, marked = _read(page, outer, False)
+    for b in found:
+        if b.place == "held":
+            b.place = "apart"
+        if marked and b.place == "plain":
+            b.place = "outside"
+    return found
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:

@@ -174,6 +174,32 @@ def test_main_text(page, text):
     assert html.main_text(page, html.fit(html.LABELLED)) == text
 
 
+STORY = "<h1>Rain</h1><p>After three days of rain the river left its bed and ran through the lower town.</p>"
+TOLD = "Rain\nAfter three days of rain the river left its bed and ran through the lower town."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<script>for(i=0;i<n;i++){{f(i)}}</script><article>{STORY}</article>",
+        f"<html><head><script>if(a<b)x='</head>';y='<body>'</script><title>1<b</title></head><body><article>{STORY}</article></body></html>",
+        f"<body><style>a<b{{}}</STYLE ><p></p><svg><style>x<y</style></svg>{STORY}</body>",
+        f"<body class='right-sidebar'>{STORY}</body>",
+        f"<body class='header-fixed'><nav><a>Home</a></nav>{STORY}<footer>f</footer></body>",
+        f"<body><a>Skip to content</a><div class='page has-sidebar'><article>{STORY}<div class='ad'>Buy it</div></article><div class='sidebar'>More</div></div></body>",
+        f"<body><div class='page has-sidebar'><main>{STORY}</main><aside>More to read</aside></div></body>",
+        f"<body><header>Site</header><div id='root'><div class='with-nav'><div>{STORY}</div><div class='sidebar'>More</div></div></div></body>",
+        f"<form class='search'><article>{STORY}</article></form>",
+        # still apart: articles that are teasers or comments beside the text
+        f"<div>{STORY}</div><aside><article>{'teaser words ' * 40}</article></aside>",
+        f"<div>{STORY}</div><div class='comments'>{'<article class=comment>very nice</article>' * 40}</div>",
+        f"<article>{STORY}</article><div class='related'><article>{'other words ' * 40}</article></div>",
+    ],
+)
+def test_scripts_and_outer_boxes_do_not_swallow_the_article(page):
+    assert html.main_text(page, html.fit(html.LABELLED)) == TOLD
+
+
 def test_best_run_is_the_best_of_all_runs():
     r = random.Random(1)
     for _ in range(300):
