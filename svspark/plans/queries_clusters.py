@@ -175,8 +175,8 @@ def alleles(spark, d):
     "A17_complete_linkage",
 )
 def complete_linkage(spark, d):
-    rows = A.sigs(spark, d).where("mapq >= 50").select("chrom", "svtype", "pos", "svlen").distinct()
-    found = C.complete_linkage(rows, ["chrom", "svtype"], "pos", "svlen", 200, most=10, gap=100)
+    rows = A.sigs(spark, d).select("chrom", "svtype", "pos", "svlen").distinct()
+    found = C.complete_linkage(rows, ["chrom", "svtype"], "pos", "svlen", 200)
     return found.groupBy("chrom", "svtype", "_island", "cluster").agg(F.min("pos").alias("pos"), F.max("svlen").alias("svlen"), F.count("*").alias("n")).drop("_island", "cluster")
 
 

@@ -14,6 +14,8 @@ from svspark.operators import matching as M
 from svspark.operators import segments as S
 from svspark.sources import tables as T
 
+from .conftest import SF
+
 OPS = "MIDNSHP=X"
 
 
@@ -135,6 +137,37 @@ def test_first_fit_and_leaders_against_plain_loops(spark):
     assert C.leaders(df, ["chrom", "svtype"], 100, 0.5, ["rname"]).agg(F.sum("n")).first()[0] == len(rows)
 
 
+def test_complete_linkage_keeps_every_signature(spark):
+    """Islands of more than ten members too: each signature in one cluster, those of plain loops."""
+    r = random.Random(8)
+    spots = [("chr1", "DEL", 10_000 * k + r.randint(0, 60 * n), 50 + r.randint(0, 90)) for k, n in enumerate((1, 3, 10, 11, 40, 90)) for _ in range(n)]
+    spots = sorted({*spots, *[("chr2", "INS", 100 * k, 50) for k in range(30)]})  # a chain of ties
+    df = spark.createDataFrame(spots, "chrom string, svtype string, pos long, svlen long")
+    found = C.complete_linkage(df, ["chrom", "svtype"], "pos", "svlen", 200).collect()
+    want = set()
+    for chrom in ("chr1", "chr2"):
+        left = [[s[2:]] for s in spots if s[0] == chrom]
+        far = lambda a, b: max(abs(p - q) + abs(m - n) for p, m in a for q, n in b)
+        while True:
+            d, a, b = min((far(left[a], left[b]), a, b) for a in range(len(left)) for b in range(a + 1, len(left)))
+            if d > 200:
+                break
+            left[a] += left.pop(b)
+        want |= {(chrom, frozenset(c)) for c in left}
+    got = {}
+    for row in found:
+        got.setdefault((row["chrom"], row["_island"], row["cluster"]), []).append((row["pos"], row["svlen"]))
+    assert len(found) == len(spots)
+    assert {(k[0], frozenset(v)) for k, v in got.items()} == want
+
+
+def test_complete_linkage_query_reads_all_signatures(spark):
+    from svspark.plans import QUERIES, adapters
+
+    rows = adapters.sigs(spark, SF).select("chrom", "svtype", "pos", "svlen").distinct()
+    assert QUERIES["A17_complete_linkage"](spark, SF).agg(F.sum("n")).first()[0] == rows.count()
+
+
 def test_haplotype_pairs_use_each_call_once(spark):
     one, two = random_sigs(80, 7), random_sigs(80, 8)
     found = M.pair_haplotypes(sig_frame(spark, one), sig_frame(spark, two), ["chrom", "svtype"]).groupBy("gt").count().collect()
