@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import BIN
+
 #: Size limits of the evaluation bins.
 SIZE_CUTS = [50, 100, 200, 400, 800, 1000, 2000, 3000, 4000, 5000, 6000, 7000, 8000, 9000, 10000, 50000]
 
@@ -69,19 +74,46 @@ def strand_ratio(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(w.alias("w"), c.alias("c")).withColumn("ratio", F.round(F.try_divide(F.col("c") - F.col("w"), F.col("c") + F.col("w")), 6))
 
 
-def switch_flags(snps: DataFrame, block: list[str], pos: str, phase: str) -> DataFrame:
+def _with_bins(rows: DataFrame, bins: DataFrame, block: list[str]) -> DataFrame:
+    """``rows`` with the columns that ``bins`` has for their (block, bin), which may be null."""
+    for c in [*block, "_bin"]:
+        bins = bins.withColumnRenamed(c, "_of_" + c)
+    same = [F.col(c).eqNullSafe(F.col("_of_" + c)) for c in [*block, "_bin"]]
+    return rows.join(bins, reduce(and_, same)).drop(*["_of_" + c for c in [*block, "_bin"]])
+
+
+def _neighbours(rows: DataFrame, block: list[str], order: list[str], value: str) -> DataFrame:
+    """Adds ``_prev`` and ``_next``: the ``value`` of the rows before and after in the block, as structs
+    that are null at its ends. Rows are ordered in bins; what crosses a border comes from one row a bin."""
+    inside, across = Window.partitionBy(*block, "_bin").orderBy(*order), Window.partitionBy(*block).orderBy("_bin")
+    v = F.struct(F.col(value).alias("v"))
+    ends = rows.groupBy(*block, "_bin").agg(F.min_by(v, F.struct(*order)).alias("_first"), F.max_by(v, F.struct(*order)).alias("_last"))
+    ends = ends.select(*block, "_bin", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    rows = rows.withColumn("_prev", F.lag(v).over(inside)).withColumn("_next", F.lead(v).over(inside))
+    rows = _with_bins(rows, ends, block)
+    return rows.withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_after")).drop("_before", "_after")
+
+
+def switch_flags(snps: DataFrame, block: list[str], pos: str, phase: str, width: int = BIN) -> DataFrame:
     """Marks phase switches against the SNP before in the block: adds switch (0, 1) and, by the SNPs
     next to it, its class: POINT if the neighbour switches too, else LONG."""
-    w = Window.partitionBy(*block).orderBy(pos)
-    rows = snps.withColumn("switch", F.when(F.lag(phase).over(w) != F.col(phase), 1).otherwise(0))
-    near = (F.coalesce(F.lag("switch").over(w), F.lit(0)) + F.coalesce(F.lead("switch").over(w), F.lit(0))) > 0
-    return rows.withColumn("kind", F.when(F.col("switch") == 0, "CORRECT").when(near, "POINT").otherwise("LONG"))
+    rows = _neighbours(snps.withColumn("_bin", F.floor(F.col(pos) / width)), block, [pos, phase], phase)
+    rows = rows.withColumn("switch", F.when(F.col("_prev.v") != F.col(phase), 1).otherwise(0)).drop("_prev", "_next")
+    rows = _neighbours(rows.withColumn("_steady", 1 - F.col("switch")), block, [pos, phase, "_steady"], "switch")
+    near = (F.coalesce("_prev.v", F.lit(0)) + F.coalesce("_next.v", F.lit(0))) > 0
+    rows = rows.withColumn("kind", F.when(F.col("switch") == 0, "CORRECT").when(near, "POINT").otherwise("LONG"))
+    return rows.select(*snps.columns, "switch", "kind")
 
 
-def blocks_between_errors(snps: DataFrame, block: list[str], pos: str) -> DataFrame:
+def blocks_between_errors(snps: DataFrame, block: list[str], pos: str, width: int = BIN) -> DataFrame:
     """Splits blocks at switches and returns each piece: block, piece, start, end, n."""
-    w = Window.partitionBy(*block).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    rows = snps.withColumn("piece", F.sum("switch").over(w))
+    rows = snps.withColumn("_bin", F.floor(F.col(pos) / width))
+    inside = Window.partitionBy(*block, "_bin").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*block).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*block, "_bin").agg(F.sum("switch").alias("_n"))
+    sums = sums.select(*block, "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rows = _with_bins(rows.withColumn("_in", F.sum("switch").over(inside)), sums, block)
+    rows = rows.withColumn("piece", F.col("_off") + F.col("_in"))
     return rows.groupBy(*block, "piece").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("n"))
 
 

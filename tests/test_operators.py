@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,40 @@ def test_first_fit_and_leaders_against_plain_loops(spark):
     assert C.leaders(df, ["chrom", "svtype"], 100, 0.5, ["rname"]).agg(F.sum("n")).first()[0] == len(rows)
 
 
+@pytest.mark.parametrize("width", [7, 100, 10**6])
+def test_switches_do_not_depend_on_bins(spark, width):
+    r = random.Random(5)
+    rows = [(b, p, r.choice([0, 0, 0, 1, None])) for b in ("chr1", "chr2", None) for p in sorted(r.sample(range(400), 90))]
+    df = spark.createDataFrame(rows, "chrom string, pos long, phase int")
+    flags = E.switch_flags(df, ["chrom"], "pos", "phase", width)
+    want, pieces = [], []
+    for b in ("chr1", "chr2", None):
+        of = [x for x in rows if x[0] == b]
+        s = [int(i > 0 and None not in (x[2], of[i - 1][2]) and x[2] != of[i - 1][2]) for i, x in enumerate(of)]
+        for i, x in enumerate(of):
+            near = any(s[k] for k in (i - 1, i + 1) if 0 <= k < len(s))
+            want.append((*x, s[i], "CORRECT" if not s[i] else "POINT" if near else "LONG"))
+        for k in range(sum(s) + 1):
+            at = [x[1] for i, x in enumerate(of) if sum(s[: i + 1]) == k]
+            pieces.append((b, k, at[0], at[-1], len(at)))
+    assert sorted(map(tuple, flags.collect()), key=repr) == sorted(want, key=repr)
+    found = E.blocks_between_errors(flags, ["chrom"], "pos", width).select("chrom", "piece", "start", "end", "n").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(pieces, key=repr)
+    # a whole block is never sorted in one task: windows over rows are per bin
+    plan = E.switch_flags(df, ["chrom"], "pos", "phase", width)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_bin" in line for line in plan.splitlines() if "Window [lag(" in line or "Window [lead(" in line)
+
+
+def test_first_fit_over_a_long_chain(spark):
+    """One island of 60,000 rows in which a new cluster opens again and again: those out of reach must not be scanned."""
+    n = 60_000
+    df = spark.range(n).selectExpr("'chr1' AS chrom", "id * 50 AS s", "(id * 7919 % 60013) * 1000 AS e")
+    start = time.time()
+    found = C.first_fit(df, ["chrom"], "s", "e", 100, [])
+    assert found.agg(F.count("*"), F.count_distinct("_island"), F.max("cluster")).first() == (n, 1, n - 1)
+    assert time.time() - start < 60
+
+
 def test_complete_linkage_keeps_every_signature(spark):
     """Islands of more than ten members too: each signature in one cluster, those of plain loops."""
     r = random.Random(8)
