@@ -8,6 +8,7 @@ filter on ``doc_id`` skip pages and a metadata query skip the token column.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -25,25 +26,53 @@ GAP = re.compile(r"\s ")
 SPACES = re.compile(r"\s\s|^\s|\s$")
 CUT = re.compile(r"(?<=\S)(?= )")
 
+#: Words remembered at a time, in each of two tables, and their greatest length.
+LIMIT, LONGEST = 700_000, 40
+#: Below this code point every library agrees on what a letter is.
+LETTERS = "\u0530"
+
 SCHEMA = "doc_id long, shard int, seq long, shard_start long, n_tokens int, tokens array<int>"
 
 
+def byte_level(file: dict) -> bool:
+    """Whether a tokenizers file is a plain byte-level BPE, whose texts may be cut before spaces."""
+    step, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    return (
+        file.get("normalizer") is None
+        and step.get("type") == "ByteLevel"
+        and not step.get("add_prefix_space")
+        and step.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        and all(t.get("special") for t in file.get("added_tokens") or [])
+    )
+
+
 class Words(dict):
-    """Word -> the ids of ``before`` + word as bytes; what isn't known yet is encoded."""
+    """Word -> the ids of ``before`` + word as bytes; what isn't known yet is encoded.
+
+    Only short words are remembered, so that ``LIMIT`` of them is a bound in bytes too (about 170 MB).
+    """
 
     def __init__(self, encoder: Encoder, before: str):
         self.encoder, self.before = encoder, before
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            ids = self[word] = self.encoder.model_ids(self.before + word)
+        if word.isalpha() and max(word) < LETTERS:
+            ids = self.encoder.model_ids(self.before + word)
         elif word[:-1].isalpha() and word[-1] in ",.:;!?":
-            ids = self[word[:-1]] + self.encoder.mark(word[-1])  # not kept: both parts are
+            return self[word[:-1]] + self.encoder.mark(word[-1])  # not kept: both parts are
         elif "\n" in word and not SPACES.search(word):
-            head, _, tail = word.partition("\n")
-            ids = self[head] + self.encoder.mark("\n") + self.encoder.bare[tail]
+            # a single line feed between two words is a piece of its own
+            head, *lines = word.split("\n")
+            feed, bare = self.encoder.mark("\n"), self.encoder.bare
+            return self[head] + b"".join([x for line in lines for x in (feed, bare[line])])
         else:
-            ids = self[word] = self.encoder.whole(self.before + word)
+            ids = self.encoder.whole(self.before + word)
+        if len(word) <= LONGEST:
+            if len(self) >= LIMIT:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -52,16 +81,18 @@ class Encoder:
 
     A space after a character that isn't white space always starts a new piece in a byte-level
     tokenizer, so a text may be cut there and each part encoded alone. Words of letters go to the
-    tokenizer's model directly, everything else through the whole tokenizer. ``limit`` bounds the
-    words remembered, not the words encoded.
+    tokenizer's model directly, everything else through the whole tokenizer. A file with any other
+    normalizer, pre-tokenizer, model or ordinary added tokens is used on whole texts alone.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.limit = self.tokenizer.model, limit
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            self.plain = byte_level(json.load(f))
         # Byte-level models read bytes as printable characters: those that print stand for
         # themselves, the others take the code points from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,9 +113,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        for known in (self.words, self.bare):
-            if len(known) > self.limit:
-                known.clear()
+        if not self.plain:
+            return self.whole(text)
         if GAP.search(text):
             head, *rest = CUT.split(text)
             rest = [x[1:] for x in rest]

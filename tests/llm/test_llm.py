@@ -62,6 +62,19 @@ def test_encoder_agrees_with_the_tokenizer():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["\n".join(["abc"] * 20_000), "\n".join(f"w{i % 999}." for i in range(5000)), "a\n\nb " * 500, "x" * 100_000, "ab\n" * 3000])
+def test_encoder_on_lines_of_single_words(text):
+    enc = tokens.Encoder(TOKENIZER)
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_with_a_tokenizer_that_is_not_byte_level():
+    enc = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Some Words, and\n more   words"
+    assert not enc.plain and tokens.Encoder(TOKENIZER).plain
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs):
     written = tokens.encode_table(docs, TOKENIZER, 2)
     found = tokens.token_digest(written).collect()
