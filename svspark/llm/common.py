@@ -16,10 +16,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for ``name`` below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is absent (tests, one machine) a temporary folder takes its place.
+    Where that setting is absent a temporary folder takes its place on a local master; on a cluster
+    executors would write to different disks, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,6 +38,22 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "size", most: int = 50_000) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row a key and in ``size`` how many of ``rows`` it has.
+
+    The rows of a crowded key don't meet in one task: keys that hold over a ``most``-th of all grouped
+    rows, at most ``most`` of them whatever the input, are broadcast and meet their rows where these
+    are; the others are joined by a shuffle. ``groups`` should be written (:func:`cut`), as it is
+    read three times.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
+    bar = max(1000, total // most)
+    crowded = groups.where(F.col(size) > bar)
+    here = rows.join(F.broadcast(crowded), on)
+    rest = rows.join(F.broadcast(crowded.select(*on)), on, "left_anti").join(groups.where(F.col(size) <= bar), on)
+    return here.unionByName(rest)
+
+
 def n_words(text: str) -> F.Column:
     """Number of words of a text column; 0 for null."""
     return F.coalesce(F.size(F.filter(F.split(F.col(text), SPACE), lambda w: w != "")), F.lit(0)).cast("long")

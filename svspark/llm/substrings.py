@@ -18,8 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_group
 
+#: What tells rows apart: the id, and a hash of id and text.
+ROW = ["doc_id", "row_key"]
 MULTIPLIERS = np.random.default_rng(23).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -84,14 +86,14 @@ def _lists(rows: list[np.ndarray], kind: type) -> pa.Array:
 
 
 def _first_level(width: int, window: int):
-    """(doc_id, text) -> (doc_id, n_words, sha256 of all words, hashes and positions of the picked windows)."""
+    """(doc_id, row_key, text) -> (doc_id, row_key, n_words, sha256 of all words, hashes and positions of the picked windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n, digests, hashes, positions = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     words = words_of(text)
                     h = window_hashes(words, width) if len(words) >= window else np.empty(0, dtype=np.uint64)
                     p = picked(h, width + 1)
@@ -101,24 +103,24 @@ def _first_level(width: int, window: int):
                     positions.append(p.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()),
+                        part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.string()),
                         _lists(hashes, np.int64), _lists(positions, np.int32),
                     ],
-                    names=["doc_id", "n_words", "sha", "hashes", "positions"],
+                    names=["doc_id", "row_key", "n_words", "sha", "hashes", "positions"],
                 )
 
     return run
 
 
 def _next_level(width: int):
-    """(doc_id, text, positions of repeated windows of ``width``) -> with the windows of twice that holding one."""
+    """(doc_id, row_key, text, positions of repeated windows of ``width``) -> with the windows of twice that holding one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 hashes, positions = [], []
-                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for text, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     h = window_hashes(words_of(text), 2 * width)
                     mark = np.zeros(len(h) + 1, dtype=np.int32)
                     p = np.array(found)
@@ -128,26 +130,25 @@ def _next_level(width: int):
                     hashes.append(h[starts].view(np.int64))
                     positions.append(starts.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), _lists(hashes, np.int64), _lists(positions, np.int32)],
-                    names=["doc_id", "text", "hashes", "positions"],
+                    [*part.columns[:3], _lists(hashes, np.int64), _lists(positions, np.int32)],
+                    names=["doc_id", "row_key", "text", "hashes", "positions"],
                 )
 
     return run
 
 
 def _strip(window: int):
-    """(doc_id, text, starts) -> what is left of each text once the windows at ``starts`` are gone."""
+    """(doc_id, row_key, text, starts) -> what is left of each text once the windows at ``starts`` are gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 removed, digests, texts = [], [], []
-                for text, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for text, starts in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     words = words_of(text)
                     gone = np.zeros(len(words) + 1, dtype=np.int64)
                     starts = np.array(starts)
-                    starts = starts[starts + window <= len(words)]  # beyond it only if an id repeats
                     gone[starts] = 1
                     gone[starts + window] -= 1
                     gone = np.cumsum(gone[:-1]) > 0
@@ -156,31 +157,38 @@ def _strip(window: int):
                     digests.append(hashlib.sha256(kept).hexdigest())
                     texts.append(kept.decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
-                    names=["doc_id", "n_gone", "rest_sha", "rest"],
+                    [*part.columns[:2], pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
+                    names=["doc_id", "row_key", "n_gone", "rest_sha", "rest"],
                 )
 
     return run
 
 
-def _in_larger(rows: DataFrame) -> DataFrame:
-    """Of (doc_id, hash, position) those whose hash some smaller document has too: (doc_id, position)."""
-    first = rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return rows.join(first.select("hash", "first"), "hash").where("doc_id > first").select("doc_id", "position")
-
-
-def _in_two(rows: DataFrame) -> DataFrame:
-    """Of (doc_id, hash, position) those whose hash two documents have: (doc_id, position)."""
-    first = rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return rows.join(first.select("hash"), "hash", "left_semi").select("doc_id", "position")
+def _shared(rows: DataFrame) -> DataFrame:
+    """The hashes of (doc_id, row_key, hash, position) that two documents have: hash, first, size."""
+    return cut(
+        rows.groupBy("hash")
+        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
+        .where("first < last")
+        .select("hash", "first", "size"),
+        "shared",
+    )
 
 
 def _flat(lists: DataFrame) -> DataFrame:
-    return lists.select("doc_id", F.explode(F.arrays_zip("hashes", "positions")).alias("w")).select(
-        "doc_id", F.col("w.hashes").alias("hash"), F.col("w.positions").alias("position")
+    return lists.select("doc_id", "row_key", F.explode(F.arrays_zip("hashes", "positions")).alias("w")).select(
+        "doc_id", "row_key", F.col("w.hashes").alias("hash"), F.col("w.positions").alias("position")
     )
 
 
+def _spots(rows: DataFrame, name: str, later: bool = False) -> DataFrame:
+    """Per (doc_id, row_key) the positions whose hash another document has; with ``later`` one with a smaller id."""
+    found = with_group(rows, _shared(rows), ["hash"])
+    if later:
+        found = found.where("doc_id > first")
+    return found.groupBy(*ROW).agg(F.collect_set("position").alias(name))
+
+
 def remove_repeats(
     docs: DataFrame, window: int = 50, levels: int = 2, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False
 ) -> DataFrame:
@@ -192,59 +200,88 @@ def remove_repeats(
 
     ``window`` must be divisible by 2 ** (levels - 1); the first level compares windows of
     ``window / 2 ** (levels - 1)`` words. Null, empty and blank texts have no words. Rows with a
-    null id neither remove nor lose words. Ids are taken to be unique; of rows that repeat an id
-    each is returned, and they don't remove from each other. Other columns aren't read. An empty
-    table gives no rows.
+    null id neither remove nor lose words. Rows that repeat an id are documents of their own with
+    equal ids: each is returned once, and they don't remove from each other. Other columns aren't
+    read. An empty table gives no rows.
 
     Documents with equal word sequences need no windows: all but the least id lose every word that
     a window covers. Hashes have 64 bits. Tasks see ranges of documents or of hashes; a frequent
-    window is met by an aggregate and by a join whose crowded side can be split. The texts are
-    shuffled once, to meet their candidates.
+    window is met by an aggregate and its rows by a broadcast of the few frequent ones. The texts of
+    candidates are shuffled once, to meet their windows; rows are told apart by id and text.
+    """
+    found = _outcome(docs, window, levels, doc_id, text)
+    columns = [F.col("doc_id").alias(doc_id), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if keep_text else [])]
+    return found.select(*columns)
+
+
+def without_repeats(docs: DataFrame, window: int = 50, levels: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, with the words gone that :func:`remove_repeats` removes.
+
+    A document that loses words keeps the others joined by single spaces; one that loses all of them
+    is out. Rows that lose none stay as they are, also those with null ids and texts; equal rows are
+    each kept or cut alike. Extra columns may have any names.
     """
+    changed = _outcome(docs, window, levels, doc_id, text).where("n_removed > 0").dropDuplicates(ROW)
+    changed = changed.select(
+        F.col("doc_id").alias("__cut_id"), F.col("row_key").alias("__cut_key"), F.col("kept_text").alias("__cut_text")
+    )
+    key = _row_key(doc_id, text)
+    joined = docs.withColumn("__own_key", key).join(
+        changed, (F.col(doc_id).cast("long") == F.col("__cut_id")) & (F.col("__own_key") == F.col("__cut_key")), "left"
+    )
+    return joined.where("__cut_text is null or __cut_text <> ''").select(
+        *[F.coalesce("__cut_text", text).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    )
+
+
+def _row_key(doc_id: str, text: str) -> F.Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
+def _outcome(docs: DataFrame, window: int, levels: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, row_key, n_words, n_removed, kept_sha256 and kept_text of every row of ``docs``."""
     width = window >> (levels - 1)
     if width << (levels - 1) != window or width < 1 or levels < 2:
         raise ValueError("window must be divisible by 2 ** (levels - 1), and levels at least 2")
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kinds = "doc_id long, n_words long, sha string, hashes array<long>, positions array<int>"
+    # equal rows have equal keys, and equal results
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
+    kinds = "doc_id long, row_key long, n_words long, sha string, hashes array<long>, positions array<int>"
     each = cut(source.mapInArrow(_first_level(width, window), kinds), "picked")
-    firsts = (
-        each.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .where("first < last").select("sha", "first")
+    firsts = cut(
+        each.where("doc_id is not null").groupBy("sha")
+        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
+        .where("first < last").select("sha", "first", "size"),
+        "firsts",
     )
+    copies = with_group(each.select(*ROW, "sha"), firsts, ["sha"]).where("doc_id > first").select(*ROW).distinct()
     each = cut(
-        each.join(firsts, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first"),
+        each.join(copies.withColumn("found", F.lit(True)), ROW, "left").withColumn("copy", F.coalesce("found", F.lit(False))).drop("found"),
         "sequences",
     )
-    found = _in_two(_flat(each.where("not copy and doc_id is not null")))
+    spots = _spots(_flat(each.where("not copy and doc_id is not null")), "positions")
     while True:
-        spots = found.groupBy("doc_id").agg(F.collect_set("position").alias("positions"))
+        # a key's rows are equal: one of them stands for all
         wider = cut(
-            source.join(spots, "doc_id")
-            .select("doc_id", "text", "positions")
-            .mapInArrow(_next_level(width), "doc_id long, text string, hashes array<long>, positions array<int>"),
+            source.join(spots, ROW)
+            .groupBy(*ROW).agg(F.first("text").alias("text"), F.first("positions").alias("positions"))
+            .mapInArrow(_next_level(width), "doc_id long, row_key long, text string, hashes array<long>, positions array<int>"),
             "windows",
         )
         width *= 2
         if width == window:
             break
-        found = _in_two(_flat(wider))
-    starts = _in_larger(_flat(wider)).groupBy("doc_id").agg(F.collect_set("position").alias("starts"))
+        spots = _spots(_flat(wider), "positions")
     rests = (
-        wider.select("doc_id", "text")
-        .join(starts, "doc_id")
-        .mapInArrow(_strip(window), "doc_id long, n_gone long, rest_sha string, rest string")
+        wider.select(*ROW, "text")
+        .join(_spots(_flat(wider), "starts", later=True), ROW)
+        .mapInArrow(_strip(window), "doc_id long, row_key long, n_gone long, rest_sha string, rest string")
     )
-    if not keep_text:
-        rests = rests.drop("rest")
     whole = F.col("copy") & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
-    out = each.select("doc_id", "n_words", "sha", "copy").join(rests, "doc_id", "left")
-    columns = [
-        F.col("doc_id").alias(doc_id),
+    return each.select(*ROW, "n_words", "sha", "copy").join(rests, ROW, "left").select(
+        *ROW,
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_gone", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("rest_sha", "sha")).alias("kept_sha256"),
-    ]
-    if keep_text:
-        columns.append(F.when(whole, F.lit("")).otherwise(F.col("rest")).alias("kept_text"))
-    return out.select(*columns)
+        F.when(whole, F.lit("")).otherwise(F.col("rest")).alias("kept_text"),
+    )

@@ -417,6 +417,28 @@ def stripped(rows, window):
     return out
 
 
+def losing_docs():
+    """Repeated rows that lose words, ids shared by different texts, and columns with clashing names."""
+    r = random.Random(31)
+    passage, tail = words(60, r), words(20, r)
+    rows = [(1, passage + " " + words(5, r)), (2, tail + " " + passage), (2, tail + " " + passage), (2, passage), (2, words(70, r)), (2, passage)]
+    rows += [(3, words(12, r) + " " + passage + " end"), (None, passage), (None, passage), (4, None), (4, ""), (5, passage + " " + words(3, r))]
+    return [(i, t, "n", 7, "k", "t") for i, t in rows]
+
+
+def test_substring_dedup_keeps_the_number_of_rows(spark):
+    rows = losing_docs()
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string, row_key long, kept_id string, kept_text string")
+    found = [(x["doc_id"], x["n_words"], x["n_removed"]) for x in substrings.remove_repeats(df).collect()]
+    n = [(i, len((t or "").split())) for i, t, *_ in rows]
+    assert sorted((i or 0, k) for i, k, _ in found) == sorted((i or 0, k) for i, k in n)
+    assert sorted(r for i, _, r in found if i == 2) == [0, 60, 60, 60, 60]
+    kept = substrings.without_repeats(df)
+    assert kept.columns == df.columns
+    left = sorted((r["doc_id"] or 0, len((r["text"] or "").split())) for r in kept.collect())
+    assert left == [(0, 60), (0, 60), (1, 65), (2, 20), (2, 20), (2, 70), (3, 13), (4, 0), (4, 0), (5, 3)]
+
+
 @pytest.mark.parametrize(("window", "levels"), [(50, 2), (24, 4), (8, 3)])
 def test_substring_dedup_against_all_windows(spark, docs, window, levels):
     want = stripped(messy_docs(), window)
