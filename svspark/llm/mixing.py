@@ -93,32 +93,44 @@ def mix(
     source: str = "source",
     block: int = 1024,
     max_repeats: int = 3,
-    parts: int = 256,
+    part_rows: int = 20_000,
     seed: int = 17,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs``: (documents, draws).
 
     documents: doc_id, size (words), source_size, target, taken (words that the mix takes, repeats
-    counted). draws: one row per slot and piece of a document: slot, doc_id, start, words, so that
-    draws in slot order are the mixed stream. Null text has size 0; null sources are one source;
-    rows that repeat an id are documents of their own with equal ids. Extra columns aren't read. An
-    empty table gives no rows.
+    counted), first_slot (the earliest slot of the schedule that takes some of it, null if none does)
+    and draws (how many slots take some). draws: one row per slot and piece of a document: slot,
+    doc_id, start, words, so that draws in slot order are the mixed stream. Null text has size 0; null
+    sources are one source; rows that repeat an id are documents of their own with equal ids. Extra
+    columns aren't read. An empty table gives no rows.
 
     A source's words are taken up to its target, rounded down to whole words: its last block is cut.
-    Documents are shuffled by a hash of id and seed, so reruns agree. Running sums go over ``parts``
-    ranges of the hash in each source and then over the ranges, so that a source with a third of all
-    rows is spread over many tasks.
+    Documents are shuffled by a hash of id, text and seed, so reruns agree. Running sums go over
+    ranges of the hash of about ``part_rows`` rows in each source and then over the ranges, so that a
+    source with a third of all rows is spread over many tasks. A table of sources is met by windows
+    without a key: sources must be few against rows, as names of collections are.
     """
+    documents, draws, _ = _mix(docs, doc_id, text, source, block, max_repeats, part_rows, seed)
+    names = ["size", "source_size", "target", "taken", "first_slot", "draws"]
+    return documents.select(F.col("doc_id").alias(doc_id), *names), draws.drop("row")
+
+
+def _mix(
+    docs: DataFrame, doc_id: str, text: str, source: str, block: int = 1024, max_repeats: int = 3, part_rows: int = 20_000, seed: int = 17
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with ``row`` and ``order``, draws with ``row``, targets)."""
     rows = cut(
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             n_words(text).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("order"),
-            F.monotonically_increasing_id().alias("row"),  # tells rows apart that are equal
+            _order(doc_id, text, source, seed).alias("order"),
+            F.monotonically_increasing_id().alias("row"),  # tells equal rows apart, which change places freely
         ),
         "sizes",
     )
+    parts = max(16, -(-rows.count() // part_rows))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut(
         source_targets(sizes, max_repeats)
@@ -145,7 +157,7 @@ def mix(
     placed = cut(
         placed.withColumn("begin", F.coalesce(F.sum("size").over(in_part), F.lit(0)))
         .join(offsets, ["rank", "part"])
-        .select("rank", "doc_id", "row", "size", "source_size", "target", (F.col("offset") + F.col("begin")).alias("begin")),
+        .select("rank", "doc_id", "row", "order", "size", "source_size", "target", (F.col("offset") + F.col("begin")).alias("begin")),
         "placed",
     )
     pieces = (
@@ -171,28 +183,53 @@ def mix(
         .where("n > 0")
         .select("slot", "row", "doc_id", (F.col("low") - F.col("begin")).alias("start"), F.col("n").alias("words"))
     )
-    taken = draws.groupBy("row").agg(F.sum("words").alias("got"))
+    taken = draws.groupBy("row").agg(F.sum("words").alias("got"), F.min("slot").alias("first_slot"), F.count("*").alias("draws"))
     documents = placed.join(taken, "row", "left").select(
-        F.col("doc_id").alias(doc_id), "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken")
-    )
-    return documents, draws
+        "doc_id", "row", "order", "size", "source_size", "target",
+        F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("draws", F.lit(0)).alias("draws"),
+    )
+    return documents, draws, targets
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """Whole documents of the mix: every row as often as the mix takes most of it.
+def _order(doc_id: str, text: str, source: str, seed: int) -> F.Column:
+    return F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), F.col(source))
+
+
+def mixed_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, **settings
+) -> DataFrame:
+    """Whole documents of the mix, in its order: every row as often as the mix takes most of it.
 
     A document is in as many times as the words taken from it, divided by its size and rounded;
-    those that the mix takes less than half of are out. Documents without words stay once. All
-    columns of ``docs`` are returned.
+    those that the mix takes less than half of are out. Documents without words stay once, at the
+    end. All columns of ``docs`` are returned, whatever their names; rows that are equal share what
+    the mix takes of them. Rows come sorted by slot of the schedule (the i-th time that a document is
+    in by the i-th part of its slots), so that files written from them hold the mixed stream. As a
+    source's blocks are taken whole but for its last one, its words differ from its target by
+    less than its longest document.
     """
-    documents, _ = mix(docs, doc_id, text, source, **settings)
-    times = documents.select(
-        F.col(doc_id).alias("__mix_id"),
-        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("__mix_n"),
-    ).groupBy("__mix_id").agg(F.max("__mix_n").alias("__mix_n"))
+    documents, draws, _ = _mix(docs, doc_id, text, source, seed=seed, **settings)
+    slots = draws.groupBy("row").agg(F.sort_array(F.collect_list("slot")).alias("slots"))  # its blocks, max_repeats times
+    n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
+    among = Window.partitionBy("doc_id", "order").orderBy(F.desc("taken"), "row")
+    times = documents.join(slots, "row", "left").select(
+        F.col("doc_id").alias("__mix_id"), F.col("order").alias("__mix_order"), F.row_number().over(among).alias("__mix_k"),
+        n.alias("__mix_n"), F.col("slots").alias("__mix_slots"),
+    )
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    own = Window.partitionBy("__own_id", "__own_order").orderBy("__own_all")
+    keyed = docs.select(
+        "*", F.col(doc_id).cast("long").alias("__own_id"), _order(doc_id, text, source, seed).alias("__own_order"), F.xxhash64(*hashed).alias("__own_all")
+    ).withColumn("__own_k", F.row_number().over(own))
+    joined = keyed.join(
+        times,
+        F.col("__own_id").eqNullSafe(F.col("__mix_id")) & (F.col("__own_order") == F.col("__mix_order")) & (F.col("__own_k") == F.col("__mix_k")),
+    )
+    slot = F.col("__mix_slots")[F.floor(F.col("__mix_i") * F.size("__mix_slots") / F.col("__mix_n")).cast("int")]
     return (
-        docs.join(times, docs[doc_id].eqNullSafe(times["__mix_id"]))
-        .where("__mix_n > 0")
-        .withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-        .select(*docs.columns)
+        joined.where("__mix_n > 0")
+        .withColumn("__mix_i", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
+        .withColumn("__mix_slot", slot)
+        .orderBy(F.col("__mix_slot").asc_nulls_last(), "__mix_order", "__mix_k", "__mix_i")
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

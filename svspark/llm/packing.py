@@ -94,20 +94,22 @@ def pack(
     it documents of equal text are one. Null sources and null clusters conflict with nothing. A
     document without words (null, empty or blank text) takes a bin number of -1 and no room. Rows
     that repeat are packed each, in different bins where text or cluster is equal. Extra columns
-    aren't read; an empty table gives no rows. Equal input gives equal bins.
+    aren't read; an empty table gives no rows.
 
-    Only ids, sizes and conflict keys are shuffled, not texts. Shards have about ``shard_pieces``
-    pieces; a source or cluster with a third of all rows is spread over all shards.
+    Shards and the order in them follow from ids, sizes and conflict keys alone, with a counter for
+    equal rows, so equal rows give equal bins however they are partitioned. Only these are shuffled,
+    not texts. Shards have about ``shard_pieces`` pieces; a source or cluster with a third of all
+    rows is spread over all shards.
     """
     key = F.col(cluster).cast("string") if cluster else F.md5(F.encode(F.col(text), "utf-8"))
+    kinds = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), key.alias("cluster"), n_words(text).alias("words")
+    )
+    content = ["doc_id", "source", "cluster", "words"]
     rows = cut(
-        docs.select(
-            F.col(doc_id).cast("long").alias("doc_id"),
-            F.col(source).cast("string").alias("source"),
-            key.alias("cluster"),
-            n_words(text).alias("words"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
+        kinds.groupBy(*content).agg(F.count("*").alias("n"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .withColumn("row", F.xxhash64(*content, "copy")),
         "sizes",
     )
     full = F.floor(F.col("words") / capacity)
@@ -130,13 +132,13 @@ def pack(
     shards = max(1, -(-rest.count() // shard_pieces))
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        # the largest first; ids and rows break ties, so a rerun packs alike
+        # the largest first; ties by what the row holds, so a rerun packs alike
         shard = shard.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], na_position="last")
         shard["bin"] = pack_shard(shard, capacity)
         return shard[["doc_id", "row", "piece", "start", "size", "shard", "bin"]]
 
     packed = (
-        rest.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.col("row")), F.lit(shards)))
+        rest.withColumn("shard", F.pmod("row", F.lit(shards)))
         .repartition(min(4096, shards), "shard")
         .groupBy("shard")
         .applyInPandas(run, "doc_id long, row long, piece int, start long, size long, shard long, bin long")

@@ -335,7 +335,49 @@ def test_mixing_meets_its_targets(spark, docs):
     again = sorted(map(repr, (r.asDict() for r in mixing.mix(docs, block=16)[0].collect())))
     assert again == sorted(map(repr, rows))
     assert mixing.mix(no_rows(spark))[0].count() == 0 and draws.count() > 0
-    assert set(mixing.mixed_documents(docs).columns) == set(docs.columns)
+
+
+def test_slots_of_documents_are_those_of_the_schedule(spark, docs):
+    documents, draws = mixing.mix(docs, block=16)
+    stream = draws.collect()
+    by_id = {}
+    for d in stream:
+        by_id.setdefault(d["doc_id"], []).append(d)
+    for x in documents.collect():
+        mine = by_id.get(x["doc_id"], [])
+        assert x["draws"] <= len(mine) and (x["first_slot"] is None) == (x["taken"] == 0)
+        assert x["first_slot"] is None or x["first_slot"] in {d["slot"] for d in mine}
+    assert sum(d["words"] for d in stream) == sum(x["taken"] for x in documents.collect())
+    # a block is read by the slots of one source alone, and a slot holds one block
+    per_slot = {}
+    for d in stream:
+        per_slot[d["slot"]] = per_slot.get(d["slot"], 0) + d["words"]
+    assert max(per_slot.values()) <= 16
+
+
+def test_mixed_documents_keep_targets_and_order(spark):
+    r = random.Random(21)
+    rows = [(i, words(r.randint(0, 60), r), "abc"[min(2, i % 7)], "x", i, "y") for i in range(600)]
+    rows += [rows[5], rows[5], (None, "no id here", "a", "x", 1, "y"), (9999, None, None, "x", 2, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words string, row long, order string").repartition(5)
+    mixed = mixing.mixed_documents(df, block=32)
+    assert mixed.columns == df.columns
+    found = mixed.collect()
+    targets = {x["source_size"]: x["target"] for x in mixing.mix(df, block=32)[0].collect()}
+    for s in "abc":
+        size = sum(len((t or "").split()) for _, t, k, *_ in rows if k == s)
+        got = sum(len((x["text"] or "").split()) for x in found if x["source"] == s)
+        assert abs(got - targets[size]) <= 60
+    # every half of the stream has each source near its share
+    half = found[: len(found) // 2]
+    n = sum(len((x["text"] or "").split()) for x in half)
+    for s in "abc":
+        size = sum(len((t or "").split()) for _, t, k, *_ in rows if k == s)
+        share = sum(len((x["text"] or "").split()) for x in half if x["source"] == s) / n
+        assert abs(share - targets[size] / sum(targets.values())) < 0.08
+    again = mixing.mixed_documents(df.coalesce(1), block=32).collect()
+    assert [x["doc_id"] for x in again] == [x["doc_id"] for x in found]
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
 def test_every_prefix_of_the_schedule_is_near_the_weights(spark):
@@ -386,6 +428,13 @@ def test_packing_holds_its_constraints(spark, docs):
     assert packing.pack(no_rows(spark)).count() == 0
 
 
+def test_packing_does_not_depend_on_the_partitions(spark, docs):
+    rows = messy_docs() + [messy_docs()[1]] * 3
+    df = spark.createDataFrame([(*x[:5], *x[5:]) for x in rows], DOCS)
+    one, two = (sorted(map(repr, packing.pack(d, capacity=128, shard_pieces=8).collect())) for d in (df.coalesce(1), df.repartition(7)))
+    assert one == two and len({x.split("shard=")[1].split(",")[0] for x in one}) > 4
+
+
 def test_place_finds_the_tightest_compatible_bin():
     r = random.Random(3)
     bins, plain = packing.Bins(100), []  # plain: [left, sources, clusters]
