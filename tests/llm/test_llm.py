@@ -137,6 +137,57 @@ def test_cap_filters_find_every_link(spark, cell_rows):
     assert capfilter.near_duplicates(df.limit(0)).count() == 0
 
 
+def by_rows(rows, threshold=0.93):
+    """(id, links, least id reachable) of each row (id, vector, label), rows being nodes."""
+    units = [np.array(v, float) / np.linalg.norm(v) for _, v, _ in rows]
+    near = [[b for b in range(len(rows)) if b != a and rows[a][2] == rows[b][2] and units[a] @ units[b] >= threshold] for a in range(len(rows))]
+    out = []
+    for a in range(len(rows)):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in near[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        out.append((rows[a][0], len(near[a]), min(rows[b][0] for b in seen)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 4, 12, 24])
+def test_links_in_any_number_of_dimensions(spark, dim):
+    r = np.random.default_rng(dim)
+    rows = []
+    for i in range(60):
+        v = r.standard_normal(dim)
+        o = r.standard_normal(dim)
+        o -= (o @ v) / (v @ v) * v
+        size = np.linalg.norm(o)
+        w = v * 0.94 + (o / size * np.linalg.norm(v) * (1 - 0.94**2) ** 0.5 if size > 1e-9 else 0)
+        rows += [(2 * i, v.tolist(), 0), (2 * i + 1, w.tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in capfilter.near_duplicates(df).collect())
+    assert found == by_rows(rows) and sum(n for _, n, _ in found) >= 120
+
+
+def test_links_in_double_precision_and_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(100):
+        v = r.standard_normal(32)
+        v /= np.linalg.norm(v)
+        o = r.standard_normal(32)
+        o -= (o @ v) * v
+        o /= np.linalg.norm(o)
+        c = 0.93 + (1e-9 if i % 2 else -1e-9)
+        rows += [(10 + 2 * i, (v * 1e6).tolist(), 5), (11 + 2 * i, ((c * v + (1 - c * c) ** 0.5 * o) * 1e6).tolist(), 5)]
+    v, u = r.standard_normal(32).tolist(), r.standard_normal(32).tolist()
+    rows += [(5, v, 0), (2, v, 0), (5, u, 1), (3, u, 1), (4, (np.array(u) * 1e200).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in capfilter.near_duplicates(df).collect())
+    assert found == by_rows([(i, np.array(x) / np.abs(x).max(), k) for i, x, k in rows])
+    assert sum(n for i, n, _ in found if i >= 10) == 100
+
+
 # 3 toxicity
 
 
@@ -169,6 +220,21 @@ def test_classifier_chain_on_held_out_documents(spark):
     assert toxicity.score(docs.limit(0), chain, "toxic").count() == 0
 
 
+def test_chain_with_little_to_learn_from(spark):
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, words(10, r), "", "", 0, 0, "", "", "", 0) for i in range(30)] + [(99, None, "", "", 0, 0, "", "", "", 0)], DOCS)
+    kinds = "doc_id long, quality int, toxic int"
+    for marks, want in (([], 0), ([(1, None, 1)], 0), ([(i, 1, 0) for i in range(30)], 0), ([(i, 1, 1) for i in range(30)], 31)):
+        chain = toxicity.fit_chain(docs, spark.createDataFrame(marks, kinds), ["quality", "toxic"], iterations=3)
+        found = toxicity.score(docs, chain, "toxic").collect()
+        assert len(found) == 31 and sum(x["toxic"] for x in found) == want
+        assert toxicity.keep_clean(docs, chain, "toxic").count() == 31 - want
+    some = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(30)], "doc_id long, quality int, toxic boolean")
+    assert toxicity.score(docs, toxicity.fit_chain(docs, some, ["quality", "toxic"], folds=1, iterations=3), "toxic").count() == 31
+    none = toxicity.fit_chain(docs.limit(0), some, ["quality", "toxic"], iterations=3)
+    assert not any(x["toxic"] for x in toxicity.score(docs, none, "toxic").collect())
+
+
 # 4 html
 
 
