@@ -194,6 +194,16 @@ def near_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", **settings) -> DataFrame:
+    """``docs``, all columns, with the document of the least id of each class of :func:`near_duplicates`.
+
+    Rows that share an id stay or go together, and so do all rows with a null id: they stay if one
+    of them stands in a class of its own. Empty and null texts stay. Extra columns may have any names.
+    """
+    kept = near_duplicates(docs, doc_id=doc_id, **settings).where("kept").select(F.col(doc_id).alias("__kept_id")).distinct()
+    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+
+
 def _links(source: DataFrame, reps: DataFrame, percent: int, width: int, longs: int, slack: float) -> DataFrame:
     """(a, b): links that connect what the threshold connects, though not every link inside a class."""
     bound = percent / 100

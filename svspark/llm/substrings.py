@@ -214,12 +214,15 @@ def remove_repeats(
     return found.select(*columns)
 
 
-def without_repeats(docs: DataFrame, window: int = 50, levels: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, window: int = 50, levels: int = 2, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None
+) -> DataFrame:
     """``docs``, all columns, with the words gone that :func:`remove_repeats` removes.
 
     A document that loses words keeps the others joined by single spaces; one that loses all of them
     is out. Rows that lose none stay as they are, also those with null ids and texts; equal rows are
-    each kept or cut alike. Extra columns may have any names.
+    each kept or cut alike. ``n_chars``: a column that holds the text's length, which follows where
+    the text changes. Extra columns may have any names.
     """
     changed = _outcome(docs, window, levels, doc_id, text).where("n_removed > 0").dropDuplicates(ROW)
     changed = changed.select(
@@ -229,8 +232,11 @@ def without_repeats(docs: DataFrame, window: int = 50, levels: int = 2, doc_id:
     joined = docs.withColumn("__own_key", key).join(
         changed, (F.col(doc_id).cast("long") == F.col("__cut_id")) & (F.col("__own_key") == F.col("__cut_key")), "left"
     )
+    new = {text: F.coalesce("__cut_text", text)}
+    if n_chars:
+        new[n_chars] = F.coalesce(F.length("__cut_text").cast(docs.schema[n_chars].dataType), n_chars)
     return joined.where("__cut_text is null or __cut_text <> ''").select(
-        *[F.coalesce("__cut_text", text).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+        *[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns]
     )
 
 

@@ -33,14 +33,16 @@ class Chain:
 
     vocabulary: list[str]
     categories: list[str]
-    models: list[LogisticRegressionModel]
+    models: list[LogisticRegressionModel | None]
     thresholds: dict[str, float]
 
     def probabilities(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with a column p_<category> for each category."""
-        rows = _vectors(with_words(docs, text), self.vocabulary)
+        rows = with_words(docs, text)
+        if self.vocabulary:
+            rows = _vectors(rows, self.vocabulary)
         for i, (category, model) in enumerate(zip(self.categories, self.models, strict=True)):
-            rows = _predict(_assemble(rows, self.categories[:i]), model, category)
+            rows = _predict(_assemble(rows, self.categories[:i]) if model else rows, model, category)
         return rows.drop(WORDS, FEATURES)
 
 
@@ -54,7 +56,9 @@ def _assemble(rows: DataFrame, earlier: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="inputs_").transform(rows)
 
 
-def _predict(rows: DataFrame, model: LogisticRegressionModel, category: str) -> DataFrame:
+def _predict(rows: DataFrame, model: LogisticRegressionModel | None, category: str) -> DataFrame:
+    if model is None:  # nothing to learn from
+        return rows.withColumn(f"p_{category}", F.lit(0.0)).drop("inputs_")
     p = vector_to_array("probability_")[1]
     return model.transform(rows).withColumn(f"p_{category}", p).drop("inputs_", "raw_", "probability_", "prediction_")
 
@@ -107,8 +111,10 @@ def fit_chain(
     ``labels``: id and one 0/1 column for each of ``categories``; rows with a null label, id or no
     document are left out, of repeated ids one row is used. The bound is on training rows alone;
     scoring covers every document. A category of one class only has the constant probability that
-    the model fits to it. A threshold for each category is chosen on the out-of-fold probabilities:
-    the middle of the range with the best F1.
+    the model fits to it, near 0 or 1. Without any usable row, so also with empty ``labels`` or
+    ``docs``, probabilities are 0 and nothing is predicted. A threshold for each category is chosen
+    on the out-of-fold probabilities: the middle of the range with the best F1. With one fold, and
+    for a fold that holds all rows, these come from the model of all rows.
     """
     known = labels.select(
         F.col(doc_id).cast("long").alias("label_id"), *[F.col(c).cast("double").alias(f"y_{c}") for c in categories]
@@ -123,8 +129,10 @@ def fit_chain(
         ),
         "labelled",
     )
+    if rows.isEmpty():
+        return Chain([], list(categories), [None] * len(categories), dict.fromkeys(categories, 0.5))
     vocabulary = telling_words(rows, categories, words_per_category, least_documents) or ["-"]
-    rows = _vectors(rows, vocabulary).drop(WORDS).coalesce(6).persist()  # bounded by sample_rows
+    rows = _vectors(rows, vocabulary).drop(WORDS).coalesce(6)  # bounded by sample_rows
     models, thresholds = [], {}
     for i, category in enumerate(categories):
         learner, data = _learner(category, iterations, penalty), _assemble(rows, categories[:i]).persist()
@@ -138,12 +146,9 @@ def fit_chain(
         out_of_fold = parts[0]
         for part in parts[1:]:
             out_of_fold = out_of_fold.unionByName(part)
-        new = out_of_fold.persist()
-        thresholds[category] = _threshold(new, category)
-        rows.unpersist()
+        rows = cut(out_of_fold, "out-of-fold")
+        thresholds[category] = _threshold(rows, category)
         data.unpersist()
-        rows = new
-    rows.unpersist()
     return Chain(vocabulary, list(categories), models, thresholds)
 
 
