@@ -2,12 +2,16 @@
 
 Toxic documents go, one document of each near-duplicate class stays, repeated passages are cut,
 sources are mixed to target weights, and what is left is packed into bins.
+
+Stages take nulls in any column, empty and repeated rows and extra columns of any name. Rows that
+share an id are judged by their own texts, but stay or go together in the near-dedup stage, and so do
+rows with null ids; rows with null ids lose no passages. Empty tables pass through every stage: without
+labels nothing is toxic, and the last stage returns its columns without rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from svspark.llm import minhash, mixing, packing, substrings, toxicity
 from svspark.llm.common import shared_dir
@@ -22,8 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each class at five words and a similarity of 0.8."""
-    kept = minhash.near_duplicates(docs, percent=80, width=5, bands=40).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    return minhash.keep_one(docs, percent=80, width=5, bands=40)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,22 +34,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses words keeps the others joined by single spaces, and n_chars follows.
     """
-    cut = substrings.remove_repeats(docs, window=50, keep_text=True).select(
-        F.col("doc_id").alias("cut_id"), "n_words", "n_removed", "kept_text"
-    )
-    changed = cut.where("n_removed > 0")
-    text = F.coalesce("kept_text", "text")
-    joined = docs.join(changed, docs["doc_id"] == F.col("cut_id"), "left")
-    return joined.where("cut_id is null or n_removed < n_words").select(
-        *[
-            text.alias("text") if c == "text" else F.when(F.col("cut_id").isNull(), F.col(c)).otherwise(F.length(text)).alias(c) if c == "n_chars" else F.col(c)
-            for c in docs.columns
-        ]
-    )
+    return substrings.without_repeats(docs, window=50, n_chars="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix to the sources' target weights takes it."""
+    """Every document as often as the mix to the sources' target weights takes it, in the order of its schedule."""
     return mixing.mixed_documents(docs)
 
 
