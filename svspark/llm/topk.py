@@ -1,19 +1,18 @@
 """Exact top-k by inner product with sorted lists read in sequence only (no random access).
 
 For each coordinate the vectors of a block are listed by its value; a query reads a list from the
-top where its own coordinate is positive and from the bottom where it is negative. After each round
-of reading, what a query has seen of a vector bounds its score from below and, with the values at
-which reading stopped, from above. A query stops when no vector outside its k best lower bounds can
-reach them, and only the vectors that still could be among the best have their scores completed by
-reading on.
+top where its own coordinate is positive and from the bottom where it is negative, so that its
+contributions fall. Reading goes down all lists together to one contribution after another. What a
+query has seen of a vector bounds its score from below (with the far ends of the lists that don't
+have it yet) and from above (with the contribution that reading has come to). Reading is for all
+vectors until no outsider can reach the k best lower bounds; from there on only entries of the
+vectors that still can count, until their scores are complete.
 
 Blocks of vectors meet blocks of queries in a grid; a cell returns k rows for each query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,58 +20,120 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Reading halts to look at the bounds after these shares of all entries.
+HALTS = (0.25, 0.5, 0.7, 0.85)
+LONG = np.iinfo(np.int64)
+
 
 class SortedLists:
-    """A block of integer vectors with each coordinate's list of values in ascending order."""
+    """A block of integer vectors as one list a coordinate, in ascending order: (vector, value).
+
+    Only the lists are kept; nothing gives a vector's values by its number.
+    """
 
     def __init__(self, values: np.ndarray):
-        self.values = values
         self.n, self.dim = values.shape
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
-        self.place = np.empty_like(self.order)  # where in its list each vector stands
-        np.put_along_axis(self.place, self.order, np.arange(self.n)[:, None], axis=0)
-
-    def read(self, depth: int) -> tuple[np.ndarray, ...]:
-        """What is known after ``depth`` entries of each list, from the top and from the bottom.
-
-        Returns for either end the least and the greatest contribution value a vector may have: its
-        own value where it was read, else the list's far end and the value at which reading stopped.
-        """
-        top, bottom = self.place >= self.n - depth, self.place < depth
-        stop_top, stop_bottom = self.sorted[self.n - depth], self.sorted[depth - 1]
-        return (
-            np.where(top, self.values, self.sorted[0]), np.where(top, self.values, stop_top),
-            np.where(bottom, self.values, self.sorted[-1]), np.where(bottom, self.values, stop_bottom),
-        )
-
-
-def best_of_block(lists: SortedLists, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows and scores of the block's best, at least its k best with all ties.
-
-    ``own``: from which to before which row of the block the query itself stands.
+        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(values, self.order, axis=0).T.copy()
+        self.order = self.order.T.copy()
+        self.doubles = self.values.astype(np.float64)
+        self.largest = max(abs(int(self.values[:, 0].min())), abs(int(self.values[:, -1].max()))) if values.size else 0
+
+
+class Reader:
+    """One query's way down the lists of a block: what it has seen of every vector so far."""
+
+    def __init__(self, lists: SortedLists, query: np.ndarray):
+        self.lists, self.read = lists, 0
+        q = [int(x) for x in query]
+        self.dims = [d for d in range(lists.dim) if q[d]]  # the others contribute nothing
+        self.q = q
+        # exact sums: in doubles while they hold them, else in longs, else in Python's integers
+        size = lists.largest * max(map(abs, q), default=0) * max(1, lists.dim)
+        self.kind = np.float64 if size < 2**53 else np.int64 if size < 2**63 else object
+        self.at = dict.fromkeys(self.dims, 0)  # entries read of each list
+        self.best = {d: q[d] * self._value(d, 0) for d in self.dims}  # the greatest contribution, and the least
+        self.worst = {d: q[d] * self._value(d, lists.n - 1) for d in self.dims}
+        zero = lambda kind: np.zeros(lists.n, dtype=kind)
+        self.sum, self.least, self.seen = zero(self.kind), zero(self.kind), zero(np.int64)
+
+    def _value(self, d: int, place: int) -> int:
+        """The value at a place of list ``d`` in the direction of reading."""
+        return int(self.lists.values[d][place if self.q[d] < 0 else self.lists.n - 1 - place])
+
+    def _add(self, out: np.ndarray, rows: np.ndarray, what: np.ndarray) -> None:
+        if self.kind is np.float64:
+            out += np.bincount(rows, weights=what, minlength=len(out))
+        else:
+            np.add.at(out, rows, what)
+
+    def halts(self) -> list[int]:
+        """Contributions at which about ``HALTS`` of all entries are read, by a few entries of each list."""
+        places = np.linspace(0, self.lists.n - 1, min(self.lists.n, 33)).astype(int)
+        some = sorted((self.q[d] * int(self.lists.values[d][p]) for d in self.dims for p in places), reverse=True)
+        return sorted({some[int(h * (len(some) - 1))] for h in HALTS}, reverse=True)
+
+    def down_to(self, halt: int | None, only: np.ndarray | None = None) -> None:
+        """Read every list on while its contributions are at least ``halt`` (None: to the end); of ``only`` alone."""
+        n, rows, values, least, counts = self.lists.n, [], [], [], []
+        kept = self.lists.doubles if self.kind is np.float64 else self.lists.values
+        for d in self.dims:
+            q, column, old = self.q[d], self.lists.values[d], self.at[d]
+            if halt is None:
+                new = n
+            elif q > 0:  # values of at least halt / q, from the top
+                low = -(-halt // q)
+                new = 0 if low > LONG.max else n - int(np.searchsorted(column, max(low, LONG.min), side="left"))
+            else:
+                high = halt // q
+                new = 0 if high < LONG.min else int(np.searchsorted(column, min(high, LONG.max), side="right"))
+            if new <= old:
+                continue
+            part = slice(old, new) if q < 0 else slice(n - new, n - old)
+            ids, found = self.lists.order[d][part], kept[d][part]
+            self.at[d], self.read = new, self.read + new - old
+            if only is not None:
+                mine = only[ids]
+                ids, found = ids[mine], found[mine]
+            rows.append(ids)
+            values.append(found.astype(self.kind, copy=False) * q)
+            least.append(self.worst[d])
+            counts.append(len(ids))
+        if rows:
+            rows = np.concatenate(rows)
+            self._add(self.sum, rows, np.concatenate(values))
+            if only is None:  # bounds are for what is still open
+                self._add(self.least, rows, np.repeat(np.array(least, dtype=self.kind), counts))
+                self.seen += np.bincount(rows, minlength=n)
+
+    def bounds(self, halt: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest score of every vector after reading down to ``halt``."""
+        started = [d for d in self.dims if self.best[d] >= halt]
+        untouched = sum(self.best[d] for d in self.dims if self.best[d] < halt)
+        low = self.sum + (sum(self.worst.values()) - self.least)
+        return low, self.sum + (len(started) - self.seen).astype(self.kind) * halt + untouched
+
+
+def best_of_block(lists: SortedLists, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Vectors that hold the ``k`` best scores (with all ties), their scores, and how many entries were read.
+
+    ``own``: whether a vector of the block is the query itself and no candidate.
     """
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    out: list = [None] * len(queries)
-    alive = np.arange(len(queries))
-    depth = min(lists.n, max(k, -(-lists.n // 4)))
-    while len(alive):
-        low_up, high_up, low_down, high_down = lists.read(depth)
-        low = up[alive] @ low_up.T + down[alive] @ low_down.T
-        high = up[alive] @ high_up.T + down[alive] @ high_down.T
-        for rows in (low, high):
-            for at, (a, b) in enumerate(own[alive]):
-                rows[at, a:b] = -np.inf
-        bar = np.partition(low, lists.n - k, axis=1)[:, lists.n - k] if lists.n > k else np.full(len(alive), -np.inf)
-        # ties at the bar stay in: the smaller id wins them later
-        can = high >= np.maximum(bar, np.finfo(float).min)[:, None]
-        done = (can.sum(axis=1) <= max(4 * k, 64)) | (depth == lists.n)
-        for at in np.flatnonzero(done):
-            rows = np.flatnonzero(can[at])
-            out[alive[at]] = rows, lists.values[rows] @ queries[alive[at]]  # reading on completes these scores
-        alive = alive[~done]
-        depth = min(lists.n, 2 * depth)
-    return out
+    reader, can = Reader(lists, query), ~own
+    for halt in reader.halts():
+        reader.down_to(halt)
+        low, high = reader.bounds(halt)
+        if can.sum() <= k:
+            break
+        low = low[can]
+        bar = np.sort(low)[-k] if reader.kind is object else np.partition(low, len(low) - k)[len(low) - k]
+        # ties at the bar stay in, also those by the limits of a long: the smaller id wins them later
+        can &= (high >= (-np.inf if bar <= LONG.min else min(bar, LONG.max))).astype(bool)
+        if can.sum() <= 4 * k:
+            break
+    reader.down_to(None, only=can)
+    rows = np.flatnonzero(can)
+    return rows, reader.sum[rows], reader.read
 
 
 def top_k(
@@ -82,17 +143,18 @@ def top_k(
     scale: float = 256.0,
     id: str = "vec_id",
     embedding: str = "embedding",
-    block: int = 4096,
-    query_block: int = 1024,
+    block: int = 8192,
+    query_block: int = 256,
 ) -> DataFrame:
     """Each query's ``k`` highest integer inner products: query_id, rank (from 1), vec_id, score.
 
-    Components become floor(``scale`` * x). Queries are the rows whose id is divisible by
-    ``query_every``; candidates are all rows but the query's own id, of the same length as the query.
-    Ties go to the smaller id. Vectors that are null or hold null or non-finite components, and rows
-    with null ids, take no part; empty vectors neither. Rows that repeat an id are candidates each
-    and queries each, and their results are ranked together. Extra columns aren't read; an empty
-    table gives no rows; fewer than k candidates give all.
+    Components become floor(``scale`` * x), at most a long's greatest. Queries are the rows whose id
+    is divisible by ``query_every``; candidates are all rows but the query's own id, of the same
+    length as the query. Ties go to the smaller id. Vectors that are null or hold null or non-finite
+    components, and rows with null ids, take no part; empty vectors neither. Rows that repeat an id
+    are candidates each and queries each, and their results are ranked together. Scores are exact
+    whatever the components' size, but one beyond a long counts as the nearest long. Extra columns
+    aren't read; an empty table gives no rows; fewer than k candidates give all.
     """
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = cut(
@@ -124,19 +186,13 @@ def top_k(
             return pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in names})
         left = left.sort_values("vec_id")
         ids = left["vec_id"].to_numpy()
-        # doubles hold these integer products exactly; the checks are against 2 ** 53
-        lists = SortedLists(np.stack(left["v"].to_list()).astype(np.float64))
-        asked_values = np.stack(right["v"].to_list()).astype(np.float64)
-        if np.abs(lists.values).max(initial=0) * np.abs(asked_values).max(initial=0) * lists.dim >= 2**53:
-            raise OverflowError("components are too large for exact scores")
-        query_ids = right["vec_id"].to_numpy()
-        mine = np.stack([np.searchsorted(ids, query_ids, side) for side in ("left", "right")], axis=1)
+        lists = SortedLists(np.stack(left.pop("v").to_list()))
         out = []
-        for q, (found, scores) in zip(query_ids, best_of_block(lists, asked_values, mine, k), strict=True):
-            other = ids[found] != q
-            found, scores = found[other], scores[other]
-            best = np.lexsort((ids[found], -scores))[:k]
-            out.append((np.full(len(best), q), ids[found[best]], scores[best].astype(np.int64)))
+        for q, v in zip(right["vec_id"].to_numpy(), right["v"], strict=True):
+            found, scores, _ = best_of_block(lists, v, ids == q, k)
+            whole = [max(LONG.min, min(LONG.max, int(x))) for x in scores]
+            best = sorted((-x, i) for x, i in zip(whole, ids[found].tolist(), strict=True))[:k]
+            out.append((np.full(len(best), q), np.array([i for _, i in best], dtype=np.int64), np.array([-x for x, _ in best], dtype=np.int64)))
         return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     tasks = min(4096, blocks * query_blocks)  # a cell is much work on little data: one task each

@@ -471,6 +471,39 @@ def test_top_k_against_all_scores(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_with_large_components_and_repeated_ids(spark):
+    r = np.random.default_rng(12)
+    for scale in (1.0, 1e6, 1e17):  # sums in doubles, in longs and beyond
+        rows = [(i % 90, [float(x) for x in np.round(r.standard_normal(6) * 100) * scale]) for i in range(100)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        ints = [(i, [int(np.floor(x * 256)) if abs(x * 256) < 2**63 else (2**63 - 1 if x > 0 else -(2**63)) for x in v]) for i, v in rows]
+        want = []
+        for q in (0, 50):
+            scores = []
+            for i, v in ints:
+                for j, w in ints:
+                    if i == q and j != q:
+                        whole = sum(a * b for a, b in zip(v, w, strict=True))
+                        scores.append((-max(-(2**63), min(2**63 - 1, whole)), j))
+            want += [(q, k + 1, j, -x) for k, (x, j) in enumerate(sorted(scores)[:5])]
+        assert sorted(map(tuple, topk.top_k(df, block=40, query_block=1).collect())) == sorted(want)
+
+
+def test_lists_are_read_no_further_than_needed():
+    r = np.random.default_rng(4)
+    values = r.integers(-50, 50, (4000, 8))
+    values[:6] = 4000 + r.integers(0, 9, (6, 8))  # six vectors stand out
+    lists, own = topk.SortedLists(values), np.zeros(4000, dtype=bool)
+    reader = topk.Reader(lists, np.full(8, 1000))
+    reader.down_to(40_000)
+    low, high = reader.bounds(40_000)
+    scores = values @ np.full(8, 1000)
+    assert (low <= scores).all() and (scores <= high).all()
+    assert 0 < reader.read < 0.2 * values.size and (reader.seen > 0).sum() < 3600
+    rows, found, _ = topk.best_of_block(lists, np.full(8, 1000), own, 5)
+    assert len(rows) <= 20 and (np.sort(found)[-5:] == np.sort(scores)[-5:]).all()
+
+
 # 9 packing
 
 
