@@ -1,181 +1,251 @@
 """Main text of HTML pages by maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score by where they stand, tags score below zero, and
-the main content is the contiguous run of the sequence with the greatest sum, found in one scan.
-The weights are log odds counted on labelled pages. Blocks inside the run whose place speaks against
-them (an advert in the article) are left out of the text.
+A page is a sequence of words and tags. Words score by the boxes they stand in, tags score below
+zero, and the main content is the contiguous run of the sequence with the greatest sum, found in one
+scan. All weights are learnt from labelled pages: how element names and the words of class, id and
+role attributes of the boxes around a word, and the block it stands in, speak for or against content,
+and how often a tag stands among content. Blocks inside the run whose words score below zero (an
+advert in the article) are left out of the text.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import labelled as own_pages
+
 #: Element names by their part in a page.
-SKIPPED = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "select", "textarea", "title", "head"}
-#: Of these, the ones whose content is text up to their closing tag, whatever looks like a tag in it.
-RAW = {"script", "style", "noscript", "iframe", "textarea", "title"}
-BOXES = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "article", "main", "section", "div", "body", "figure", "ul", "ol", "dl", "table", "button"}
-APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "title"}
+BOXES = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "article", "main", "section", "div", "body", "figure", "ul", "ol", "dl", "table", "button", "label", "select", "textarea", "fieldset", "address", "details"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Words of class, id and role attributes that mark a box as no part of the article.
-MARKS = {"ad", "ads", "adv", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "teaser", "toolbar", "widget", "contentinfo", "complementary", "alert"}
-#: Of the same kind, but at the head of an article they belong to it.
-HEADS = {"header", "masthead", "topbar"}
-
+#: Boxes whose element says nothing.
+NEUTRAL = {"body", "details", "div", "dl", "figure", "ol", "section", "table", "ul"}
 #: Elements in which an article is a teaser or a note.
 FAR = {"nav", "footer", "aside", "menu"}
-#: So many outermost boxes, one in the other, are tried without their marks; fewer words count as hardly any.
-OUTER, FEW = 8, 10
 
+#: So many outermost boxes, one in the other, are tried without their names; fewer words count as hardly any.
+OUTER, FEW = 8, 10
+#: A word's score and the standing of a box stay between these; a tag's between the next two.
+LEAST, MOST, DEAR, CHEAP = -3.0, 2.0, -3.0, -0.02
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Block elements whose tags have weights of their own.
+KINDS = HEADINGS | {"p", "li", "tr", "td", "th", "dt", "dd", "blockquote", "figcaption", "pre"}
+#: Elements that end a block of text; any other is part of it.
+BLOCKS = KINDS | BOXES | {"html", "head", "hr", "legend", "option", "optgroup", "summary", "caption", "thead", "tbody", "tfoot", "center", "hgroup", "search", "title"}
+
+#: Comments, declarations, and tags: an attribute's value may hold brackets in quotes; a tag that isn't closed ends before the next one.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=|[^<>=]++)*+)>?", re.S
 )
-CLOSING = {name: re.compile(rf"<(/)({name})(?=[\s/>])([^>]*)>", re.I) for name in RAW}
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^<>]*>?", re.I) for name in SKIPPED}
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
+@dataclass
+class Box:
+    """An open box: its name, what its features are, whether an article is open, and its standing when scored."""
+
+    name: str
+    features: list[str]
+    inside: bool
+    standing: float = 0.0
+    around: Box | None = None
+    far: bool = False
+    held: bool = False
+    top: Box | None = None  # the outermost box that speaks against this
+    most: float = LEAST  # the best standing of the box and those around it
+
+
 @dataclass
 class Block:
-    """Text between two block tags: its words, where it stands and the tags since the last block."""
+    """Text between two block tags: its words, the boxes around it, the tags since the last block, whether it's a heading."""
 
     text: str
-    place: str
+    box: Box | None
     tags: list[str]
+    heading: bool = False
+    held: bool = False
+    inset: bool = False
+    score: float = 0.0
+    n: int = 0
 
 
-def _marks(attributes: str) -> set[str]:
-    found: set[str] = set()
+@dataclass
+class Weights:
+    """What features and tags weigh; a feature that wasn't seen weighs nothing."""
+
+    features: dict[str, float] = field(default_factory=dict)
+    tags: dict[str, float] = field(default_factory=dict)
+
+    def box(self, features: list[str]) -> float:
+        return sum(self.features.get(f, 0.0) for f in features)
+
+
+def _names(attributes: str) -> list[str]:
+    """The words of class, id and role attributes, whole and by their parts."""
+    found: dict[str, None] = {}
     for name, value in ATTRIBUTE.findall(attributes):
         value = value.strip("\"'").lower()
         if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
-            found.add("alert")
-        found.update(re.split(r"[^a-z0-9]+", value))
-    return found
+            found["hidden"] = None
+        for word in re.split(r"[^a-z0-9_-]+", value):
+            parts = [w for w in re.split(r"[_-]+", word) if w]
+            if len(parts) > 1:
+                found["-".join(parts)] = None
+            found.update(dict.fromkeys(parts))
+    return list(found)
 
 
-def _tokens(page: str) -> Iterator[re.Match]:
-    """Tags, comments and declarations of ``page``; inside a raw element none but its closing tag."""
-    m = TOKEN.search(page)
-    while m:
-        yield m
-        closing = CLOSING.get((m[2] or "").lower()) if not m[1] and not (m[3] or "").endswith("/") else None
-        m = (closing or TOKEN).search(page, m.end())
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(from, before, element, whether it closes, attributes) of every tag of ``page``.
 
-
-def _read(page: str, outer: int, afresh: bool) -> tuple[list[Block], bool]:
-    """The text blocks of a page in order, and whether it has an article. Places are those of
-    ``blocks``, and ``held`` for text of an article inside a box that is apart by its marks.
-
-    Marks don't count on the body and on ``outer`` boxes around all others; with ``afresh`` a held
-    article is one. A main element is one wherever it stands, unless it's marked itself.
+    Comments, declarations and skipped elements with all they hold are one token without a name.
+    """
+    at, open_ended = 0, set()  # elements that aren't closed any more from here on
+    while m := TOKEN.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name in SKIPPED:
+            if not m[1] and not m[3].endswith("/") and name not in open_ended:
+                closing = CLOSING[name].search(page, at)
+                if closing:
+                    at = closing.end()
+                elif name in ("script", "style", "iframe"):
+                    at = len(page)
+                else:
+                    open_ended.add(name)
+            name = ""
+        yield m.start(), at, name, bool(m[1]), m[3] or ""
+
+
+def read(page: str, weights: Weights | None = None, outer: int = 0, afresh: bool = False) -> list[Block]:
+    """The text blocks of a page in order, scored if there are ``weights``.
+
+    Names don't count on ``outer`` boxes around all others; with ``afresh`` an article in a box that
+    speaks against it counts as if it stood alone. A main element does so anyway, unless its own
+    names speak against it. Unclosed and crossing tags are read as browsers do, as far as boxes go.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (element, what it makes of what is in it)
+    stack: list[Box] = []
+    open_: Counter = Counter()
     held: list[str] = []
     tags: list[str] = []
-    skip, last, marked = "", 0, False
+    last, heading = 0, False
+    start = weights.features.get("", 0.0) if weights else 0.0
 
     def flush() -> None:
         nonlocal tags
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
-        place = stack[-1][1] if stack else "plain"
-        if text and place != "inset":
-            out.append(Block(text, place, tags))
+        if text:
+            out.append(Block(text, stack[-1] if stack else None, tags, heading, n=text.count(" ") + 1))
             tags = []
 
-    for m in _tokens(page):
-        if not skip:
-            held.append(page[last : m.start()])
-        last = m.end()
-        name = (m[2] or "").lower()
+    for at, after, name, closing, attributes in _tokens(page):
+        text, last = page[last:at], after
+        held.append(text)
         if not name:
             continue
-        closing = bool(m[1])
-        if skip:
-            if closing and name == skip or skip == "head" and name == "body":
-                skip = ""
-            if skip or closing:
-                continue
-        if name in SKIPPED:
-            if not closing and not m[3].endswith("/"):
-                skip = name
-            continue
-        if name in INLINE:
-            tags.append("inline")
+        inside = bool(stack) and stack[-1].inside
+        if name not in BLOCKS:
+            tags.append("inside" if inside else "a" if name == "a" else "inline")
             if name == "br":
                 held.append(" ")
             continue
         flush()
-        tags.append("box" if name in BOXES else "block")
-        if name not in BOXES or name in VOID:
+        tags.append("inside" if inside else name if name in KINDS else "box" if name in BOXES else "block")
+        if name in VOID or name not in BOXES:
+            heading = not closing and name in HEADINGS
             continue
+        heading = False
         if closing:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if open_[name]:
+                while (box := stack.pop()).name != name:
+                    open_[box.name] -= 1
+                open_[name] -= 1
             continue
-        around = stack[-1][1] if stack else "plain"
-        marks = _marks(m[3]) if m[3] else set()
-        if name == "body" or sum(n != "body" for n, _ in stack) < outer and name not in APART and "alert" not in marks:
-            marks -= MARKS | HEADS
-        if around == "apart" and name in ("article", "main") and not marks & MARKS and not any(n in FAR for n, _ in stack):
-            place = "article" if afresh or name == "main" else "held"
-            marked = marked or place == "article"
-        elif around in ("apart", "inset"):
-            place = around
-        elif name in APART or marks & MARKS:
-            place = "inset" if around in ("article", "held") else "apart"
-        elif around not in ("article", "held") and (name == "header" or marks & HEADS):
-            place = "apart"
-        elif around == "held":
-            place = around
-        elif name in ("article", "main") or "main" in marks or "articlebody" in marks:
-            place, marked = "article", True
-        else:
-            place = around
-        stack.append((name, place))
-    if not skip:
-        tail = page[last:]
-        held.append(tail[: tail.find("<")] if re.search(r"<[a-zA-Z/!?][^>]*\Z", tail) else tail)
+        around = stack[-1] if stack else None
+        names = _names(attributes) if attributes else []
+        whole = name in ("article", "main") or "role" in attributes.lower() and "main" in names
+        wide = name == "body" or len(stack) - open_["body"] < outer and name not in FAR
+        features = [] if name in NEUTRAL else [name, *([f"{name} inside"] if inside else [])]
+        kind = "" if name not in ("body", "article", "main") else name + " "
+        if not wide or "hidden" in names and name != "body":
+            features += [f"{kind}.{x}" for x in names] + ([f".{x} inside" for x in names] if inside else [])
+        box = Box(name, features, inside or whole, around=around, far=bool(around and around.far) or name in FAR)
+        if weights:
+            delta, before = weights.box(features), around.standing if around else start
+            if before < 0 and whole and not (around and around.far) and delta > 0 and not inside:
+                if name == "main" or afresh:
+                    before = start
+                else:
+                    box.held = True
+            box.held = box.held or bool(around and around.held)
+            box.standing = before if before < 0 < delta else max(LEAST - 1, min(MOST, before + delta))
+            box.top = around.top if around and around.top and box.standing <= 0 else box if box.standing <= 0 else None
+            box.most = max(around.most if around else LEAST, box.standing if box.standing > before else LEAST)
+        stack.append(box)
+        open_[name] += 1
+    held.append(page[last:])
     flush()
-    return out, marked
+    if weights:
+        _score(out, weights, start)
+    return out
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, each with its place: apart, article, outside or plain.
+def _score(found: list[Block], weights: Weights, start: float) -> None:
+    """Score the words of each block, and mark insets and what an article in an unlikely box holds.
 
-    ``outside`` is text that isn't in the article of a page that has one, ``plain`` is text of a page
-    that doesn't say. What an article holds of adverts, forms, asides or comments (an inset) is no part
-    of the sequence. Unclosed and crossing tags are read as browsers do, as far as boxes go.
-
-    The marks of a box around the whole page say nothing about its text: if an article stands in a
-    marked box and holds more words than the rest, or hardly a word stands outside of such boxes,
-    the page is read again without the marks of its outermost boxes.
+    An inset speaks against itself in a box that speaks for content, or that has text before and after it.
+    """
+    marked = _has_article(found)
+    first: dict[int, int] = {}  # by box: its first and last blocks that score over zero
+    last: dict[int, int] = {}
+    for i, b in enumerate(found):
+        b.score = b.box.standing if b.box else start
+        if b.heading and b.score > 0:
+            b.score += weights.features.get("heading", 0.0)
+        if marked and not (b.box and b.box.inside):
+            b.score += weights.features.get("beside", 0.0)
+        b.held = bool(b.box and b.box.held)
+        if b.score > 0:
+            first.setdefault(id(b.box), i)
+            last[id(b.box)] = i
+    for i, b in enumerate(found):
+        top = b.box and b.box.top
+        among = top is not None and top.around is not None and first.get(id(top.around), i) < i < last.get(id(top.around), i)
+        b.inset = b.score <= 0 and (among or bool(b.box and b.box.most > start + 0.5))
+
+
+def _has_article(found: list[Block]) -> bool:
+    return any(b.box and b.box.inside and b.box.standing > 0 for b in found)
+
+
+def blocks(page: str, weights: Weights) -> list[Block]:
+    """The scored blocks of a page.
+
+    The names of a box around the whole page say nothing about its text: if an article stands in a
+    box that speaks against it and holds more words than what speaks for itself, or hardly a word
+    does, the page is read again without the names of its outermost boxes.
     """
-    found, marked = _read(page, 0, False)
-    words = lambda place: sum(len(b.text.split()) for b in found if b.place == place)
-    if not marked and words("held") > words("plain"):
-        found, marked = _read(page, 0, True)
-    outer = 0
-    while not marked and outer < OUTER and words("plain") < min(FEW, words("apart") / FEW):
+    found = read(page, weights)
+    good = lambda: sum(b.n for b in found if b.score > 0)
+    if not _has_article(found) and sum(b.n for b in found if b.held) > good():
+        found = read(page, weights, afresh=True)
+    outer, total = 0, sum(b.n for b in found)
+    while outer < OUTER and not _has_article(found) and good() < min(FEW, total / FEW):
         outer += 1
-        found, marked = _read(page, outer, False)
-    for b in found:
-        if b.place == "held":
-            b.place = "apart"
-        if marked and b.place == "plain":
-            b.place = "outside"
+        found = read(page, weights, outer)
     return found
 
 
@@ -191,53 +261,87 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-@dataclass
-class Weights:
-    words: dict[str, float]
-    tags: dict[str, float]
+def sequence(found: list[Block], weights: Weights) -> list[float]:
+    """Scores of the tags before each block and of its words, in turn.
+
+    What speaks against a block counts for two of its words at most, so that an advert doesn't end the
+    run; for an inset, which stands in a box that speaks for content, it counts as a tag.
+    """
+    out, after = [], False  # after: an inset's closing tags come before the next block
+    for b in found:
+        if b.inset:
+            out += [CHEAP, CHEAP]
+        else:
+            out += [CHEAP if after else sum(weights.tags.get(t, DEAR) for t in b.tags), max(LEAST, min(MOST, b.score)) * (b.n if b.score > 0 else min(b.n, 2))]
+        after = b.inset
+    return out
 
 
-def fit(labelled: list[tuple[str, list[str]]]) -> Weights:
-    """Weights from pages with the texts of their content blocks: log odds of content, with one added.
+def main_text(page: str | None, weights: Weights, scan: bool = True) -> str:
+    """The main text of ``page``: its content blocks joined by line feeds; empty if there are none.
 
-    A word's weight depends on its place; tags of a kind that stands between content blocks as
-    often as elsewhere still cost something.
+    Without ``scan`` every block that scores over zero is taken, wherever it stands.
     """
-    words: Counter = Counter()
-    tags: Counter = Counter()
-    for page, content in labelled:
-        wanted = set(content)
-        for b in blocks(page):
-            words[b.place, b.text in wanted] += len(b.text.split())
+    found = blocks(page or "", weights)
+    start, stop = best_run(sequence(found, weights)) if scan else (0, 2 * len(found))
+    return "\n".join(b.text for i, b in enumerate(found) if start <= 2 * i + 1 < stop and b.score > 0)
+
+
+def fit(pages: list[tuple[str, list[str]]], penalty: float = 0.3, rounds: int = 12) -> Weights:
+    """Weights from pages with the texts of their content blocks in order.
+
+    Features are weighed by a logistic regression over blocks (presence of what a block and the boxes
+    around it show), tags by the log odds to stand before a content block.
+    """
+    rows, tags = Counter(), Counter()
+    for page, content in pages:
+        left, found = list(content), read(page)
+        marked = any(b.box and b.box.inside for b in found)
+        for b in found:
+            wanted = bool(left) and b.text == left[0]
+            if wanted:
+                left.pop(0)
+            features, box = {"", *(["heading"] if b.heading else [])}, b.box
+            if marked and not (box and box.inside):
+                features.add("beside")
+            while box:
+                features.update(box.features)
+                box = box.around
+            rows[frozenset(features), wanted] += 1
             for t in b.tags:
-                tags[t, b.text in wanted] += 1
-    odds = lambda c, k: math.log((c[k, True] + 1) / (c[k, False] + 1))
+                tags[t, wanted] += 1
+    names = sorted({"", *(f for features, _ in rows for f in features)})
+    at = {f: i for i, f in enumerate(names)}
+    x, y, n = np.zeros((len(rows), len(names))), np.zeros(len(rows)), np.zeros(len(rows))
+    for i, ((features, wanted), k) in enumerate(sorted(rows.items(), key=lambda r: (sorted(r[0][0]), r[0][1]))):
+        x[i, [at[f] for f in features]] = 1
+        y[i], n[i] = wanted, k
+    w = np.zeros(len(names))
+    for _ in range(rounds):  # Newton's method with a ridge
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = x.T @ (x * (n * p * (1 - p))[:, None]) + penalty * np.eye(len(names))
+        w += np.linalg.solve(step, x.T @ (n * (y - p)) - penalty * w)
+    odds = lambda t: math.log((tags[t, True] + 1) / (tags[t, False] + 1))
     return Weights(
-        {p: max(-3.0, min(3.0, odds(words, p))) for p in ("apart", "article", "outside", "plain")},
-        {t: max(-0.25, min(-0.02, odds(tags, t) - 0.5)) for t in ("inline", "block", "box")},
+        dict(zip(names, w.tolist(), strict=True)), {t: max(DEAR, min(CHEAP, odds(t))) for t in {k for k, _ in tags}}
     )
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    """The main text of ``page``: its content blocks joined by line feeds; empty if there are none."""
-    found = blocks(page or "")
-    scores: list[float] = []
-    for b in found:
-        # what speaks against a block counts for two of its words at most: an advert doesn't end the run
-        weight, n = weights.words[b.place], len(b.text.split())
-        scores += [sum(weights.tags[t] for t in b.tags), weight * (n if weight > 0 else min(n, 2))]
-    start, stop = best_run(scores)
-    return "\n".join(b.text for i, b in enumerate(found) if start <= 2 * i + 1 < stop and weights.words[b.place] > 0)
+@functools.cache
+def own_weights() -> Weights:
+    """Weights from the labelled pages of this package."""
+    return fit(own_pages.pages())
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", labelled=None) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars (code points).
 
     Null and empty html gives an empty text; ids and urls are returned as they are, also null or
-    repeated; extra columns aren't read; an empty table gives no rows. ``labelled``: pages with the
-    texts of their content blocks, from which the weights are fitted; by default those below.
+    repeated; extra columns aren't read; an empty table gives no rows. Time grows with a page's
+    length, whatever its markup. ``labelled``: pages with the texts of their content blocks, from
+    which the weights are fitted; by default those of this package.
     """
-    weights = fit(labelled or LABELLED)
+    weights = fit(labelled) if labelled else own_weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,32 +356,3 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         .mapInArrow(run, "page_id long, url string, text string, n_chars long")
         .withColumnsRenamed({"page_id": page_id, "url": url})
     )
-
-
-#: Labelled pages, written for this purpose: layouts with and without an article element.
-LABELLED = [
-    (
-        "<html><head><title>River</title></head><body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav>"
-        "<div class='ad'>Buy two lamps and get a third one free this week only</div><article><h1>The river rose</h1>"
-        "<p>After three days of rain the river left its bed and ran through the lower town.</p>"
-        "<p>Nobody was hurt, but the <b>old bridge</b> will stay closed until the spring.</p></article>"
-        "<footer>All rights reserved by the paper</footer></body></html>",
-        ["The river rose", "After three days of rain the river left its bed and ran through the lower town.",
-         "Nobody was hurt, but the old bridge will stay closed until the spring."],
-    ),
-    (
-        "<html><body><header><a href='/'>The Gardener</a><form><input><button>Search now</button></form></header><div id='page'>"
-        "<h2>How to prune roses</h2><p>Cut above a bud that looks outward, in late winter, with a clean blade.</p>"
-        "<ul><li>Gloves of thick leather</li><li>A small saw for the old wood</li></ul>"
-        "<p>Burn what was ill and water the roots well.</p></div><aside><h3>More to read</h3><p>Ten plants for dry soil</p></aside>"
-        "<div class='comments'><p>Great advice, thank you so much, it worked for me.</p></div></body></html>",
-        ["How to prune roses", "Cut above a bud that looks outward, in late winter, with a clean blade.",
-         "Gloves of thick leather", "A small saw for the old wood", "Burn what was ill and water the roots well."],
-    ),
-    (
-        "<html><body><div>Free delivery on every order over fifty</div><main><h1>Annual report</h1><section><h2>Results</h2>"
-        "<p>Sales grew by a tenth while costs stayed where they were the year before.</p><table><tr><td>Staff</td>"
-        "<td>two hundred and six</td></tr></table></section></main><div>Follow us here and there</div></body></html>",
-        ["Annual report", "Results", "Sales grew by a tenth while costs stayed where they were the year before.", "Staff", "two hundred and six"],
-    ),
-]
