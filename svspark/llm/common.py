@@ -70,12 +70,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     cur = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
+    before = None
     for _ in range(max_rounds):
+        # rows are distinct, so a count and a checksum that knows no order tell whether a round changed anything
+        now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if now == before:
+            break
+        before = now
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("size")), "least")
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
         large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            with_group(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         # small star: the smaller neighbours of u, and u itself, are linked to their least
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -86,11 +92,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        new = cut(small, "edges")
-        changed = new.exceptAll(cur).limit(1).count() or cur.exceptAll(new).limit(1).count()
-        cur = new
-        if not changed:
-            break
+        cur = cut(small, "edges")
     else:
         raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
