@@ -6,7 +6,9 @@ bins and carried over bins by a summary with one row a bin, so no task ever sort
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -17,22 +19,9 @@ from pyspark.sql import types as T
 BIN = 1_000_000
 
 
-def _binned(df: DataFrame, pos: str, width: int) -> DataFrame:
-    return df.withColumn("_bin", F.floor(F.col(pos) / F.lit(width)))
-
-
-def _number_islands(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """From a 0/1 column ``_new`` the running number of islands for each key, bin by bin."""
-    inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_n"))
-    offsets = starts.select(*keys, "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (
-        df.withColumn("_in", F.sum("_new").over(inside))
-        .join(offsets, [*keys, "_bin"])
-        .withColumn(name, (F.col("_off") + F.col("_in")).cast("long"))
-        .drop("_off", "_in", "_new", "_bin")
-    )
+def _binned(df: DataFrame, keys: list[str], pos: str, width: int) -> DataFrame:
+    """Rows dealt out once by (keys, bin); what follows in a bin needs no other exchange."""
+    return df.where(F.col(pos).isNotNull()).withColumn("_bin", F.floor(F.col(pos) / F.lit(width))).repartition(*keys, "_bin")
 
 
 def islands(
@@ -43,31 +32,51 @@ def islands(
     A row starts a cluster if its position is more than ``gap`` after the one before (``inclusive``:
     a distance of ``gap`` still joins; else it doesn't). Rows with equal positions share a cluster;
     rows with a null position have none and are left out. ``keys`` must not be null.
+
+    Clusters are counted in bins; a table with one row a bin, made of keys and positions alone, says
+    how many there are before each bin and whether the bin's first goes on from the one before.
     """
-    rows = _binned(df.where(F.col(pos).isNotNull()), pos, width)
     inside = Window.partitionBy(*keys, "_bin").orderBy(pos)
+    step = F.col(pos) - F.lag(pos).over(inside)
+    new = F.when(step > gap if inclusive else step >= gap, 1).otherwise(0)
+    rows = _binned(df, keys, pos, width).withColumn("_new", new)
+    ends = rows.select(*keys, "_bin", pos, "_new").groupBy(*keys, "_bin").agg(
+        F.min(pos).alias("_low"), F.max(pos).alias("_high"), F.sum("_new").alias("_n")
+    )
     across = Window.partitionBy(*keys).orderBy("_bin")
-    last = rows.groupBy(*keys, "_bin").agg(F.max(pos).alias("_max"))
-    last = last.select(*keys, "_bin", F.lag("_max").over(across).alias("_before"))
-    step = F.col(pos) - F.coalesce(F.lag(pos).over(inside), F.col("_before"))
-    far = step > gap if inclusive else step >= gap
-    rows = rows.join(last, [*keys, "_bin"]).withColumn("_new", F.when(step.isNull() | far, 1).otherwise(0)).drop("_before")
-    return _number_islands(rows, keys, [pos, F.desc("_new")], name)
+    border = F.col("_low") - F.lag("_high").over(across)
+    ends = ends.withColumn("_border", F.when(border.isNull() | (border > gap if inclusive else border >= gap), 1).otherwise(0))
+    before = F.sum(F.col("_n") + F.col("_border")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    ends = ends.select(*keys, "_bin", before.alias("_before"))
+    return (
+        rows.withColumn("_in", F.sum("_new").over(inside))  # rows with equal positions count alike
+        .join(ends, [*keys, "_bin"])
+        .withColumn(name, (F.col("_before") + F.col("_in")).cast("long"))
+        .drop("_before", "_in", "_new", "_bin")
+    )
 
 
 def merge_islands(
     df: DataFrame, keys: list[str], start: str, end: str, gap: int, name: str = "cid", width: int = BIN
 ) -> DataFrame:
-    """Adds ``name``: intervals join while start - (greatest end so far) < ``gap``."""
-    rows = _binned(df.where(F.col(start).isNotNull() & F.col(end).isNotNull()), start, width)
-    inside = Window.partitionBy(*keys, "_bin").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    reach = rows.groupBy(*keys, "_bin").agg(F.max(end).alias("_max"))
-    reach = reach.select(*keys, "_bin", F.max("_max").over(across).alias("_before"))
-    so_far = F.greatest(F.max(end).over(inside), F.col("_before"))
-    new = F.when(so_far.isNull() | (F.col(start) - so_far >= gap), 1).otherwise(0)
-    rows = rows.join(reach, [*keys, "_bin"]).withColumn("_new", new).drop("_before")
-    return _number_islands(rows, keys, [start, end], name)
+    """Adds ``name``, the first start of the island: intervals join while start - (greatest end so far) < ``gap``.
+
+    Rows with a null start or end are left out. What earlier bins reach, and where their last island
+    starts, comes from a table with one row a bin.
+    """
+    inside = Window.partitionBy(*keys, "_bin").orderBy(start, end)
+    so_far = F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(so_far.isNull() | (F.col(start) - so_far >= gap), F.col(start))  # the start, if nothing in the bin reaches it
+    rows = _binned(df.where(F.col(end).isNotNull()), keys, start, width).withColumn("_apart", apart)
+    ends = rows.select(*keys, "_bin", end, "_apart").groupBy(*keys, "_bin").agg(F.max(end).alias("_max"), F.max("_apart").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_reach", F.max("_max").over(earlier))
+    free = lambda c: F.col("_reach").isNull() | (F.col(c) - F.col("_reach") >= gap)
+    ends = ends.withColumn("_last", F.when(free("_last"), F.col("_last"))).select(
+        *keys, "_bin", "_reach", F.max("_last").over(earlier).alias("_open")
+    )
+    rows = rows.join(ends, [*keys, "_bin"]).withColumn("_first", F.when(free("_apart"), F.col("_apart")))
+    return rows.withColumn(name, F.coalesce(F.max("_first").over(inside), "_open")).drop("_bin", "_apart", "_reach", "_open", "_first")
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: int, flank: int = 0, clamp: bool = True) -> DataFrame:
@@ -80,30 +89,40 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: i
 
 
 def fold_islands(parted: DataFrame, keys: list[str], order: list[str], columns: list[str], kernel: Callable, name: str) -> DataFrame:
-    """Adds a long column ``name`` that ``kernel`` gives for each island of ``parted`` (column ``_island``).
+    """Adds a long column ``name`` that ``kernel`` gives for the rows of each island of ``parted`` (column ``_island``).
 
-    The kernel gets the island's ``columns`` as lists in ``order`` and returns a number for each row.
-    For what depends on order row by row; many islands share a task, none is split.
+    For what depends on order row by row. The kernel is a generator: it gets an island's rows in
+    ``order``, as tuples of a number and ``columns``, and yields (number, value) for each once it's
+    known. Islands are dealt out and sorted by Spark and streamed; what a task holds are the Arrow
+    batches with rows that the kernel hasn't answered yet.
     """
     fields = T.StructType([*parted.schema.fields, T.StructField(name, T.LongType())])
     buckets = 4 * int(parted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([*keys, "_island", *order], kind="stable", ignore_index=True)
-        number = group.groupby([*keys, "_island"], sort=False, dropna=False).ngroup().to_numpy()
-        ends = [*(np.flatnonzero(np.diff(number)) + 1), len(group)]
-        values, out, at = [group[c].tolist() for c in columns], [], 0
-        for end in ends:
-            out += kernel(*[v[at:end] for v in values])
-            at = end
-        group[name] = np.array(out, dtype=np.int64)
-        return group.drop(columns="_bucket")
-
-    return (
-        parted.withColumn("_bucket", F.pmod(F.xxhash64(*keys, "_island"), F.lit(buckets)))
-        .groupBy("_bucket")
-        .applyInPandas(run, fields)
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: deque[list] = deque()  # [batch, values, number of its first row, rows to answer]
+        total = 0
+
+        def rows() -> Iterator[tuple]:
+            nonlocal total
+            for batch in batches:
+                if len(batch):
+                    first, total = total, total + len(batch)
+                    held.append([batch, np.zeros(len(batch), dtype=np.int64), first, len(batch)])
+                    island = zip(*[batch[c].tolist() for c in [*keys, "_island"]], strict=True)
+                    yield from zip(island, range(first, total), *[batch[c].tolist() for c in columns], strict=True)
+
+        for _, island in groupby(rows(), key=lambda row: row[0]):
+            for number, value in kernel(row[1:] for row in island):
+                at = next(h for h in held if number < h[2] + len(h[1]))
+                at[1][number - at[2]] = value
+                at[3] -= 1
+                while held and not held[0][3]:
+                    batch, values, *_ = held.popleft()
+                    batch[name] = values
+                    yield batch
+
+    return parted.repartition(buckets, *keys, "_island").sortWithinPartitions(*keys, "_island", *order).mapInPandas(run, fields)
 
 
 def overlap_pairs(

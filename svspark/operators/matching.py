@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,35 @@ def capped_spanning(windows: DataFrame, reads: DataFrame, on: list[str], most: i
     return first.groupBy("wid").agg(F.count_distinct("qname").alias("names"), F.sum("forward").alias("forward"), F.count("*").alias("looked_at"))
 
 
+def counted_spanning(windows: DataFrame, reads: DataFrame, on: list[str], cap: Column, rounds: int = 500) -> DataFrame:
+    """Distinct names of primary reads that span each window (wid, start, end), counted until enough is known.
+
+    Reads (r_start, r_end, qname, flag) are met in order of start and name. Only flags 0 and 16 count.
+    Counting stops when ``cap`` names are found (status 1), or at the first primary read from the
+    ``rounds``-th read on (status 1 if at most a fifth were primary, else -1); else the status is 0.
+    Returns wid, names, status, looked_at; windows that no read touches have 0, 0, 0.
+    """
+    pairs = overlap_pairs(windows.withColumn("_cap", cap), reads, on, F.col("start"), F.col("end") - 1, F.col("r_start"), F.col("r_end") - 1)
+    order = Window.partitionBy("wid").orderBy("r_start", "qname", "r_end", "flag")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    primary = F.col("flag").isin(0, 16)
+    spans = primary & (F.col("r_start") < F.col("start")) & (F.col("r_end") > F.col("end"))
+    first = F.row_number().over(Window.partitionBy("wid", "qname", "_spans").orderBy("r_start", "r_end", "flag")) == 1
+    rows = pairs.withColumn("_spans", spans).withColumn("_new", (F.col("_spans") & first).cast("int"))
+    rows = rows.withColumn("_k", F.row_number().over(order)).withColumn("_names", F.sum("_new").over(so_far)).withColumn("_primary", F.sum(primary.cast("int")).over(so_far))
+    full = F.col("_spans") & (F.col("_names") >= F.col("_cap"))
+    late = primary & (F.col("_k") >= rounds)
+    status = F.when(full, 1).when(late, F.when(F.col("_primary") <= 0.2 * F.col("_k"), 1).otherwise(-1))
+    ends = rows.withColumn("_status", status).groupBy("wid").agg(
+        F.min_by(F.struct("_names", "_status", "_k"), F.when(F.col("_status").isNotNull(), F.col("_k"))).alias("stop"),
+        F.max("_names").alias("_all"), F.max("_k").alias("_last"),
+    )
+    return windows.join(ends, "wid", "left").select(
+        "wid", F.coalesce("stop._names", "_all", F.lit(0)).alias("names"), F.coalesce("stop._status", F.lit(0)).alias("status"),
+        F.coalesce("stop._k", "_last", F.lit(0)).alias("looked_at"),
+    )
+
+
 def best_match(calls: DataFrame, candidates: DataFrame, on: list[str], radius: int = 1000, similarity: float = 0.5) -> DataFrame:
     """Each call (cid, pos, svlen, gt) with the genotype of its most similar candidate (k_pos, k_len, k_gt, kid).
 
@@ -121,29 +153,48 @@ def pair_haplotypes(hap1: DataFrame, hap2: DataFrame, keys: list[str], distance:
 
     In order of position each call of the first takes the first free call of the second within
     ``distance`` that is of like size (for deletions also overlapping by half of the shorter). Pairs
-    are 1/1 with the longer allele, the second's of equals; the rest are 0/1. Islands of positions
-    bound the groups that are paired in one task.
+    are 1/1 with the longer allele, the second's of equals; the rest are 0/1. Calls are streamed by
+    islands of positions; those within reach are held.
     """
     both = hap1.select(*keys, "pos", "svlen", F.lit(1).alias("hap")).unionByName(hap2.select(*keys, "pos", "svlen", F.lit(2).alias("hap")))
 
-    def kernel(pos: list, length: list, hap: list, kind: list) -> list[int]:
+    def alike(kind: str, p: int, n: int, q: int, m: int) -> bool:
+        if min(n, m) < similarity * max(n, m):
+            return False
+        return kind != "DEL" or min(p + n, q + m) - max(p, q) >= similarity * min(n, m)
+
+    def kernel(island: Iterator[tuple]) -> Iterator[tuple[int, int]]:
         """0 for a call that its mate stands for, 1 for 0/1, 2 for 1/1."""
-        out, low = [1] * len(pos), 0
-        two = [i for i, h in enumerate(hap) if h == 2]
-        for i in (i for i, h in enumerate(hap) if h == 1):
-            while low < len(two) and pos[two[low]] < pos[i] - distance:
-                low += 1
-            for j in two[low:]:
-                if pos[j] > pos[i] + distance:
+        ones: deque[tuple] = deque()  # calls of the first haplotype whose reach isn't read yet
+        twos: deque[list] = deque()  # those of the second in reach of one: [number, pos, length, value]
+
+        def take() -> Iterator[tuple[int, int]]:
+            number, p, n, kind = ones.popleft()
+            while twos and twos[0][1] < p - distance:
+                yield twos[0][0], max(0, twos.popleft()[3])
+            value = 1
+            for two in twos:
+                if two[1] > p + distance:
                     break
-                n, m = length[i], length[j]
-                like = out[j] == 1 and min(n, m) >= similarity * max(n, m)
-                if like and kind[i] == "DEL":
-                    like = min(pos[i] + n, pos[j] + m) - max(pos[i], pos[j]) >= similarity * min(n, m)
-                if like:
-                    out[i], out[j] = (2, -1) if n > m else (0, 2)
+                if two[3] == 1 and alike(kind, p, n, two[1], two[2]):
+                    value, two[3] = (2, -1) if n > two[2] else (0, 2)
                     break
-        return [max(0, x) for x in out]
+            yield number, value
+
+        for number, p, n, hap, kind in island:
+            while ones and p > ones[0][1] + distance:
+                yield from take()
+            if not ones:  # what is behind no later call can reach
+                while twos and twos[0][1] < p - distance:
+                    yield twos[0][0], max(0, twos.popleft()[3])
+            if hap == 1:
+                ones.append((number, p, n, kind))
+            else:
+                twos.append([number, p, n, 1])
+        while ones:
+            yield from take()
+        for number, _, _, value in twos:
+            yield number, max(0, value)
 
     parted = islands(both, keys, "pos", distance, name="_island")
     found = fold_islands(parted, keys, ["pos", "svlen", "hap"], ["pos", "svlen", "hap", "svtype"], kernel, "_gt")

@@ -35,27 +35,30 @@ def clips(cigar: str) -> tuple[Column, Column]:
     return clip(first), clip(last)
 
 
-def cigar_indels(reads: DataFrame, key: str, ref_start: str, cigar: str, least: int = 30, order: list[str] | None = None) -> DataFrame:
+def cigar_indels(reads: DataFrame, key: str, ref_start: str, cigar: str, least: int = 30, step: int = 0) -> DataFrame:
     """Insertions and deletions of at least ``least`` bases: key, svtype, ref_pos, q_pos, len.
 
     Positions are running sums of the operations before: deletions and matches move along the
-    reference, insertions, clips and matches along the read.
+    reference, insertions, clips and matches along the read. An insertion stands ``step`` bases
+    further for itself and each one before it (1 in scans of raw reads).
     """
     moves_ref = lambda c: F.when(c["op"].isin("M", "D", "N", "=", "X"), c["len"]).otherwise(0)
     moves_read = lambda c: F.when(c["op"].isin("M", "I", "S", "=", "X"), c["len"]).otherwise(0)
     start = F.struct(
-        F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("q"),
+        F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("more"),
         F.expr("cast(array() as array<struct<op:string,len:bigint,r:bigint,q:bigint>>)").alias("out"),
     )
 
-    def step(acc: Column, c: Column) -> Column:
-        event = F.struct(c["op"].alias("op"), c["len"].alias("len"), acc["r"].alias("r"), acc["q"].alias("q"))
+    def move(acc: Column, c: Column) -> Column:
+        more = acc["more"] + F.when((c["op"] == "I") & (c["len"] >= least), step).otherwise(0)
+        at = acc["r"] + F.when(c["op"] == "I", more).otherwise(0)
+        event = F.struct(c["op"].alias("op"), c["len"].alias("len"), at.alias("r"), acc["q"].alias("q"))
         return F.struct(
-            (acc["r"] + moves_ref(c)).alias("r"), (acc["q"] + moves_read(c)).alias("q"),
+            (acc["r"] + moves_ref(c)).alias("r"), (acc["q"] + moves_read(c)).alias("q"), more.cast("long").alias("more"),
             F.when(c["op"].isin("I", "D") & (c["len"] >= least), F.concat(acc["out"], F.array(event))).otherwise(acc["out"]).alias("out"),
         )
 
-    found = F.aggregate(F.col(cigar), start, step, lambda acc: acc["out"])
+    found = F.aggregate(F.col(cigar), start, move, lambda acc: acc["out"])
     return reads.select(key, F.col(ref_start).alias("_start"), F.explode(found).alias("e")).select(
         key, F.when(F.col("e.op") == "I", "INS").otherwise("DEL").alias("svtype"),
         (F.col("_start") + F.col("e.r")).alias("ref_pos"), F.col("e.q").alias("q_pos"), F.col("e.len").alias("len"),
@@ -91,22 +94,23 @@ def split_indels(segments: DataFrame, key: str, order: list[str], least: int = 3
     """Insertions and deletions between neighbouring alignments of a read on one strand and chromosome.
 
     The reference distance less the read distance is ``diff``, their overlap on the reference is
-    ``olap``. A deletion has diff >= ``least`` and little overlap, an insertion diff <= -``least``
-    and an overlap below ``deletion_overlap``; its length is the read distance plus the overlap, its
-    place the middle of large overlaps. Returns key, chrom, svtype, pos, len.
+    ``olap``, below ``deletion_overlap``. A deletion has diff >= ``least`` and stands where the first
+    alignment ends, shifted left by its length if they overlap by ``overlap`` or more. An insertion has
+    diff <= -``least``; its length is the read distance plus the overlap, its place the middle of large
+    overlaps, else the start of the second. Returns key, chrom, svtype, pos, len.
     """
     columns = ["chrom", "strand", "ref_start", "ref_end", "q_start", "q_end"]
     rows = adjacent(segments, key, order, columns).where("chrom = n_chrom and strand = n_strand and n_ref_start >= ref_start")
     rows = rows.withColumn("diff", (F.col("n_ref_start") - F.col("ref_end")) - (F.col("n_q_start") - F.col("q_end")))
-    rows = rows.withColumn("olap", F.col("ref_end") - F.col("n_ref_start")).where(F.abs("diff") <= far)
-    kind = F.when((F.col("diff") >= least) & (F.col("olap") < overlap), "DEL").when(
-        (F.col("diff") <= -least) & (F.col("olap") < deletion_overlap), "INS"
-    )
+    rows = rows.withColumn("olap", F.col("ref_end") - F.col("n_ref_start"))
+    rows = rows.where((F.abs("diff") <= far) & (F.abs("diff") >= least) & (F.col("olap") < deletion_overlap))
+    deletion = F.col("diff") > 0
     middle = F.floor((F.col("ref_end") + F.col("n_ref_start")) / 2)
-    rows = rows.withColumn("svtype", kind).where("svtype is not null")
-    length = F.when(F.col("svtype") == "DEL", F.col("diff")).otherwise(F.abs(F.col("n_q_start") - F.col("q_end") + F.col("olap")))
-    pos = F.when((F.col("svtype") == "INS") & (F.abs("olap") > 400), middle).otherwise(F.least("ref_end", "n_ref_start"))
-    return rows.select(key, "chrom", "svtype", pos.cast("long").alias("pos"), length.alias("len"))
+    length = F.when(deletion, F.col("diff")).otherwise(F.abs(F.col("n_q_start") - F.col("q_end") + F.col("olap")))
+    pos = F.when(deletion, F.col("ref_end") - F.when(F.col("olap") >= overlap, F.col("diff")).otherwise(0)).otherwise(
+        F.when(F.abs("olap") > 400, middle).otherwise(F.col("n_ref_start"))
+    )
+    return rows.select(key, "chrom", F.when(deletion, "DEL").otherwise("INS").alias("svtype"), pos.cast("long").alias("pos"), length.alias("len"))
 
 
 def segment_classes(segments: DataFrame, key: str, order: list[str], gap: int = 100, least: int = 30, most: int = 100_000) -> DataFrame:

@@ -67,7 +67,7 @@ def sigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, "orders", REGIONS).where("rid % 8 = 0")
+    return _select(spark, sf_dir, "orders", REGIONS)
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +81,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters of documents recoded to bases, the first 200: (sid, seq)."""
+    """Letters of documents recoded to bases: (sid, seq)."""
     letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
     bases = F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), F.substring(bases, 1, 200).alias("seq"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), bases.alias("seq"))
 
 
 def _sql(columns: str, source: str) -> str:
@@ -95,11 +95,11 @@ def _sql(columns: str, source: str) -> str:
 #: Common table expressions for the oracles.
 VIEWS = {
     "sigs": _sql(SIGS, "lineitem"),
-    "regions": _sql(REGIONS, "orders WHERE o_orderkey % 8 = 0"),
+    "regions": _sql(REGIONS, "orders"),
     "segments": _sql(SEGMENTS, "lineitem"),
     "points": f"SELECT epoch_us(ts) // 1000000 AS pos, {POINTS.strip().replace(';' + chr(10), ',' + chr(10)).replace('AS STRING', 'AS VARCHAR')} FROM events",
-    "seqs": """SELECT doc_id AS sid, substr(translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'),
-               'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 200) AS seq FROM documents""",
+    "seqs": """SELECT doc_id AS sid, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'),
+               'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents""",
 }
 
 

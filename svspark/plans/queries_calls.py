@@ -202,13 +202,13 @@ def false_positive_norm(spark, d):
 @query(
     "A36_equal_haplotypes",
     sql(
-        """, a AS (SELECT sid // 2 AS k, sid % 2 AS h, substr(seq, 1, 1) AS s FROM seqs)
+        """, a AS (SELECT sid // 2 AS k, sid % 2 AS h, seq AS s FROM seqs)
         SELECT count(*) AS pairs, count(*) FILTER (x.s = y.s) AS same, round(avg(CASE WHEN x.s = y.s THEN 1.0 ELSE 0.0 END), 6) AS share FROM a x JOIN a y ON x.k = y.k AND x.h = 0 AND y.h = 1""",
         "seqs",
     ),
 )
 def equal_haplotypes(spark, d):
-    s = A.sequences(spark, d).select(F.expr("sid div 2").alias("k"), (F.col("sid") % 2).alias("h"), F.substring("seq", 1, 1).alias("s"))
+    s = A.sequences(spark, d).select(F.expr("sid div 2").alias("k"), (F.col("sid") % 2).alias("h"), F.col("seq").alias("s"))
     pairs = s.where("h = 0").join(s.where("h = 1").select("k", F.col("s").alias("o")), "k")
     same = F.when(F.col("s") == F.col("o"), 1.0).otherwise(0.0)
     return pairs.agg(F.count("*").alias("pairs"), F.sum(same).cast("long").alias("same"), F.round(F.avg(same), 6).alias("share"))

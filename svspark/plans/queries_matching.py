@@ -162,6 +162,30 @@ def capped_spanning(spark, d):
     return M.capped_spanning(windows(spark, d), reads(spark, d), ["chrom"], 4)
 
 
+@query(
+    "J6_counted_spanning",
+    sql(
+        CALLS + READS
+        + """, fl AS (SELECT *, CASE WHEN r_start % 5 = 0 THEN 2048 ELSE 16 * forward END AS flag FROM reads),
+        k AS (SELECT w.wid, r.*, flag IN (0, 16) AS pri, flag IN (0, 16) AND r.r_start < w."start" AND r.r_end > w."end" AS spans, CASE WHEN w.wid % 4 = 0 THEN 3 ELSE 10 * (1 + w.wid % 2) END AS cap
+              FROM windows w JOIN fl r ON r.chrom = w.chrom AND r.r_start < w."end" AND r.r_end > w."start"),
+        m AS (SELECT *, spans AND row_number() OVER (PARTITION BY wid, qname, spans ORDER BY r_start, r_end, flag) = 1 AS fresh FROM k),
+        n AS (SELECT *, row_number() OVER o AS i, sum(CAST(fresh AS INT)) OVER o AS names, sum(CAST(pri AS INT)) OVER o AS p
+              FROM m WINDOW o AS (PARTITION BY wid ORDER BY r_start, qname, r_end, flag ROWS UNBOUNDED PRECEDING)),
+        t AS (SELECT *, CASE WHEN spans AND names >= cap THEN 1 WHEN pri AND i >= 8 THEN CASE WHEN p <= 0.2 * i THEN 1 ELSE -1 END END AS status FROM n),
+        e AS (SELECT wid, min(i) FILTER (status IS NOT NULL) AS stop, max(i) AS last, max(names) AS every FROM t GROUP BY wid)
+        SELECT w.wid, CAST(coalesce(t.names, e.every, 0) AS BIGINT) AS names, CAST(coalesce(t.status, 0) AS INT) AS status, CAST(coalesce(e.stop, e.last, 0) AS BIGINT) AS looked_at
+        FROM windows w LEFT JOIN e USING (wid) LEFT JOIN t ON t.wid = e.wid AND t.i = e.stop""",
+        "sigs",
+    ),
+)
+def counted_spanning(spark, d):
+    flagged = reads(spark, d).withColumn("flag", F.when(F.col("r_start") % 5 == 0, 2048).otherwise(16 * F.col("forward")))
+    cap = F.when(F.col("wid") % 4 == 0, 3).otherwise(10 * (1 + F.col("wid") % 2))
+    found = M.counted_spanning(windows(spark, d), flagged, ["chrom"], cap, rounds=8)
+    return found.select("wid", F.col("names").cast("long"), F.col("status").cast("int"), F.col("looked_at").cast("long"))
+
+
 @query("J7_haplotype_pairs")
 def haplotype_pairs(spark, d):
     s = A.sigs(spark, d).select("chrom", "svtype", "pos", "svlen", "ln").distinct()
@@ -269,13 +293,36 @@ def similar_calls(spark, d):
     return M.similar_calls(c, b, ON).withColumn("score", F.round("score", 6))
 
 
-LINKS = """, links AS (SELECT a.cid AS a, b.cid AS b FROM calls a JOIN calls b ON a.chrom = b.chrom AND a.svtype = b.svtype AND a.cid < b.cid
-    AND abs(a.pos - b.pos) <= 300 AND least(a.svlen, b.svlen) >= 0.5 * greatest(a.svlen, b.svlen))"""
+#: Insertions have a sequence: a stretch of a document's letters, recoded to bases.
+LINKS = """, docs AS (SELECT count(*) AS n FROM seqs), told AS (
+    SELECT c.*, CASE WHEN svtype = 'INS' THEN substr(s.seq, CAST(pos % 300 AS BIGINT) + 1, CAST(svlen // 8 AS BIGINT)) END AS seq
+    FROM calls c LEFT JOIN seqs s ON s.sid = (c.pos // 1000) % (SELECT n FROM docs)
+), near AS (
+    SELECT a.cid AS a, b.cid AS b, a.svtype, a.pos AS p, b.pos AS q, a.seq AS s, b.seq AS t, least(a.svlen, b.svlen)::DOUBLE / greatest(a.svlen, b.svlen) AS alike
+    FROM told a JOIN told b ON a.chrom = b.chrom AND a.svtype = b.svtype AND a.cid < b.cid AND abs(a.pos - b.pos) <= 3000
+), scored AS (
+    SELECT *, CASE WHEN svtype = 'INS' AND abs(p - q) <= 500 AND alike >= 0.5 THEN (length(s) + length(t) - levenshtein(s, t))::DOUBLE / nullif(length(s) + length(t), 0) END AS score FROM near
+), links AS (SELECT a, b FROM scored WHERE (svtype = 'DEL' AND alike >= 0.1) OR (svtype = 'INS' AND score >= 0.5))"""
 
 
-@query("J18_match_links", sql(CALLS + LINKS + "SELECT a, b FROM links", "sigs"))
+def told(spark, d):
+    """Calls, insertions with their sequence."""
+    seqs = A.sequences(spark, d)
+    c = calls(spark, d).crossJoin(F.broadcast(seqs.agg(F.count("*").alias("docs")))).withColumn("sid", F.expr("(pos div 1000) % docs"))  # one row
+    seq = F.when(F.col("svtype") == "INS", F.expr("substring(seq, cast(pos % 300 as int) + 1, cast(svlen div 8 as int))"))
+    return c.join(seqs, "sid", "left").withColumn("seq", seq).drop("sid", "docs")
+
+
+def links(spark, d):
+    """Links by type: deletions within 3000 and of a tenth of each other's size, insertions within 500, half and alike."""
+    c = told(spark, d).checkpoint()
+    found = M.match_links(c.where("svtype = 'DEL'").drop("seq"), ON, 3000, 0.1)
+    return found.unionByName(M.match_links(c.where("svtype = 'INS'"), ON, 500, 0.5, 0.5))
+
+
+@query("J18_match_links", sql(CALLS + LINKS + "SELECT a, b FROM links", "sigs", "seqs"))
 def match_links(spark, d):
-    return M.match_links(calls(spark, d), ON, 300, 0.5)
+    return links(spark, d)
 
 
 @query(
@@ -286,12 +333,12 @@ def match_links(spark, d):
         walk(node, root) AS (SELECT cid, cid FROM calls UNION SELECT e.b, w.root FROM walk w JOIN both_ways e ON e.a = w.node WHERE e.b > w.root OR w.root < e.b),
         comp AS (SELECT node AS cid, min(root) AS component FROM walk GROUP BY node)
         SELECT component, count(*) AS n, arg_max(cid, svlen * 1000000000000 - cid) AS cid FROM comp JOIN calls USING (cid) GROUP BY component""",
-        "sigs",
+        "sigs", "seqs",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def components_best_pick(spark, d):
     c = calls(spark, d)
-    groups = C.connected_components(M.match_links(c, ON, 300, 0.5)).withColumnRenamed("node", "cid")
+    groups = C.connected_components(links(spark, d)).withColumnRenamed("node", "cid")
     rows = c.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     return rows.groupBy("component").agg(F.count("*").alias("n"), F.max_by("cid", F.col("svlen") * 1000000000000 - F.col("cid")).alias("cid"))
 
@@ -329,16 +376,13 @@ def shared_read_names(spark, d):
 
 @query(
     "F2_sequence_links",
-    sql(
-        """SELECT a.sid AS a, b.sid AS b, round((length(a.seq) + length(b.seq) - levenshtein(a.seq, b.seq))::DOUBLE / (length(a.seq) + length(b.seq)), 6) AS score
-        FROM seqs a JOIN seqs b ON substr(a.seq, 1, 12) = substr(b.seq, 1, 12) AND a.sid < b.sid AND length(a.seq) > 0""",
-        "seqs",
-    ),
+    sql(CALLS + LINKS + "SELECT a, b, round(score, 6) AS score FROM scored WHERE score IS NOT NULL", "sigs", "seqs"),
 )
 def sequence_links(spark, d):
     from ..functions.scalars import edit_similarity
 
-    a = A.sequences(spark, d).where("length(seq) > 0").withColumn("head", F.substring("seq", 1, 12))
-    b = a.select(F.col("sid").alias("b"), F.col("seq").alias("o"), "head")
-    pairs = a.join(b, "head").where("sid < b")
-    return pairs.select(F.col("sid").alias("a"), "b", F.round(edit_similarity("seq", "o"), 6).alias("score"))
+    c = told(spark, d).where("svtype = 'INS'").checkpoint()
+    pairs = M.match_links(c, ON, 500, 0.5)
+    one, two = c.select(F.col("cid").alias("a"), "seq"), c.select(F.col("cid").alias("b"), F.col("seq").alias("o"))
+    scored = pairs.join(one, "a").join(two, "b").select("a", "b", F.round(edit_similarity("seq", "o"), 6).alias("score"))
+    return scored.where("score is not null")

@@ -279,10 +279,10 @@ def common_ids(spark, d):
     return s.where("svtype = 'DEL'").select("rname").intersect(s.where("svtype = 'INS'").select("rname"))
 
 
-@query("U4_ids_left", sql("SELECT rname FROM sigs WHERE svtype = 'DEL' EXCEPT SELECT rname FROM sigs WHERE svtype = 'INS'", "sigs"))
+@query("U4_ids_left", sql("SELECT rname, chrom FROM sigs WHERE svtype = 'DEL' EXCEPT SELECT rname, chrom FROM sigs WHERE svtype = 'INS'", "sigs"))
 def ids_left(spark, d):
     s = A.sigs(spark, d)
-    return s.where("svtype = 'DEL'").select("rname").subtract(s.where("svtype = 'INS'").select("rname"))
+    return s.where("svtype = 'DEL'").select("rname", "chrom").subtract(s.where("svtype = 'INS'").select("rname", "chrom"))
 
 
 @query("S1_region_scan", sql("SELECT chrom, pos, svlen, rname FROM sigs WHERE chrom = 'chr7' AND pos < 400000 AND pos + svlen > 100000", "sigs"))

@@ -85,9 +85,10 @@ def adjacent_segments(spark, d):
         NEXT
         + """, s AS (SELECT *, (n_ref_start - ref_end) - (n_q_start - q_end) AS diff, ref_end - n_ref_start AS olap
                    FROM adj WHERE chrom = n_chrom AND strand = n_strand AND n_ref_start >= ref_start),
-        k AS (SELECT *, CASE WHEN diff >= 30 AND olap < 30 THEN 'DEL' WHEN diff <= -30 AND olap < 3000 THEN 'INS' END AS svtype FROM s WHERE abs(diff) <= 50000)
+        k AS (SELECT *, CASE WHEN diff >= 30 THEN 'DEL' WHEN diff <= -30 THEN 'INS' END AS svtype FROM s WHERE abs(diff) <= 50000 AND olap < 3000)
         SELECT qname, chrom, svtype,
-               CAST(CASE WHEN svtype = 'INS' AND abs(olap) > 400 THEN floor((ref_end + n_ref_start) / 2) ELSE least(ref_end, n_ref_start) END AS BIGINT) AS pos,
+               CAST(CASE WHEN svtype = 'DEL' AND olap >= 30 THEN ref_end - diff WHEN svtype = 'DEL' THEN ref_end
+                         WHEN abs(olap) > 400 THEN floor((ref_end + n_ref_start) / 2) ELSE n_ref_start END AS BIGINT) AS pos,
                CASE WHEN svtype = 'DEL' THEN diff ELSE abs(n_q_start - q_end + olap) END AS len
         FROM k WHERE svtype IS NOT NULL""",
         "segments",

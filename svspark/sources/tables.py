@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.segments import parse_cigar, reference_length
 
+#: Header lines that the format prescribes.
 VCF_HEADER = [
     "##fileformat=VCFv4.2",
     '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Type of the variant">',
@@ -103,15 +104,23 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(qname, seq, qual) of FASTQ files with four lines a record.
 
-    Records are told apart by a line that starts with @; a file in which a quality line does so
-    can't be split that way and is refused with an error.
+    Lines are numbered in their file, by their place in a split and by the lines of the splits before
+    (one row a split), and four in a row are a record; so a quality line may start with @. Empty lines
+    at the end are left out. A file whose lines don't make whole records is refused with an error.
     """
-    rows = spark.read.option("lineSep", "\n@").text(path)
-    parts = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    whole = F.when(F.size(parts) < 4, F.raise_error(F.lit("a FASTQ record without four lines"))).otherwise(parts)
-    return rows.where(F.length(F.trim("value")) > 0).select(whole.alias("p")).select(
-        F.regexp_extract(F.col("p")[0], r"^(\S+)", 1).alias("qname"), F.col("p")[1].alias("seq"), F.col("p")[3].alias("qual")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
     )
+    ends = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("file", "block", "low", before.alias("before"))
+    rows = lines.join(ends, ["file", "block"]).withColumn("at", F.col("before") + F.col("id") - F.col("low"))
+    part = lambda k: F.max(F.when(F.col("at") % 4 == k, F.col("value"))).alias(f"l{k}")
+    records = rows.groupBy("file", F.floor(F.col("at") / 4).alias("record")).agg(F.count("*").alias("n"), *[part(k) for k in range(4)])
+    empty = F.coalesce(F.length("l0"), F.lit(0)) + F.coalesce(F.length("l1"), F.lit(0)) == 0
+    whole = (F.col("n") == 4) & F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
+    name = F.when(whole, F.regexp_extract("l0", r"^@(\S+)", 1)).otherwise(F.raise_error(F.lit("a FASTQ record without its four lines")))
+    return records.where(~empty).select(name.alias("qname"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
 
 
 def read_gfa_segments(spark: SparkSession, path: str) -> DataFrame:
