@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators import phasing as P
 from ..operators.intervals import islands
 from . import adapters as A
 from . import query
@@ -132,6 +133,52 @@ def blocks_between_errors(spark, d):
     return E.blocks_between_errors(rows, ["chrom"], "pos").withColumn("piece", F.col("piece").cast("long"))
 
 
+def blocks_of_snps(spark, d):
+    """SNPs in phase blocks of a week; every eleventh position isn't phased."""
+    return snps(spark, d).withColumn("ps", F.expr("pos div 604800")).withColumn("phase", F.when(F.col("pos") % 11 != 0, F.col("phase")))
+
+
+@query("K17_switch_kinds")
+def switch_kinds(spark, d):
+    errors = P.phase_errors(blocks_of_snps(spark, d), ["chrom", "ps"], "pos", "phase")
+    return errors.groupBy("chrom", "error").agg(F.count("*").alias("n"))
+
+
+@query(
+    "K17_switch_rate",
+    sql(
+        """, snps AS (SELECT chrom, pos, pos // 604800 AS ps, max(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS phase FROM points GROUP BY chrom, pos),
+        w AS (SELECT chrom, phase, lag(phase) OVER (PARTITION BY chrom, ps ORDER BY pos) AS p FROM snps WHERE pos % 11 <> 0)
+        SELECT chrom, count(p) AS measured, count(*) FILTER (p <> phase) AS switches, round(100.0 * count(*) FILTER (p <> phase) / nullif(count(p), 0), 6) AS rate FROM w GROUP BY chrom""",
+        "points",
+    ),
+)
+def switch_rate(spark, d):
+    return P.switch_rate(P.phase_errors(blocks_of_snps(spark, d), ["chrom", "ps"], "pos", "phase"), ["chrom"])
+
+
+@query(
+    "K17_adjusted_blocks",
+    sql(
+        """, snps AS (SELECT chrom, pos, pos // 604800 AS ps FROM points GROUP BY chrom, pos),
+        b AS (SELECT chrom, ps, min(pos) AS low, max(pos) AS high FROM snps WHERE pos % 11 <> 0 GROUP BY chrom, ps),
+        t AS (SELECT b.chrom, b.ps, low, high, count(*) AS total, count(*) FILTER (s.pos % 11 <> 0 AND s.ps = b.ps) AS phased
+              FROM b JOIN snps s ON s.chrom = b.chrom AND s.pos > low AND s.pos <= high GROUP BY ALL)
+        SELECT chrom, ps, CAST(0 AS BIGINT) AS part, total, phased, high - low + 1 AS length, round((high - low + 1) * phased / total, 4) AS adjusted FROM t WHERE phased > 0""",
+        "points",
+    ),
+)
+def adjusted_blocks(spark, d):
+    s = blocks_of_snps(spark, d)
+    return P.adjusted_blocks(s, P.phase_errors(s, ["chrom", "ps"], "pos", "phase"))
+
+
+@query("K17_blocks_between_errors")
+def adjusted_parts(spark, d):
+    s = blocks_of_snps(spark, d)
+    return P.adjusted_blocks(s, P.phase_errors(s, ["chrom", "ps"], "pos", "phase"), cut=True)
+
+
 @query(
     "A38_pairs_by_distance",
     sql(

@@ -187,6 +187,55 @@ def test_inversions_in_targets_query(spark):
     assert Counter(map(tuple, found)) == want and len(want) > 20
 
 
+def kinds(phases):
+    """Codes of a block's phased SNPs by rereading it from every switch."""
+    switches = [i for i in range(1, len(phases)) if phases[i] != phases[i - 1]]
+    out = [0] * len(phases)
+    out[:1] = [4]
+    k = 0
+    while k < len(switches):
+        at = switches[k]
+        after = switches[k + 1] if k + 1 < len(switches) else None
+        if after is not None and after - at - 1 < 3:
+            out[at] = out[after] = 3
+            k += 2
+            continue
+        follows = (after if after is not None else len(phases)) - at - 1
+        out[at] = 2 if follows >= 3 and at >= 3 else 1
+        k += 1
+    return out
+
+
+def test_phasing_queries(spark):
+    from svspark.plans.queries_evaluation import blocks_of_snps
+
+    rows = [tuple(r) for r in blocks_of_snps(spark, SF).select("chrom", "ps", "pos", "phase").collect()]
+    codes, want = {}, Counter()
+    for (chrom, ps), v in by([r for r in rows if r[3] is not None], 2).items():
+        for (pos, _), code in zip(v, kinds([x[1] for x in v]), strict=True):
+            codes[chrom, ps, pos] = code
+            want[chrom, code] += 1
+    found = {(r["chrom"], r["error"]): r["n"] for r in QUERIES["K17_switch_kinds"](spark, SF).collect()}
+    assert found == want and len({c for _, c in want}) == 5
+    parts = Counter()
+    for chrom, ps in {k[:2] for k in codes}:
+        mine = sorted(p for c, b, p in codes if (c, b) == (chrom, ps))
+        every = sorted({r[2] for r in rows if r[0] == chrom and mine[0] < r[2] <= mine[-1]})
+        number, low, high, total, phased = 0, mine[0], None, 0, 0
+        for p in [*every, None]:
+            code = codes.get((chrom, ps, p))
+            if p is None or code in (1, 2, 3):
+                if phased:
+                    parts[chrom, ps, number, total, phased, high - low + 1, round((high - low + 1) * phased / total, 4)] += 1
+                number, low, high, total, phased = number + 1, p, None, 0, 0
+            else:
+                total += 1
+                if code is not None:
+                    phased, high = phased + 1, p
+    found = QUERIES["K17_blocks_between_errors"](spark, SF).select("chrom", "ps", "part", "total", "phased", "length", "adjusted").collect()
+    assert Counter(map(tuple, found)) == parts and len(parts) > 20
+
+
 def test_cigar_indels_against_a_loop(spark):
     r = random.Random(17)
     rows = []
