@@ -107,7 +107,7 @@ def mix(
 
     A source's words are taken up to its target, rounded down to whole words: its last block is cut.
     Documents are shuffled by a hash of id, text and seed, so reruns agree. Running sums go over
-    ranges of the hash of about ``part_rows`` rows in each source and then over the ranges, so that a
+    ranges of the hash (256, or more of about ``part_rows`` rows) in each source and then over the ranges, so that a
     source with a third of all rows is spread over many tasks. A table of sources is met by windows
     without a key: sources must be few against rows, as names of collections are.
     """
@@ -130,7 +130,7 @@ def _mix(
         ),
         "sizes",
     )
-    parts = max(16, -(-rows.count() // part_rows))
+    parts = max(256, -(-rows.count() // part_rows))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut(
         source_targets(sizes, max_repeats)
@@ -211,25 +211,39 @@ def mixed_documents(
     documents, draws, _ = _mix(docs, doc_id, text, source, seed=seed, **settings)
     slots = draws.groupBy("row").agg(F.sort_array(F.collect_list("slot")).alias("slots"))  # its blocks, max_repeats times
     n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    among = Window.partitionBy("doc_id", "order").orderBy(F.desc("taken"), "row")
-    times = documents.join(slots, "row", "left").select(
-        F.col("doc_id").alias("__mix_id"), F.col("order").alias("__mix_order"), F.row_number().over(among).alias("__mix_k"),
-        n.alias("__mix_n"), F.col("slots").alias("__mix_slots"),
-    )
+    # equal rows have one key: how many of them are in how often, a few kinds at most
+    kind = F.struct((-F.col("n")).alias("less"), "n", "c", "slots")
+    times = (
+        documents.join(slots, "row", "left")
+        .select(F.coalesce("doc_id", F.lit(0)).alias("__mix_id"), F.col("order").alias("__mix_order"), n.alias("n"), "first_slot", "slots")
+        .groupBy("__mix_id", "__mix_order", "n")
+        .agg(F.count("*").alias("c"), F.min_by("slots", "first_slot").alias("slots"))
+        .groupBy("__mix_id", "__mix_order")
+        .agg(F.sort_array(F.collect_list(kind)).alias("__mix_kinds"))
+    )
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    own = Window.partitionBy("__own_id", "__own_order").orderBy("__own_all")
     keyed = docs.select(
-        "*", F.col(doc_id).cast("long").alias("__own_id"), _order(doc_id, text, source, seed).alias("__own_order"), F.xxhash64(*hashed).alias("__own_all")
-    ).withColumn("__own_k", F.row_number().over(own))
-    joined = keyed.join(
-        times,
-        F.col("__own_id").eqNullSafe(F.col("__mix_id")) & (F.col("__own_order") == F.col("__mix_order")) & (F.col("__own_k") == F.col("__mix_k")),
+        "*", F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("__own_id"), _order(doc_id, text, source, seed).alias("__own_order"),
+        F.xxhash64(*hashed).alias("__own_all"),
+    )
+    joined = keyed.join(times, (F.col("__own_id") == F.col("__mix_id")) & (F.col("__own_order") == F.col("__mix_order")))
+    # the window needs no exchange after the join; the k-th of equal rows is of the kind that it falls to
+    joined = joined.withColumn("__own_k", F.row_number().over(Window.partitionBy("__own_id", "__own_order").orderBy("__own_all")).cast("long"))
+    none = F.expr("cast(null as struct<less:int,n:int,c:bigint,slots:array<bigint>>)")
+    found = F.aggregate(
+        "__mix_kinds",
+        F.struct(F.col("__own_k").alias("left"), none.alias("hit")),
+        lambda acc, x: F.struct(
+            (acc["left"] - x["c"]).alias("left"), F.when(acc["hit"].isNull() & (acc["left"] <= x["c"]), x).otherwise(acc["hit"]).alias("hit")
+        ),
+        lambda acc: acc["hit"],
     )
-    slot = F.col("__mix_slots")[F.floor(F.col("__mix_i") * F.size("__mix_slots") / F.col("__mix_n")).cast("int")]
+    joined = joined.withColumn("__mix", found)
+    slot = F.col("__mix.slots")[F.floor(F.col("__mix_i") * F.size("__mix.slots") / F.col("__mix.n")).cast("int")]
     return (
-        joined.where("__mix_n > 0")
-        .withColumn("__mix_i", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
+        joined.where("__mix.n > 0")
+        .withColumn("__mix_i", F.explode(F.sequence(F.lit(0), F.col("__mix.n") - 1)))
         .withColumn("__mix_slot", slot)
-        .orderBy(F.col("__mix_slot").asc_nulls_last(), "__mix_order", "__mix_k", "__mix_i")
+        .orderBy(F.col("__mix_slot").asc_nulls_last(), "__mix_order", "__own_k", "__mix_i")
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
