@@ -83,13 +83,23 @@ def chrom_number(chrom) -> Column:
     return F.regexp_extract(_c(chrom), r"^chr(\d+)$", 1).try_cast("int")
 
 
-def half_width(std, n) -> Column:
-    """1.96 standard errors, cut to a whole number."""
-    return F.floor(F.try_divide(1.96 * _c(std), F.sqrt(_c(n)))).cast("long")
+def passes(filter, dots: bool = False) -> Column:
+    """Whether a record's FILTER is PASS, or with ``dots`` a point."""
+    return (_c(filter) == "PASS") | (F.lit(dots) & (_c(filter) == "."))
+
+
+def reversed_interval(start, end, length) -> tuple[Column, Column]:
+    """The interval [start, end) of a sequence seen from its other end."""
+    return _c(length) - _c(end), _c(length) - _c(start)
+
+
+def sequence_similarity(info) -> Column:
+    """The value of PctSeqSimilarity in an INFO text, or null."""
+    return F.nullif(F.regexp_extract(_c(info), r"(?:^|;)PctSeqSimilarity=([0-9.]+)", 1), F.lit("")).cast("double")
 
 
 def reference_cap(n) -> Column:
-    """How many spanning reads are looked at for a variant with ``n`` supporting reads."""
+    """Fixed values. How many spanning reads are looked at for a variant with ``n`` supporting reads."""
     n = _c(n)
     return F.when(n <= 2, 10 * n).when(n <= 5, 5 * n).when(n <= 15, 4 * n).otherwise(3 * n)
 

@@ -139,3 +139,25 @@ def quantile_band(rows: DataFrame, keys: list[str], value: str, low: float, high
     """Rows whose value is from ``low`` to ``high`` times the exact median of their key."""
     median = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
     return rows.join(median, keys).where(F.col(value).between(low * F.col("_m"), high * F.col("_m"))).drop("_m")
+
+
+def sample_by_hash(rows: DataFrame, name: Column, k: int, seed: int = 0) -> DataFrame:
+    """``k`` rows without replacement, by the order of a digest of ``seed`` and ``name``; all if there are fewer."""
+    return rows.withColumn("_digest", F.md5(F.concat(F.lit(str(seed)), name))).orderBy("_digest").limit(k).drop("_digest")
+
+
+def rank_classes(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """Adds class: bottom or top share of the rows by ``value`` (bottom10, top50, ...), else middle.
+
+    Equal values share a class: one is in the bottom share if all rows up to it fit there, and in the
+    top share if all from it on do. Shares come from the counts of distinct values, so no task sorts
+    the rows.
+    """
+    counts = rows.groupBy(value).agg(F.count("*").alias("_k"))
+    upto = counts.withColumn("_upto", F.sum("_k").over(Window.orderBy(value))).withColumn("_all", F.sum("_k").over(Window.partitionBy(F.lit(0))))
+    found = F.lit("middle")
+    for share in sorted(shares, reverse=True):
+        high, low = 1 - share, share
+        name = str(round(100 * share))
+        found = F.when(F.col("_upto") <= low * F.col("_all"), "bottom" + name).when(F.col("_upto") - F.col("_k") >= high * F.col("_all"), "top" + name).otherwise(found)
+    return rows.join(upto.withColumn("class", found).select(value, "class"), value).select(*rows.columns, "class")

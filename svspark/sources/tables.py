@@ -96,6 +96,20 @@ def write_fasta(rows: DataFrame, path: str, width: int = 60) -> None:
     rows.select(F.concat(F.lit(">"), "name", F.lit("\n"), lines).alias("value")).write.text(path)
 
 
+def write_phase_blocks(reads: DataFrame, path: str) -> None:
+    """Writes (ps, hp, name, seq) as FASTA folders by phase block and haplotype; a name is written once in each."""
+    once = reads.dropDuplicates(["ps", "hp", "name"]).repartition("ps", "hp")
+    once.select("ps", "hp", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.partitionBy("ps", "hp").text(path)
+
+
+def read_phase_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(ps, hp, name, seq) of FASTA folders by phase block and haplotype."""
+    rows = spark.read.option("lineSep", ">").schema("value string, ps long, hp long").text(path).where(F.length(F.trim("value")) > 0)
+    return rows.select(
+        "ps", "hp", F.regexp_extract("value", r"^(\S+)", 1).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq")
+    )
+
+
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """A FASTA index: name, length, offset, bases and bytes a line."""
     return spark.read.schema("name string, length long, offset long, line_bases int, line_bytes int").option("sep", "\t").csv(path)
