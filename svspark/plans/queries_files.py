@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..lineage import settled
 from ..operators import evaluation as E
 from ..operators import intervals as I
 from ..operators.clustering import signature_regions
@@ -276,7 +277,7 @@ MERGED = """, {name}_r AS (
     ),
 )
 def three_merges(spark, d):
-    found = signature_regions(A.sigs(spark, d)).checkpoint()
+    found = settled(signature_regions(A.sigs(spark, d)))
     prior = A.regions(spark, d).select("chrom", "start", "end")
     merged = [
         I.merge_intervals(found.where(F.col("svtype") == kind).select("chrom", "start", "end").unionByName(prior), ["chrom"], "start", "end", 15000, flank=7000)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import settled
 from ..operators import clustering as C
 from ..operators import matching as M
 from . import adapters as A
@@ -315,7 +316,7 @@ def told(spark, d):
 
 def links(spark, d):
     """Links by type: deletions within 3000 and of a tenth of each other's size, insertions within 500, half and alike."""
-    c = told(spark, d).checkpoint()
+    c = settled(told(spark, d))
     found = M.match_links(c.where("svtype = 'DEL'").drop("seq"), ON, 3000, 0.1)
     return found.unionByName(M.match_links(c.where("svtype = 'INS'"), ON, 500, 0.5, 0.5))
 
@@ -381,7 +382,7 @@ def shared_read_names(spark, d):
 def sequence_links(spark, d):
     from ..functions.scalars import edit_similarity
 
-    c = told(spark, d).where("svtype = 'INS'").checkpoint()
+    c = settled(told(spark, d).where("svtype = 'INS'"))
     pairs = M.match_links(c, ON, 500, 0.5)
     one, two = c.select(F.col("cid").alias("a"), "seq"), c.select(F.col("cid").alias("b"), F.col("seq").alias("o"))
     scored = pairs.join(one, "a").join(two, "b").select("a", "b", F.round(edit_similarity("seq", "o"), 6).alias("score"))
