@@ -171,7 +171,7 @@ def write_bundles(
         F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"),
         "html",
     )
-    # a revisit's payload isn't written, so it needn't travel either
+    # a revisit's payload isn't written: it is dropped here, behind the join that decides on it
     decided = decided.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
