@@ -132,3 +132,65 @@ def inversions_in_targets(spark, d):
 @query("K12_translocations_in_passes")
 def translocations_in_passes(spark, d):
     return V.translocations_in_passes(numbered(spark, d), "qname", "o")
+
+
+#: Segments that follow each other closely on the read, with places on three stretches of a chromosome.
+CLOSE = "q_start, q_start + 570 + tie2 % 60 AS q_end, chrom, strand, ref_start % 4000 AS ref_start, ref_start % 4000 + ref_end - ref_start AS ref_end"
+
+
+def events(spark, d):
+    rows = A.segments(spark, d).selectExpr("qname", "ln", "tie1", "tie2", "tie3", *[c.strip() for c in CLOSE.split(",")])
+    return V.adjacencies(rows, "qname", ORDER)
+
+
+ADJACENT = f""", s AS (SELECT qname, ln, tie1, tie2, tie3, {CLOSE} FROM segments),
+n AS (SELECT *, row_number() OVER w AS ix, lead(chrom) OVER w AS c2, lead(strand) OVER w AS s2, lead(ref_start) OVER w AS x2, lead(ref_end) OVER w AS y2, lead(q_start) OVER w - q_end AS g
+      FROM s WINDOW w AS (PARTITION BY qname ORDER BY q_start, q_end, ln, tie1, tie2, tie3)),
+d AS (SELECT *, strand = '+' AS plus, s2 = '+' AS plus2, CASE WHEN strand <> s2 THEN CASE WHEN strand = '+' THEN y2 - ref_end ELSE x2 - ref_start END
+                                WHEN strand = '+' THEN x2 - ref_end ELSE ref_start - y2 END AS r FROM n WHERE c2 IS NOT NULL AND g >= -50),
+k AS (SELECT *, g - r AS m, CASE WHEN strand = '+' THEN y2 > ref_start ELSE x2 < ref_end END AS full_, x2 - ref_end >= -50 AS ahead, ref_start - y2 >= -50 AS behind FROM d),
+t AS (SELECT *, CASE WHEN chrom <> c2 THEN CASE WHEN g <= 50 THEN 'BND' END
+    WHEN strand = s2 AND r >= -50 AND m >= 40 THEN CASE WHEN r <= 50 THEN 'INS' END
+    WHEN strand = s2 AND r >= -50 THEN CASE WHEN g <= 50 AND m BETWEEN -100000 AND -40 THEN 'DEL' WHEN g <= 50 AND m < -100000 THEN 'BND' END
+    WHEN strand = s2 THEN CASE WHEN g <= 50 AND m >= 40 THEN CASE WHEN full_ OR r >= -100000 THEN 'DUP' ELSE 'BND' END END
+    WHEN g <= 50 AND ahead THEN CASE WHEN -m BETWEEN 40 AND 100000 THEN 'INV' ELSE 'BND' END
+    WHEN g <= 50 AND behind THEN CASE WHEN m BETWEEN 40 AND 100000 THEN 'INV' ELSE 'BND' END END AS svtype FROM k),
+ev AS (SELECT qname, ix, svtype, CASE svtype WHEN 'DUP' THEN CASE WHEN plus THEN 'fwd' ELSE 'rev' END || CASE WHEN full_ THEN '+' ELSE '' END
+        WHEN 'INV' THEN CASE WHEN plus THEN 'left_' ELSE 'right_' END || CASE WHEN ahead THEN 'fwd' ELSE 'rev' END
+        WHEN 'BND' THEN CASE WHEN plus THEN 'fwd' ELSE 'rev' END || '_' || CASE WHEN plus2 THEN 'fwd' ELSE 'rev' END ELSE '' END AS form, chrom,
+    CASE svtype WHEN 'INS' THEN CASE WHEN plus THEN ref_end ELSE ref_start END WHEN 'DEL' THEN CASE WHEN plus THEN ref_end ELSE y2 END WHEN 'DUP' THEN CASE WHEN plus THEN x2 ELSE ref_start END
+        WHEN 'INV' THEN CASE WHEN ahead THEN CASE WHEN plus THEN ref_end ELSE ref_start END ELSE CASE WHEN plus THEN y2 ELSE x2 END END
+        ELSE CASE WHEN plus THEN ref_end - 1 ELSE ref_start END END AS b, c2, x2, y2, plus2, abs(m) AS size FROM t WHERE svtype IS NOT NULL),
+e AS (SELECT qname, ix, svtype, form, chrom, b, c2, CASE WHEN svtype = 'BND' THEN CASE WHEN plus2 THEN x2 ELSE y2 - 1 END ELSE b + size END AS f, size FROM ev)
+"""
+
+
+@query("K7_adjacencies", sql(ADJACENT + 'SELECT qname, svtype, form, chrom, b AS "start", c2 AS chrom2, f AS "end", size FROM e', "segments"))
+def adjacencies(spark, d):
+    return events(spark, d).drop("at")
+
+
+@query("K7_tandem_runs")
+def tandem_runs(spark, d):
+    return V.tandem_runs(events(spark, d), "qname")
+
+
+@query(
+    "K7_interspersed_duplications",
+    sql(
+        ADJACENT
+        + """SELECT x.qname, x.c2 AS chrom, CASE WHEN x.form = 'fwd_fwd' THEN x.f ELSE y.b END AS "start", CASE WHEN x.form = 'fwd_fwd' THEN y.b + 1 ELSE x.f + 1 END AS "end",
+               x.chrom AS dest_chrom, CAST(floor((x.b + 1 + y.f) / 2) AS BIGINT) AS dest
+        FROM e x JOIN e y ON x.qname = y.qname AND x.ix < y.ix AND x.svtype = 'BND' AND y.svtype = 'BND' AND x.form = y.form AND x.form IN ('fwd_fwd', 'rev_rev')
+             AND x.chrom = y.c2 AND abs(x.b - y.f) < 400 AND x.c2 = y.chrom
+        WHERE CASE WHEN x.form = 'fwd_fwd' THEN y.b + 1 - x.f ELSE x.f + 1 - y.b END BETWEEN 40 AND 100000""",
+        "segments",
+    ),
+)
+def interspersed_duplications(spark, d):
+    return V.interspersed_duplications(events(spark, d), "qname", within=400)  # these segments don't meet more closely
+
+
+@query("K7_paired_inversions")
+def paired_inversions(spark, d):
+    return V.paired_inversions(events(spark, d), "qname")

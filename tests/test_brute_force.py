@@ -283,3 +283,53 @@ def test_fastq_with_a_broken_record_is_refused(spark, tmp_path, text):
     (tmp_path / "x.fastq").write_text(text)
     with pytest.raises(Exception, match="FASTQ"):
         T.read_fastq(spark, str(tmp_path)).collect()
+
+
+EVENTS = "q long, at int, svtype string, form string, chrom string, start long, chrom2 string, end long, size long"
+
+
+def test_tandem_runs_against_a_loop(spark):
+    r = random.Random(12)
+    rows, want = [], Counter()
+    for q in range(200):
+        runs, s = [], 1000
+        for at in range(r.randint(1, 7)):
+            s += r.choice([0, 3, 8, 19, 500])
+            x = (s, s + 300 + r.choice([0, 5, 12, 25]), r.choice(["fwd", "fwd", "rev"]), r.random() < 0.3, r.choice(["c1", "c1", "c1", "c2"]))
+            rows.append((q, at, "DUP", x[2] + "+" * x[3], x[4], x[0], x[4], x[1], 300))
+            if runs:
+                last = runs[-1]
+                n = len(last)
+                if last[0][4] == x[4] and last[0][2] == x[2] and abs(sum(y[0] for y in last) / n - x[0]) < 20 and abs(sum(y[1] for y in last) / n - x[1]) < 20:
+                    last.append(x)
+                    continue
+            runs.append([x])
+        want.update((q, v[0][4], mean(v, 0), mean(v, 1), len(v), any(y[3] for y in v)) for v in runs)
+    rows.append((999, 1, "DEL", "", "c1", 5, "c1", 9, 4))
+    found = V.tandem_runs(spark.createDataFrame(rows, EVENTS), "q").select("q", "chrom", "start", "end", "copies", "covered").collect()
+    assert Counter(map(tuple, found)) == want and any(k[4] > 2 for k in want)
+
+
+def test_paired_inversions_against_a_loop(spark):
+    r = random.Random(13)
+    rows, want = [], Counter()
+    for q in range(200):
+        mine = []
+        for at in range(r.randint(1, 6)):
+            s = r.choice([100, 110, 300])
+            x = (at, r.random() < 0.5, r.choice(["c1", "c1", "c2"]), s, s + r.choice([90, 100, 110, 400]))
+            mine.append(x)
+            rows.append((q, at, "INV", ("left_" if x[1] else "right_") + "fwd", x[2], x[3], x[2], x[4], 0))
+        free = {x[0]: x for x in mine}
+
+        def far(a, b):
+            common = min(a[4], b[4]) - max(a[3], b[3])
+            return 1 - common / max(a[4] - a[3], b[4] - b[3]) if common > 0 else 1.0
+
+        for d, i, j in sorted((far(a, b), a[0], b[0]) for a in mine for b in mine if a[1] and not b[1] and a[2] == b[2]):
+            if d <= 0.3 and i in free and j in free:
+                a, b = free.pop(i), free.pop(j)
+                want[q, a[2], max(a[3], b[3]), min(a[4], b[4]), True] += 1
+        want.update((q, x[2], x[3], x[4], False) for x in free.values())
+    found = V.paired_inversions(spark.createDataFrame(rows, EVENTS), "q").select("q", "chrom", "start", "end", "complete").collect()
+    assert Counter(map(tuple, found)) == want and sum(v for k, v in want.items() if k[4]) > 50
