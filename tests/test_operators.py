@@ -179,6 +179,14 @@ def test_complete_linkage_keeps_every_signature(spark):
     assert {(k[0], frozenset(v)) for k, v in got.items()} == want
 
 
+def test_complete_linkage_marks_islands_over_the_limit(spark):
+    rows = [("c", 10 * k, 50) for k in range(12)] + [("c", 10_000, 50), ("c", 10_040, 50)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, svlen long")
+    found = C.complete_linkage(df, ["chrom"], "pos", "svlen", 200, most=10).collect()
+    assert len(found) == 14 and sum(r["cluster"] == -1 for r in found) == 12
+    assert len({(r["_island"], r["cluster"]) for r in found if r["cluster"] >= 0}) == 1
+
+
 def test_complete_linkage_query_reads_all_signatures(spark):
     from svspark.plans import QUERIES, adapters
 
