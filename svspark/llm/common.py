@@ -38,16 +38,20 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "size", most: int = 50_000) -> DataFrame:
+def with_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "size", most: int = 50_000, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, one row a key and in ``size`` how many of ``rows`` it has.
 
     The rows of a crowded key don't meet in one task: keys that hold over a ``most``-th of all grouped
     rows, at most ``most`` of them whatever the input, are broadcast and meet their rows where these
     are; the others are joined by a shuffle. ``groups`` should be written (:func:`cut`), as it is
-    read three times.
+    read up to four times. ``sizes``: the sum of all sizes and the greatest, where these are known.
     """
-    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
-    bar = max(1000, total // most)
+    if sizes is None:
+        found = groups.agg(F.sum(size), F.max(size)).first()
+        sizes = found[0] or 0, found[1] or 0
+    bar = max(1000, sizes[0] // most)
+    if sizes[1] <= bar:
+        return rows.join(groups, on)
     crowded = groups.where(F.col(size) > bar)
     here = rows.join(F.broadcast(crowded), on)
     rest = rows.join(F.broadcast(crowded.select(*on)), on, "left_anti").join(groups.where(F.col(size) <= bar), on)
@@ -72,16 +76,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     before = None
     for _ in range(max_rounds):
-        # rows are distinct, so a count and a checksum that knows no order tell whether a round changed anything
-        now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(
+            both.groupBy("u").agg(
+                F.least("u", F.min("v")).alias("m"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("u", "v")).alias("mark")
+            ),
+            "least",
+        )
+        # rows are distinct, so their number and a checksum that knows no order tell whether a round changed anything
+        now = least.agg(F.sum("size"), F.max("size"), F.bit_xor("mark")).first()
         if now == before:
             break
         before = now
-        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("size")), "least")
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
         large = (
-            with_group(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            with_group(both.where("v > u"), least.drop("mark"), ["u"], sizes=(now[0] or 0, now[1] or 0))
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         # small star: the smaller neighbours of u, and u itself, are linked to their least
         low = large.groupBy("u").agg(F.min("v").alias("m"))
