@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Reading halts to look at the bounds after these shares of all entries.
-HALTS = (0.25, 0.5, 0.7, 0.85)
+HALTS = (0.3, 0.85)
 LONG = np.iinfo(np.int64)
 
 
@@ -33,7 +33,7 @@ class SortedLists:
 
     def __init__(self, values: np.ndarray):
         self.n, self.dim = values.shape
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32)
+        self.order = np.argsort(values, axis=0, kind="stable")
         self.values = np.take_along_axis(values, self.order, axis=0).T.copy()
         self.order = self.order.T.copy()
         self.doubles = self.values.astype(np.float64)
@@ -77,6 +77,16 @@ class Reader:
         """Read every list on while its contributions are at least ``halt`` (None: to the end); of ``only`` alone."""
         n, rows, values, least, counts = self.lists.n, [], [], [], []
         kept = self.lists.doubles if self.kind is np.float64 else self.lists.values
+
+        def note() -> None:
+            every = np.concatenate(rows)
+            self._add(self.sum, every, np.concatenate(values))
+            if halt is not None:  # after the last entry sums are scores
+                self._add(self.least, every, np.repeat(np.array(least, dtype=self.kind), counts))
+                self.seen += np.bincount(every, minlength=n)
+            for x in (rows, values, least, counts):
+                x.clear()
+
         for d in self.dims:
             q, column, old = self.q[d], self.lists.values[d], self.at[d]
             if halt is None:
@@ -93,18 +103,16 @@ class Reader:
             ids, found = self.lists.order[d][part], kept[d][part]
             self.at[d], self.read = new, self.read + new - old
             if only is not None:
-                mine = only[ids]
+                mine = np.flatnonzero(only[ids])
                 ids, found = ids[mine], found[mine]
             rows.append(ids)
             values.append(found.astype(self.kind, copy=False) * q)
             least.append(self.worst[d])
             counts.append(len(ids))
+            if sum(counts) > 4 * n:  # a few lists at a time stay in the processor's cache
+                note()
         if rows:
-            rows = np.concatenate(rows)
-            self._add(self.sum, rows, np.concatenate(values))
-            if only is None:  # bounds are for what is still open
-                self._add(self.least, rows, np.repeat(np.array(least, dtype=self.kind), counts))
-                self.seen += np.bincount(rows, minlength=n)
+            note()
 
     def bounds(self, halt: int) -> tuple[np.ndarray, np.ndarray]:
         """The least and the greatest score of every vector after reading down to ``halt``."""
@@ -121,7 +129,7 @@ def best_of_block(lists: SortedLists, query: np.ndarray, own: np.ndarray, k: int
     """
     reader, can = Reader(lists, query), ~own
     for halt in reader.halts():
-        reader.down_to(halt)
+        reader.down_to(halt, only=can if 2 * can.sum() < lists.n else None)
         low, high = reader.bounds(halt)
         if can.sum() <= k:
             break
