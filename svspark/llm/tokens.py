@@ -27,7 +27,7 @@ SPACES = re.compile(r"\s\s|^\s|\s$")
 CUT = re.compile(r"(?<=\S)(?= )")
 
 #: Words remembered at a time, in each of two tables, and their greatest length.
-LIMIT, LONGEST = 700_000, 40
+LIMIT, LONGEST = 1_000_000, 40
 #: Below this code point every library agrees on what a letter is.
 LETTERS = "\u0530"
 
@@ -51,7 +51,7 @@ def byte_level(file: dict) -> bool:
 class Words(dict):
     """Word -> the ids of ``before`` + word as bytes; what isn't known yet is encoded.
 
-    Only short words are remembered, so that ``LIMIT`` of them is a bound in bytes too (about 170 MB).
+    Only short words are remembered, so that ``LIMIT`` of them is a bound in bytes too (about 240 MB).
     """
 
     def __init__(self, encoder: Encoder, before: str):
