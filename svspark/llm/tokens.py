@@ -82,17 +82,21 @@ class Encoder:
     A space after a character that isn't white space always starts a new piece in a byte-level
     tokenizer, so a text may be cut there and each part encoded alone. Words of letters go to the
     tokenizer's model directly, everything else through the whole tokenizer. A file with any other
-    normalizer, pre-tokenizer, model or ordinary added tokens is used on whole texts alone.
+    normalizer, pre-tokenizer, model or ordinary added tokens is used on whole texts alone, and so is
+    any file on a text that holds the content of one of its added tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
-            self.plain = byte_level(json.load(f))
+            file = json.load(f)
+        self.plain = byte_level(file)
+        # a text that spells an added token out gets that token's id, which words alone wouldn't show
+        added = [t["content"] for t in file.get("added_tokens") or [] if t.get("content")]
+        self.spelled = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         # Byte-level models read bytes as printable characters: those that print stand for
         # themselves, the others take the code points from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -113,7 +117,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if not self.plain:
+        if not self.plain or self.spelled(text):
             return self.whole(text)
         if GAP.search(text):
             head, *rest = CUT.split(text)

@@ -68,7 +68,12 @@ class Reader:
             np.add.at(out, rows, what)
 
     def halts(self) -> list[int]:
-        """Contributions at which about ``HALTS`` of all entries are read, by a few entries of each list."""
+        """Contributions at which about ``HALTS`` of all entries are read, by a few entries of each list.
+
+        A query without any list, all of whose scores are 0, has none.
+        """
+        if not self.dims:
+            return []
         places = np.linspace(0, self.lists.n - 1, min(self.lists.n, 33)).astype(int)
         some = sorted((self.q[d] * int(self.lists.values[d][p]) for d in self.dims for p in places), reverse=True)
         return sorted({some[int(h * (len(some) - 1))] for h in HALTS}, reverse=True)

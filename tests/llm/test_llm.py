@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from svspark.llm import capfilter, common, html, labelled, minhash, mixing, packing, substrings, tokens, topk, toxicity, warc
@@ -35,7 +36,7 @@ def messy_docs():
     shared = words(70, r)
     texts = [
         base, base, base.upper(), " ".join(near), words(30, r) + " " + shared, shared + "\n\t" + words(40, r), None, "", "  \n ",
-        "one two three", "one two three", words(9000, r), shared, "naïve café 東京 x \x1c y  z\n\nq", words(60, r),
+        "one two three", "one two three", words(9000, r), shared, "one <|endoftext|> two", "naïve café 東京 x \x1c y  z\n\nq", words(60, r),
     ]
     rows = [(i * 3, t, "en", ["a", "b", None, "é"][i % 4], len(t or ""), 7, "x", "y", "z", 1) for i, t in enumerate(texts)]
     rows.append((None, "a text without an id that has some words", None, "a", None, None, None, None, None, None))
@@ -55,31 +56,46 @@ def no_rows(spark):
 # 1 token ids
 
 
+def library(name="byte_bpe_50k.json"):
+    """The library's own tokenizer, untouched."""
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def test_encoder_agrees_with_the_tokenizer():
-    enc, r = tokens.Encoder(TOKENIZER), random.Random(1)
+    enc, own, r = tokens.Encoder(TOKENIZER), library(), random.Random(1)
     alphabet = " \n\t\r'sabcXYZ é中0१_.,!?\x85\xa0\x1c\x1f ²ªñ́dlevrtm\U0001f600"
     for _ in range(3000):
         text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["\n".join(["abc"] * 20_000), "\n".join(f"w{i % 999}." for i in range(5000)), "a\n\nb " * 500, "x" * 100_000, "ab\n" * 3000])
 def test_encoder_on_lines_of_single_words(text):
     enc = tokens.Encoder(TOKENIZER)
-    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == library().encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_with_a_tokenizer_that_is_not_byte_level():
     enc = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     text = "Some Words, and\n more   words"
     assert not enc.plain and tokens.Encoder(TOKENIZER).plain
-    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_that_spell_special_tokens_out(name):
+    own, enc = library(name), tokens.Encoder(public_tokenizers.path(name))
+    added = [t.content for t in own.get_added_tokens_decoder().values()]
+    assert added
+    for t in [*added[:5], "<|endoftext|>"]:
+        for text in (f"a {t} b", t, t + t, f"x{t}\n\n{t}  y" + " word" * 500, t[:-1], f"{t[1:]} {t[:3]}"):
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files(spark, docs):
     written = tokens.encode_table(docs, TOKENIZER, 2)
     found = tokens.token_digest(written).collect()
-    enc = tokens.Encoder(TOKENIZER).tokenizer
+    enc = library()
     want, at = [], 0
     for i, t in sorted(((r[0], r[1] or "") for r in messy_docs()), key=lambda x: (x[0] is not None, x[0] or 0)):
         ids = [*enc.encode(t, add_special_tokens=False).ids, 2]
@@ -527,6 +543,20 @@ def test_top_k_against_all_scores(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_zero_and_tiny_vectors(spark):
+    # all scores of a query without any component of 1/256 or more are 0, and 0 beats a negative score
+    rows = [(0, [0.0, 0.001]), (1, [1.0, 2.0]), (2, [3.0, 1.0]), (50, [-1.0, -1.0]), (51, [0.0, 0.0]), (52, [0.003, 0.0]), (100, [0.0, 0.0])]
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block, queries in ((4096, 1024), (3, 1)):
+        assert sorted(map(tuple, topk.top_k(df, block=block, query_block=queries).collect())) == sorted(want)
+    assert want[5][2:] == (0, 0) and want[:2] == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
 def test_top_k_with_large_components_and_repeated_ids(spark):
     r = np.random.default_rng(12)
     for scale in (1.0, 1e6, 1e17):  # sums in doubles, in longs and beyond
