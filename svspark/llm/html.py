@@ -3,9 +3,9 @@
 A page is a sequence of words and tags. Words score by the boxes they stand in, tags score below
 zero, and the main content is the contiguous run of the sequence with the greatest sum, found in one
 scan. All weights are learnt from labelled pages: how element names and the words of class, id and
-role attributes of the boxes around a word, and the block it stands in, speak for or against content,
-and how often a tag stands among content. Blocks inside the run whose words score below zero (an
-advert in the article) are left out of the text.
+role attributes of the elements around a word, and the block it stands in, speak for or against content,
+how large a share of a block's words is linked, and how often a tag between blocks stands among content.
+Blocks inside the run whose words score below zero (an advert in the article) are left out of the text.
 """
 
 from __future__ import annotations
@@ -34,13 +34,17 @@ NEUTRAL = {"body", "details", "div", "dl", "figure", "ol", "section", "table", "
 #: Elements in which an article is a teaser or a note.
 FAR = {"nav", "footer", "aside", "menu"}
 
-#: So many outermost boxes, one in the other, are tried without their names; fewer words count as hardly any.
-OUTER, FEW = 8, 10
+#: So many boxes around most of a page, one in the other, are read without their names.
+OUTER = 8
+#: Shares of a block's words that are linked, up to which they are few, some, most; all beyond.
+LINKED = {"few": 0.25, "some": 0.5, "most": 0.8}
 #: A word's score and the standing of a box stay between these; a tag's between the next two.
 LEAST, MOST, DEAR, CHEAP = -3.0, 2.0, -3.0, -0.02
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Block elements whose tags have weights of their own.
 KINDS = HEADINGS | {"p", "li", "tr", "td", "th", "dt", "dd", "blockquote", "figcaption", "pre"}
+#: Of these, the ones that end before the next block, and before the next of the same kind.
+SOFT, NEXT = HEADINGS | {"p"}, {"li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 #: Elements that end a block of text; any other is part of it.
 BLOCKS = KINDS | BOXES | {"html", "head", "hr", "legend", "option", "optgroup", "summary", "caption", "thead", "tbody", "tfoot", "center", "hgroup", "search", "title"}
 
@@ -49,6 +53,9 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=|[^<>=]++)*+)>?", re.S
 )
 CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^<>]*>?", re.I) for name in SKIPPED}
+#: A link, and what marks a place for links instead.
+ANCHOR = re.compile(r"(?<![\w-])(?:name|id)(?![\w-])", re.I)
+HREF = re.compile(r"(?<![\w-])href(?![\w-])", re.I)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
@@ -65,6 +72,9 @@ class Box:
     held: bool = False
     top: Box | None = None  # the outermost box that speaks against this
     most: float = LEAST  # the best standing of the box and those around it
+    at: int = 0  # where its tag stands
+    first: int = 0  # the blocks from this one to before the next are in it
+    stop: int = -1
 
 
 @dataclass
@@ -79,6 +89,16 @@ class Block:
     inset: bool = False
     score: float = 0.0
     n: int = 0
+    linked: float = 0.0  # the share of its words that is linked
+    own: float = 0.0  # what its own tags add to the score of each of its words
+    top: bool = False  # a heading of the first level
+
+    def links(self) -> list[str]:
+        """What the share of linked words shows, by itself and inside an article."""
+        if not self.linked:
+            return []
+        level = next((k for k, most in LINKED.items() if self.linked <= most), "all")
+        return [f"links {level}" + (" inside" if self.box and self.box.inside else "")]
 
 
 @dataclass
@@ -87,6 +107,7 @@ class Weights:
 
     features: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
+    inline: dict[str, float] = field(default_factory=dict)  # names on elements within a block
 
     def box(self, features: list[str]) -> float:
         return sum(self.features.get(f, 0.0) for f in features)
@@ -128,61 +149,99 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         yield m.start(), at, name, bool(m[1]), m[3] or ""
 
 
-def read(page: str, weights: Weights | None = None, outer: int = 0, afresh: bool = False) -> list[Block]:
-    """The text blocks of a page in order, scored if there are ``weights``.
+def read(page: str, weights: Weights | None = None, plain: frozenset[int] = frozenset(), afresh: bool = False) -> list[Block]:
+    """The text blocks of a page in order, scored if there are ``weights``."""
+    return _read(page, weights, plain, afresh)[0]
+
+
+def _read(page: str, weights: Weights | None, plain: frozenset[int] = frozenset(), afresh: bool = False) -> tuple[list[Block], list[Box]]:
+    """The text blocks and the boxes of a page in order.
 
-    Names don't count on ``outer`` boxes around all others; with ``afresh`` an article in a box that
-    speaks against it counts as if it stood alone. A main element does so anyway, unless its own
-    names speak against it. Unclosed and crossing tags are read as browsers do, as far as boxes go.
+    The names of boxes whose tags stand at ``plain`` don't count; with ``afresh`` an article in a box
+    that speaks against it counts as if it stood alone. A main element does so anyway, unless its own
+    names speak against it. Unclosed and crossing tags are read as browsers do, as far as boxes go. A
+    block element with names is a box of its own; an element within a block whose names speak
+    against it is left out of the block's text.
     """
     out: list[Block] = []
+    boxes: list[Box] = []
     stack: list[Box] = []
     open_: Counter = Counter()
     held: list[str] = []
+    linked: list[str] = []
     tags: list[str] = []
-    last, heading = 0, False
+    last, heading, top = 0, False, False
+    link, mute = -1, ""  # how many boxes are around an open link; the element that is left out
     start = weights.features.get("", 0.0) if weights else 0.0
 
     def flush() -> None:
-        nonlocal tags
+        nonlocal tags, mute
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
+        mute = ""
         if text:
-            out.append(Block(text, stack[-1] if stack else None, tags, heading, n=text.count(" ") + 1))
+            n = text.count(" ") + 1
+            share = min(1.0, len(entities.unescape(" ".join(linked)).split()) / n) if linked else 0.0
+            out.append(Block(text, stack[-1] if stack else None, tags, heading, n=n, linked=share, top=top))
             tags = []
+        linked.clear()
+
+    def pop() -> Box:
+        box = stack.pop()
+        box.stop = len(out)
+        open_[box.name] -= 1
+        return box
+
+    def hold(text: str) -> None:
+        if not mute:
+            held.append(text)
+            if link >= 0:
+                linked.append(text)
 
     for at, after, name, closing, attributes in _tokens(page):
         text, last = page[last:at], after
-        held.append(text)
+        hold(text)
         if not name:
             continue
-        inside = bool(stack) and stack[-1].inside
         if name not in BLOCKS:
-            tags.append("inside" if inside else "a" if name == "a" else "inline")
+            if name == "a":
+                link = -1 if closing or ANCHOR.search(attributes) and not HREF.search(attributes) else len(stack)
             if name == "br":
                 held.append(" ")
+            elif closing:
+                mute = "" if mute == name else mute
+            elif weights and attributes and not mute and name not in VOID and sum(weights.inline.get(x, 0.0) for x in _names(attributes)) < -1:
+                mute = name
             continue
         flush()
+        if stack and (stack[-1].name in SOFT or not closing and stack[-1].name in NEXT and name in NEXT[stack[-1].name]):
+            ended = pop()
+            if closing and name == ended.name:
+                link, heading = min(link, len(stack)), False
+                continue
+        inside = bool(stack) and stack[-1].inside
         tags.append("inside" if inside else name if name in KINDS else "box" if name in BOXES else "block")
-        if name in VOID or name not in BOXES:
-            heading = not closing and name in HEADINGS
+        heading, top = not closing and name in HEADINGS, not closing and name == "h1"
+        if name in VOID or name not in BOXES and name not in KINDS:
             continue
-        heading = False
         if closing:
             if open_[name]:
-                while (box := stack.pop()).name != name:
-                    open_[box.name] -= 1
-                open_[name] -= 1
+                while pop().name != name:
+                    pass
+                if link > len(stack):
+                    link = -1
             continue
-        around = stack[-1] if stack else None
         names = _names(attributes) if attributes else []
+        if name not in BOXES and not names:
+            continue
+        around = stack[-1] if stack else None
         whole = name in ("article", "main") or "role" in attributes.lower() and "main" in names
-        wide = name == "body" or len(stack) - open_["body"] < outer and name not in FAR
-        features = [] if name in NEUTRAL else [name, *([f"{name} inside"] if inside else [])]
-        kind = "" if name not in ("body", "article", "main") else name + " "
-        if not wide or "hidden" in names and name != "body":
-            features += [f"{kind}.{x}" for x in names] + ([f".{x} inside" for x in names] if inside else [])
-        box = Box(name, features, inside or whole, around=around, far=bool(around and around.far) or name in FAR)
+        features = [] if name in NEUTRAL or name not in BOXES else [name, *([f"{name} inside"] if inside else [])]
+        kind = f"{name} " if name in ("body", "article", "main") else "heading " if name in HEADINGS else ""
+        # the names of a body and of boxes around the page say nothing
+        if name != "body" and (at not in plain or name in FAR) or "hidden" in names and name != "body":
+            features += [f"{kind}.{x}" for x in names] + ([f"{kind}.{x} inside" for x in names] if inside else [])
+        box = Box(name, features, inside or whole, around=around, far=bool(around and around.far) or name in FAR, at=at, first=len(out))
         if weights:
             delta, before = weights.box(features), around.standing if around else start
             if before < 0 and whole and not (around and around.far) and delta > 0 and not inside:
@@ -195,12 +254,15 @@ def read(page: str, weights: Weights | None = None, outer: int = 0, afresh: bool
             box.top = around.top if around and around.top and box.standing <= 0 else box if box.standing <= 0 else None
             box.most = max(around.most if around else LEAST, box.standing if box.standing > before else LEAST)
         stack.append(box)
+        boxes.append(box)
         open_[name] += 1
-    held.append(page[last:])
+    hold(page[last:])
     flush()
+    while stack:
+        pop()
     if weights:
         _score(out, weights, start)
-    return out
+    return out, boxes
 
 
 def _score(found: list[Block], weights: Weights, start: float) -> None:
@@ -217,36 +279,57 @@ def _score(found: list[Block], weights: Weights, start: float) -> None:
             b.score += weights.features.get("heading", 0.0)
         if marked and not (b.box and b.box.inside):
             b.score += weights.features.get("beside", 0.0)
+        if b.score > 0:
+            b.own = weights.box(b.links())
         b.held = bool(b.box and b.box.held)
         if b.score > 0:
-            first.setdefault(id(b.box), i)
-            last[id(b.box)] = i
+            own = b.box
+            while own and own.name in KINDS:  # a paragraph with names stands in the box around it
+                own = own.around
+            first.setdefault(id(own), i)
+            last[id(own)] = i
     for i, b in enumerate(found):
         top = b.box and b.box.top
         among = top is not None and top.around is not None and first.get(id(top.around), i) < i < last.get(id(top.around), i)
-        b.inset = b.score <= 0 and (among or bool(b.box and b.box.most > start + 0.5))
+        b.inset = b.score <= 0 and (among or bool(b.box and b.box.most >= min(MOST, start + 0.5)))
 
 
 def _has_article(found: list[Block]) -> bool:
     return any(b.box and b.box.inside and b.box.standing > 0 for b in found)
 
 
+def _wrappers(found: list[Block], boxes: list[Box]) -> list[Box]:
+    """The boxes around most of a page, from the outermost on: over half of its words, and its title if it has one."""
+    upto = [0]
+    for b in found:
+        upto.append(upto[-1] + b.n)
+    title = next((i for i, b in enumerate(found) if b.top), next((i for i, b in enumerate(found) if b.heading), None))
+    return [x for x in boxes if x.name != "body" and 2 * (upto[x.stop] - upto[x.first]) > upto[-1] and (title is None or x.first <= title < x.stop)][:OUTER]
+
+
+def _total(found: list[Block], weights: Weights) -> float:
+    scores = sequence(found, weights)
+    start, stop = best_run(scores)
+    return sum(scores[start:stop])
+
+
 def blocks(page: str, weights: Weights) -> list[Block]:
     """The scored blocks of a page.
 
-    The names of a box around the whole page say nothing about its text: if an article stands in a
-    box that speaks against it and holds more words than what speaks for itself, or hardly a word
-    does, the page is read again without the names of its outermost boxes.
+    The names of a box around the whole page say nothing about its text: where no article speaks for
+    itself the page is read without the names of its wrappers too, of one more each time, and the
+    reading whose best run has the greatest sum counts.
     """
-    found = read(page, weights)
+    found, boxes = _read(page, weights)
     good = lambda: sum(b.n for b in found if b.score > 0)
     if not _has_article(found) and sum(b.n for b in found if b.held) > good():
         found = read(page, weights, afresh=True)
-    outer, total = 0, sum(b.n for b in found)
-    while outer < OUTER and not _has_article(found) and good() < min(FEW, total / FEW):
-        outer += 1
-        found = read(page, weights, outer)
-    return found
+    if _has_article(found):
+        return found
+    around = _wrappers(found, boxes)
+    against = [i for i, x in enumerate(around, 1) if weights.box(x.features) < 0]
+    readings = [found, *(read(page, weights, frozenset(x.at for x in around[:i])) for i in against)]
+    return max(readings, key=lambda r: _total(r, weights)) if against else found
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -264,15 +347,17 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def sequence(found: list[Block], weights: Weights) -> list[float]:
     """Scores of the tags before each block and of its words, in turn.
 
-    What speaks against a block counts for two of its words at most, so that an advert doesn't end the
-    run; for an inset, which stands in a box that speaks for content, it counts as a tag.
+    A block's own tags count with its words, by the share of these that is linked, so that links weigh
+    the same in a long and in a short block. What speaks against a block counts for two of its words at most, so that an
+    advert doesn't end the run; for an inset, which stands in a box that speaks for content, it counts as a tag.
     """
     out, after = [], False  # after: an inset's closing tags come before the next block
     for b in found:
+        score = b.score + b.own
         if b.inset:
             out += [CHEAP, CHEAP]
         else:
-            out += [CHEAP if after else sum(weights.tags.get(t, DEAR) for t in b.tags), max(LEAST, min(MOST, b.score)) * (b.n if b.score > 0 else min(b.n, 2))]
+            out += [CHEAP if after else sum(weights.tags.get(t, DEAR) for t in b.tags), max(LEAST, min(MOST, score)) * (b.n if score > 0 else min(b.n, 2))]
         after = b.inset
     return out
 
@@ -280,11 +365,13 @@ def sequence(found: list[Block], weights: Weights) -> list[float]:
 def main_text(page: str | None, weights: Weights, scan: bool = True) -> str:
     """The main text of ``page``: its content blocks joined by line feeds; empty if there are none.
 
-    Without ``scan`` every block that scores over zero is taken, wherever it stands.
+    Without ``scan`` every block whose words score over zero is taken, wherever it stands and whatever its tags.
     """
     found = blocks(page or "", weights)
-    start, stop = best_run(sequence(found, weights)) if scan else (0, 2 * len(found))
-    return "\n".join(b.text for i, b in enumerate(found) if start <= 2 * i + 1 < stop and b.score > 0)
+    if not scan:
+        return "\n".join(b.text for b in found if b.score > 0)
+    start, stop = best_run(sequence(found, weights))
+    return "\n".join(b.text for i, b in enumerate(found) if start <= 2 * i + 1 < stop and b.score + b.own > 0)
 
 
 def fit(pages: list[tuple[str, list[str]]], penalty: float = 0.3, rounds: int = 12) -> Weights:
@@ -301,7 +388,7 @@ def fit(pages: list[tuple[str, list[str]]], penalty: float = 0.3, rounds: int =
             wanted = bool(left) and b.text == left[0]
             if wanted:
                 left.pop(0)
-            features, box = {"", *(["heading"] if b.heading else [])}, b.box
+            features, box = {"", *(["heading"] if b.heading else []), *b.links()}, b.box
             if marked and not (box and box.inside):
                 features.add("beside")
             while box:
@@ -322,8 +409,10 @@ def fit(pages: list[tuple[str, list[str]]], penalty: float = 0.3, rounds: int =
         step = x.T @ (x * (n * p * (1 - p))[:, None]) + penalty * np.eye(len(names))
         w += np.linalg.solve(step, x.T @ (n * (y - p)) - penalty * w)
     odds = lambda t: math.log((tags[t, True] + 1) / (tags[t, False] + 1))
+    learnt = dict(zip(names, w.tolist(), strict=True))
     return Weights(
-        dict(zip(names, w.tolist(), strict=True)), {t: max(DEAR, min(CHEAP, odds(t))) for t in {k for k, _ in tags}}
+        learnt, {t: max(DEAR, min(CHEAP, odds(t))) for t in {k for k, _ in tags}},
+        {x: learnt.get(f".{x}", 0.0) for x in own_pages.INLINE},
     )
 
 

@@ -11,16 +11,20 @@ import random
 #: Words of class, id and role attributes on pages, by what they are put on.
 NAMES = {
     "nav": "breadcrumb breadcrumbs menu nav navbar navigation pagination toolbar topbar main-nav site-nav nav-menu menu-main".split(),
-    "ad": "ad ads adv advert advertisement adverts banner promo promotion sponsor sponsored ad-slot ad-container top-banner".split(),
+    "ad": "ad ads adv advert advertisement adverts advertising adsbygoogle banner promo promotion sponsor sponsored outbrain taboola ad-slot ad-container top-banner".split(),
     "notice": "alert consent cookie cookies modal notice popup cookie-notice gdpr-consent site-alert".split(),
     "form": "login newsletter search signup subscribe search-form newsletter-signup".split(),
-    "side": "complementary related share sharing sidebar social teaser widget right-sidebar sidebar-left related-posts share-buttons widget-area".split(),
-    "comments": "comment comments disqus replies reply respond comment-list comments-area".split(),
+    "side": "complementary related share sharing sidebar social teaser widget right-sidebar sidebar-left related-posts share-buttons widget-area recommended recommendations trending popular see-also more-stories read-next rail".split(),
+    "comments": "comment comments discussion disqus feedback replies reply respond responses reviews talkback thread comment-list comments-area comments-title".split(),
     "foot": "contentinfo footer copyright site-footer page-footer".split(),
     "head": "header masthead site-header page-header branding".split(),
     "content": "article articlebody body content entry main post story text entry-content post-body main-content article-text".split(),
     "outer": "container layout outer page root site wrapper has-sidebar with-sidebar no-sidebar has-nav with-nav header-fixed comments-open full-width".split(),
 }
+#: Names that also tell on elements within a block.
+INLINE = [*NAMES["ad"], *NAMES["notice"], "hidden", "share", "social"]
+#: Names that headings and paragraphs of articles have.
+TOLD = {"heading": "title headline heading entry-title post-title article-title page-title".split(), "p": "lead intro first dropcap summary paragraph".split()}
 WORDS = "amber basin candle delta ember forest garden harbour island jacket kettle lantern meadow nickel orchard pebble quarry river silver timber".split()
 
 
@@ -67,10 +71,18 @@ class Page:
     def _block(self, tag: str, low: int, high: int) -> str:
         text = self._words(low, high)
         self.content.append(text)
+        name, kind = "", "p" if tag == "p" else "heading" if tag in ("h1", "h2", "h3") else ""
+        if kind and self.r.random() < 0.15:
+            name = f" class='{self.r.choice([*TOLD[kind], *NAMES['content'], *(NAMES['head'] if kind == 'heading' else [])])}'"
+        if tag in ("p", "li", "td", "blockquote") and self.r.random() < 0.35:  # links inside
+            return f"<{tag}{name}>{self._linked(text.split(), self.r.uniform(0.02, 0.45))}</{tag}>"
         if self.r.random() < 0.2:  # marked words inside
             first, _, rest = text.partition(" ")
             text = f"<b>{first}</b> {rest}" if rest else f"<em>{first}</em>"
-        return f"<{tag}>{text}</{tag.split()[0]}>" if tag else text
+        return f"<{tag}{name}>{text}</{tag}>" if tag else text
+
+    def _linked(self, words: list[str], share: float) -> str:
+        return " ".join(f"<a href='/{w}'>{w}</a>" if self.r.random() < share else w for w in words)
 
     def _inside(self, marked: bool) -> str:
         r, out = self.r, []
@@ -97,6 +109,9 @@ class Page:
                 out.append(f"<ul><li><a href='x'>{self._block('', 2, 8)}</a></li><li><a href='y'>{self._block('', 2, 8)}</a></li></ul>")
             elif kind == "bare":
                 out.append(f"<div>{self._block('', 8, 60)}</div>")
+            elif r.random() < 0.3:  # a single paragraph or heading that is none of the article's
+                t, k = r.choice([("p", "ad"), ("p", "notice"), ("p", "side"), ("p", "comments"), ("h3", "comments"), ("h3", "side"), ("h3", "ad"), ("li", "nav")])
+                out.append(f"<{t} {self._name(k)}>{self._words(1, 20)}</{t}>" if r.random() < 0.9 else f"<{t} hidden>{self._words(1, 20)}</{t}>")
             else:
                 out.append(self._around(r.choice(["ad", "ad", "side", "form", "nav"])))
         out.append(self._block("p", 5, 60))

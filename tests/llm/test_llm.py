@@ -345,6 +345,64 @@ def test_the_scan_leaves_out_what_stands_apart():
     assert every.startswith("Free delivery\nOne") and every.endswith("Call us")
 
 
+def linked(n, links, seed):
+    """The text of a paragraph and the paragraph with so many of its words linked."""
+    r = random.Random(seed)
+    ws, at = [r.choice("rain wind hill stone bread water smoke glass".split()) for _ in range(n)], set(r.sample(range(n), links))
+    return " ".join(ws), "<p>" + " ".join(f'<a href="/{w}">{w}</a>' if i in at else w for i, w in enumerate(ws)) + "</p>"
+
+
+@pytest.mark.parametrize("box", ["", "<div>", '<div class="mw-parser-output">', '<div id="q7">', "<section>", "<article>", "<main>"])
+@pytest.mark.parametrize(("n", "links"), [(20, 4), (12, 3), (60, 12), (60, 6), (30, 12), (40, 1)])
+def test_linked_paragraphs_stay(box, n, links):
+    told = [linked(n, links, seed) for seed in range(12)]
+    page = f"<html><body><h1>The long river</h1>{box}{''.join(p for _, p in told)}{box and '</' + box[1:].split()[0].strip('>') + '>'}</body></html>"
+    assert html.main_text(page, html.own_weights()) == "\n".join(["The long river", *(t for t, _ in told)])
+
+
+@pytest.mark.parametrize("n", [3, 10, 50])
+@pytest.mark.parametrize("front", [True, False])
+def test_a_menu_beside_an_unnamed_article(n, front):
+    menu = '<div id="x1">' + " ".join(f'<a href="#">entry{i}</a>' for i in range(n)) + "</div>"
+    told = [linked(14, 0, seed) for seed in range(2)]
+    own = f'<div id="x2"><h1>A title</h1>{told[0][1]}{told[1][1]}</div>'
+    page = f"<body>{menu + own if front else own + menu}</body>"
+    assert html.main_text(page, html.own_weights()) == "\n".join(["A title", told[0][0], told[1][0]])
+
+
+@pytest.mark.parametrize("box", ["", "<div>", "<article>", "<main>", '<div id="x5">'])
+@pytest.mark.parametrize(
+    "inset",
+    [
+        '<p class="advertisement">Buy one now and get two</p>', "<p hidden>not shown</p>", '<h3 class="comments-title">3 comments</h3>', '<p class="share">Send it to a friend</p>',
+        '<ins class="adsbygoogle">buy now</ins>', '<div class="discussion"><p>very nice story</p><p>I was there too</p></div>', '<li class="menu">Home</li>',
+        '<div class="outbrain"><a href=x>You will not believe this</a> <a href=y>Ten tricks</a></div>', '<p><span class="sponsored">Buy it at once</span></p>',
+    ],
+)
+def test_names_of_any_element_count(box, inset):
+    end = box and "</" + box[1:].split()[0].strip(">") + ">"
+    page = f"<body>{box}{STORY}{inset}<p>It fell <span class='ad'>Buy now</span> again on Monday, the <b class='lead'>third</b> time.</p>{end}</body>"
+    assert html.main_text(page, html.own_weights()) == TOLD + "\nIt fell again on Monday, the third time."
+
+
+@pytest.mark.parametrize("words", [3, 20, 200, 2000])
+def test_a_wrapper_that_speaks_against_a_page_of_any_length(words):
+    text = " ".join(f"w{i}" for i in range(words))
+    for page in (
+        f"<body><a href='#c'>Skip to content</a><div class='page sidebar'><div><h1>Rain</h1><p>{text}</p></div></div></body>",
+        f"<body><div class='comments'><div id='z'><div><h1>Rain</h1><p>{text}</p></div></div></div></body>",
+    ):
+        assert html.main_text(page, html.own_weights()) == f"Rain\n{text}"
+    # a sidebar or comments beside an article are longer and still none of it
+    page = f"<body><div><h1>Rain</h1><p>{linked(30, 2, 1)[1]}</p></div><div class='comments'><p>{text}</p></div><div class='sidebar'><h3>More</h3><p>{text}</p></div></body>"
+    assert html.main_text(page, html.own_weights()) == "Rain\n" + linked(30, 2, 1)[0]
+
+
+def test_text_goes_on_after_elements_that_are_not_closed():
+    page = "<article><h1 class='title'>One<p class='ad'>Buy it<p>two <a name='x'>three<p>four <span class='ad'>buy<p>five</p><ul><li class='ad'>buy<li>six</ul><p class='lead'>seven</article>"
+    assert html.main_text(page, html.own_weights()) == "One\ntwo three\nfour\nfive\nsix\nseven"
+
+
 def test_a_very_long_page():
     text = " ".join(f"word{i}" for i in range(200_000))
     page = f"<nav>Home</nav><article>{'<p>' + text + '</p><p>more</p>' * 3000}</article>"
