@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slots of equal size are numbered; slot i falls to the source into whose stretch of the cumulative
-weights the golden-ratio point frac((i + 1) * phi) falls, so that every prefix of the schedule is
-near the weights. The k-th slot of a source takes the k-th block of equally many words from the
+Slots of equal size are in the order of a van der Corput sequence, the reversed bits of the points 0, 1,
+2, ...; a slot falls to the source into whose stretch of the cumulative weights, counted in blocks, its
+point falls, so that every prefix of the schedule is near the weights. The k-th slot of a source takes the k-th block of equally many words from the
 source's documents in shuffled order, going round again when they are used up.
 """
 
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, n_words
 
-PHI = (5**0.5 - 1) / 2
-GRID = 4096
-
 
 def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     """``sizes(source, source_size)`` -> with rank, weight and target of each source.
@@ -47,33 +44,30 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     )
 
 
-def schedule(targets: DataFrame) -> DataFrame:
-    """Slots of the golden-ratio sequence: (rank of the source, slot, k = how many slots it had before).
+def schedule(targets: DataFrame, chunk: int = 65536) -> DataFrame:
+    """Slots of a van der Corput sequence: (rank of the source, slot, k = how many slots it had before).
 
-    ``targets(rank, target, blocks)``: how many blocks each source needs. Enough slots are dealt that
-    each source reaches its number, as a golden-ratio prefix is off by a few slots at most. Ranks are
-    counted in chunks of slots and added up over chunks, so no task meets all slots of a source.
+    ``targets(rank, blocks)``: how many blocks each source needs. Sources lie one after another on the
+    cumulative numbers of blocks; point j of 0, 1, 2, ... has the slot that the reversed bits of j
+    give, so a source's slots are listed by themselves, every prefix of the slots in order is near the
+    sources' shares (by a few slots, a logarithm of their number), and as many rows are dealt as
+    blocks are needed, however small a source is. Slots leave gaps. Points are listed and ranked
+    in chunks, so no task meets all slots of a source.
     """
-    spark = targets.sparkSession
-    total = targets.agg(F.sum("target").alias("t")).first()["t"] or 0.0
-    if total <= 0:
-        return spark.createDataFrame([], "rank int, slot long, k long")
-    share = F.col("target") / F.lit(total)
-    need = targets.where("target > 0").agg(F.max((F.col("blocks") + 12) / share).alias("n")).first()["n"]
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    stretches = targets.select("rank", (F.sum("target").over(upto) / total).alias("high")).select(
-        "rank", F.lag("high", 1, 0.0).over(Window.orderBy("rank")).alias("low"), "high"
-    )
-    last = stretches.agg(F.max("high").alias("h")).first()["h"]  # 1 up to rounding
-    # points and stretches meet by cells of a grid, so each point sees the few stretches of its cell
-    slots = spark.range(int(need) + 1).select(
-        F.col("id").alias("slot"), (((F.col("id") + 1) * F.lit(PHI)) % 1.0 * F.lit(last)).alias("point")
-    ).withColumn("cell", F.floor(F.col("point") * GRID))
-    cells = stretches.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * GRID), F.floor(F.col("high") * GRID))))
+    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = cut(
+        targets.where("blocks > 0").select("rank", F.col("blocks").cast("long").alias("blocks")).withColumn("from", F.coalesce(F.sum("blocks").over(upto), F.lit(0))),
+        "stretches",
+    )
+    total = stretches.agg(F.sum("blocks")).first()[0] or 0
+    bits = max(1, (total - 1).bit_length())
+    point = F.sequence(F.col("start"), F.least(F.col("start") + chunk, F.col("from") + F.col("blocks")) - 1)
     dealt = (
-        slots.join(cells, "cell")
-        .where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-        .select("rank", "slot", F.floor(F.col("slot") / 65536).alias("chunk"))
+        stretches.withColumn("start", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("blocks") - 1, F.lit(chunk).cast("long"))))
+        .repartition(F.xxhash64("start"))
+        .select("rank", F.explode(point).alias("j"))
+        .select("rank", F.conv(F.reverse(F.lpad(F.bin("j"), bits, "0")), 2, 10).cast("long").alias("slot"))
+        .withColumn("chunk", F.floor(F.col("slot") / chunk))
     )
     counts = dealt.groupBy("rank", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,7 +160,7 @@ def _mix(
         .select("rank", "doc_id", "row", "size", "begin", F.col("b").alias("blk"))
     )
     slots = (
-        schedule(targets.select("rank", "target", "blocks"))
+        schedule(targets.select("rank", "blocks"))
         .join(targets.select("rank", "source_size", "per_round", "whole"), "rank")
         .withColumn("blk", F.col("k") % F.col("per_round"))
         .withColumn("before", F.floor(F.col("k") / F.col("per_round")) * F.col("source_size") + F.col("blk") * block)

@@ -585,6 +585,28 @@ def test_every_prefix_of_the_schedule_is_near_the_weights(spark):
         assert all(abs(seen[k] - n * share) < 4 for k, share in enumerate((0.1, 0.3, 0.6)))
 
 
+def test_the_schedule_deals_what_is_used_with_tiny_sources_beside_a_large_one(spark):
+    rows = [(0, 9766), *((i, 1) for i in range(1, 700)), (700, 0), *((i, 1) for i in range(701, 1001))]
+    slots = mixing.schedule(spark.createDataFrame(rows, "rank int, blocks long"), chunk=512).collect()
+    assert len(slots) == sum(n for _, n in rows) and len({r["slot"] for r in slots}) == len(slots)
+    places = {}
+    for n, r in enumerate(sorted(slots, key=lambda r: r["slot"])):
+        assert r["k"] == len(places.setdefault(r["rank"], []))
+        places[r["rank"]].append(n)
+    assert len(places) == 1000
+    large = np.array(places[0])
+    assert abs(np.arange(len(large)) - large * 9766 / len(slots)).max() < 16
+    tiny = np.array(sorted(x for k, v in places.items() if k for x in v))
+    assert abs(np.arange(len(tiny)) - tiny * 999 / len(slots)).max() < 16
+    assert mixing.schedule(spark.createDataFrame([], "rank int, blocks long")).count() == 0
+    # whole mixes: the draws follow the words, not the smallest source
+    docs = [(i, "w " * 50_000, "big") for i in range(4)] + [(10 + i, "a b c d e f g h i j", f"host{i:03}") for i in range(200)]
+    documents, draws = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    got = documents.collect()
+    assert draws.count() <= 2 * (sum(x["taken"] for x in got) / 1024 + 200 * 3)
+    assert all(x["taken"] == 30 for x in got if x["doc_id"] >= 10)
+
+
 # 8 top-k
 
 
