@@ -10,6 +10,8 @@ from ..lineage import settled
 from ..operators import evaluation as E
 from ..operators import intervals as I
 from ..operators.clustering import signature_regions
+from ..sources import indexed as X_
+from ..sources import reference as R
 from ..sources import tables as T
 from . import adapters as A
 from . import query
@@ -40,9 +42,12 @@ def sam_lines(spark, d):
     ),
 )
 def sam_round_trip(spark, d):
-    path = _folder(spark, "sam")
+    """SAM files read once into an index by place; a region then opens the folders that it touches."""
+    path, index = _folder(spark, "sam"), _folder(spark, "reads")
     sam_lines(spark, d).write.text(path)
-    reads = T.read_sam(spark, path).where("chrom = 'chr2' and ref_start < 60000 and ref_end > 10000").withColumn("row", F.monotonically_increasing_id())
+    X_.write_reads(T.read_sam(spark, path), index)
+    region = spark.createDataFrame([("chr2", 10000, 60000)], "chrom string, start long, end long")
+    reads = X_.reads_in_regions(spark, index, region)
     entry = F.try_element_at(F.filter(F.split(F.col("tags")["SA"], ";"), lambda e: F.size(F.split(e, ",")) >= 6), F.lit(1))
     f = F.split(entry, ",")
     return reads.select("qname", "flag", "ref_start", "ref_end", (f[1].cast("long") - 1).alias("sa_start"), F.greatest(f[4].cast("int"), F.lit(0)).alias("sa_mapq"))
@@ -50,15 +55,23 @@ def sam_round_trip(spark, d):
 
 @query(
     "S2_region_files",
-    sql("""SELECT r.chrom AS region_chrom, r.rid % 16 AS part, r.rid, s.pos, s.svlen, s.rname FROM regions r JOIN sigs s ON s.chrom = r.chrom AND s.pos <= r."end" AND s.pos + s.svlen >= r."start" WHERE s.svtype = 'DEL'""", "regions", "sigs"),
+    sql(
+        """, far AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM regions),
+        parts AS (SELECT *, count(*) FILTER (WHERE reach IS NULL OR "start" > reach) OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS part FROM far),
+        merged AS (SELECT chrom, min("start") AS low, max("end") AS high FROM parts GROUP BY chrom, part)
+        SELECT concat('Region_', r.chrom, '_S', low, '_E', high) AS region, s.pos AS ref_start, s.pos + s.svlen AS ref_end, s.rname, s.ln, s.okey
+        FROM merged r JOIN sigs s ON s.chrom = r.chrom AND s.pos < high AND s.pos + s.svlen > low WHERE s.svtype = 'DEL'""",
+        "regions",
+        "sigs",
+    ),
 )
 def region_files(spark, d):
-    s = A.sigs(spark, d).where("svtype = 'DEL'").select("chrom", "pos", "svlen", "rname")
-    pairs = I.overlap_pairs(A.regions(spark, d), s, ["chrom"], F.col("start"), F.col("end"), F.col("pos"), F.col("pos") + F.col("svlen"))
-    path = _folder(spark, "cropped")
-    rows = pairs.select(F.col("chrom").alias("region_chrom"), (F.col("rid") % 16).alias("part"), "rid", "pos", "svlen", "rname")
-    rows.repartition("region_chrom", "part").write.partitionBy("region_chrom", "part").parquet(path)
-    return spark.read.parquet(path).withColumn("part", F.col("part").cast("long"))
+    """One folder a merged region, cropped from reads that are indexed by place, and all folders read again."""
+    s = A.sigs(spark, d).where("svtype = 'DEL'").select("chrom", F.col("pos").alias("ref_start"), (F.col("pos") + F.col("svlen")).alias("ref_end"), "rname", "ln", "okey")
+    index, path = _folder(spark, "reads"), _folder(spark, "cropped")
+    X_.write_reads(s, index)
+    X_.crop_regions(spark, index, I.merge_intervals(A.regions(spark, d), ["chrom"], "start", "end", 1), path)
+    return spark.read.parquet(path).select("region", "ref_start", "ref_end", "rname", "ln", "okey")
 
 
 @query("S7_signature_files", sql("SELECT chrom, pos, svlen, count(*) AS reads FROM sigs WHERE svtype = 'INS' AND svlen >= 30 GROUP BY ALL", "sigs"))
@@ -89,8 +102,16 @@ def phase_block_files(spark, d):
     return T.read_phase_blocks(spark, path).select("ps", "hp", "name", F.length("seq").alias("length"))
 
 
-@query("S14_graph_segments", sql("SELECT concat('u', sid) AS name, length(seq) AS length, md5(seq) AS digest FROM seqs WHERE length(seq) > 0", "seqs"))
+@query(
+    "S14_graph_segments",
+    sql(
+        """SELECT concat('u', sid) AS name, block, md5(substr(seq, block * 4096 + 1, 4096)) AS digest
+        FROM (SELECT sid, seq, unnest(generate_series(0, (length(seq) - 1) // 4096)) AS block FROM seqs WHERE length(seq) > 0)""",
+        "seqs",
+    ),
+)
 def graph_segments(spark, d):
+    """Segments of an assembly graph, written as FASTA and read in blocks."""
     path = _folder(spark, "gfa")
     name = F.concat(F.lit("u"), F.col("sid").cast("string"))
     s = A.sequences(spark, d).where("length(seq) > 0")
@@ -98,7 +119,7 @@ def graph_segments(spark, d):
     lines.write.text(path)
     fasta = _folder(spark, "contigs")
     T.write_fasta(T.read_gfa_segments(spark, path), fasta)
-    return T.read_fasta(spark, fasta).select("name", F.length("seq").alias("length"), F.md5("seq").alias("digest"))
+    return R.read_reference(spark, fasta, 4096).select("name", "block", F.md5("bases").alias("digest"))
 
 
 @query(
@@ -116,6 +137,18 @@ def merged_vcf(spark, d):
     return T.read_vcf(spark, whole).groupBy("chrom").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
+@query("S17_reads_by_name", sql("SELECT concat('r', sid) AS qname, length(seq) AS n, md5(seq) AS digest FROM seqs WHERE length(seq) > 0 AND sid % 3 = 1", "seqs"))
+def reads_by_name(spark, d):
+    """Every third read by its name: an index of byte ranges says what is read of the files."""
+    path = _folder(spark, "fastq")
+    s = A.sequences(spark, d).where("length(seq) > 0")
+    lines = F.concat(F.lit("@r"), F.col("sid").cast("string"), F.lit(" lane\n"), "seq", F.lit("\n+\n"), F.expr("repeat('I', length(seq))"))
+    s.select(lines.alias("value")).write.text(path)
+    index = X_.save_index(X_.fastq_index(spark, path), _folder(spark, "fastq-index"))
+    names = A.table(spark, d, "documents").where("doc_id % 3 = 1").select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("qname"))
+    return X_.reads_by_name(index, names).where("length(qual) = length(seq)").select("qname", F.length("seq").alias("n"), F.md5("seq").alias("digest"))
+
+
 @query("S17_fastq_round_trip", sql("SELECT concat('r', sid) AS qname, length(seq) AS n, md5(seq) AS digest FROM seqs WHERE length(seq) > 0", "seqs"))
 def fastq_round_trip(spark, d):
     path = _folder(spark, "fastq")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..lineage import settled, shared_folder
 from ..operators import evaluation as E
+from ..sources import reference as R
 from ..sources import tables as T
 from . import adapters as A
 from . import query
@@ -290,9 +290,7 @@ def region_scan(spark, d):
     return A.sigs(spark, d).where("chrom = 'chr7' and pos < 400000 and pos + svlen > 100000").select("chrom", "pos", "svlen", "rname")
 
 
-def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_folder = shared_folder
 
 
 @query(
@@ -314,8 +312,20 @@ def bed_round_trip(spark, d):
     return T.read_bed(spark, path)
 
 
-@query("S3_S4_fasta_slices", sql("SELECT concat('s', sid) AS name, substr(seq, 5, 30) AS part, length(seq) AS length FROM seqs WHERE length(seq) > 0", "seqs"))
+@query(
+    "S3_S4_fasta_slices",
+    sql(
+        """SELECT concat('s', sid) AS name, length(seq) AS length, substr(seq, 5, 30) AS part, substr(seq, 991, 40) AS across,
+               substr(seq, CAST(length(seq) // 2 + 1 AS BIGINT), 2500) AS half FROM seqs WHERE length(seq) > 0""",
+        "seqs",
+    ),
+)
 def fasta_slices(spark, d):
+    """Slices at one place, over the border of two blocks, and over several blocks from the middle on."""
     path = _folder(spark, "fasta")
     T.write_fasta(A.sequences(spark, d).where("length(seq) > 0").select(F.concat(F.lit("s"), F.col("sid").cast("string")).alias("name"), "seq"), path)
-    return T.read_fasta(spark, path).select("name", F.substring("seq", 5, 30).alias("part"), F.length("seq").alias("length"))
+    blocks = settled(R.read_reference(spark, path, 1000))
+    rows = R.lengths(blocks, 1000)
+    name, half = F.col("name"), F.floor(F.col("length") / 2)
+    wanted = {"part": (name, F.lit(4), F.lit(34)), "across": (name, F.lit(990), F.lit(1030)), "half": (name, half, half + 2500)}
+    return R.with_slices(rows, blocks, wanted, 1000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.segments import parse_cigar, reference_length
@@ -17,10 +17,16 @@ VCF_HEADER = [
 ]
 
 
+def _first_of_each(entries: Column) -> Column:
+    """A map from an array of (k, v); of entries with one key the first counts."""
+    keys = F.transform(entries, lambda e: e["k"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+
+
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """Records of VCF files (plain or gzip): chrom, pos, id, ref, alt, qual, filter, info, fmt (map of the first sample).
 
-    A quality of "." is null. Header lines are left out; an empty file gives no rows.
+    A quality of "." is null; of a repeated FORMAT key the first value counts. Header lines are left out; an empty file gives no rows.
     """
     fields = F.split(F.col("value"), "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(fields.alias("f"))
@@ -29,15 +35,15 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         at(1).alias("chrom"), at(2).cast("long").alias("pos"), at(3).alias("id"), at(4).alias("ref"), at(5).alias("alt"),
         at(6).try_cast("double").alias("qual"), at(7).alias("filter"), at(8).alias("info"),
-        F.map_from_entries(F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: e["k"].isNotNull())).alias("fmt"),
+        _first_of_each(F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: e["k"].isNotNull())).alias("fmt"),
     )
 
 
 def write_vcf(calls: DataFrame, path: str, header: list[str] | None = None) -> None:
     """Writes calls (chrom, pos, svtype, svlen, gt[, id, ref, alt]) as sorted VCF parts.
 
-    Parts are ranges of (chromosome number, position) in file order; the header is a part of its own
-    that sorts first, so that reading the folder, or joining its parts by name, gives one file.
+    Parts are ranges of (chromosome number, position) in file order and the first begins with the
+    header, so that reading the folder, or joining its parts by name, gives one file.
     """
     has = set(calls.columns)
     end = F.col("pos") + F.when(F.col("svtype") == "DEL", F.abs("svlen")).otherwise(0)
@@ -48,11 +54,9 @@ def write_vcf(calls: DataFrame, path: str, header: list[str] | None = None) -> N
         "alt" if "alt" in has else F.concat(F.lit("<"), "svtype", F.lit(">")), F.lit("."), F.lit("PASS"), info, F.lit("GT"), "gt",
     )
     names = "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "SAMPLE"])
-    spark = calls.sparkSession
-    head = spark.createDataFrame([("\n".join([*(header or VCF_HEADER), names]),)], "value string")
-    head.coalesce(1).write.text(path)
-    rows = calls.select(number.alias("_n"), "chrom", "pos", line.alias("value")).repartitionByRange("_n", "chrom", "pos")
-    rows.sortWithinPartitions("_n", "chrom", "pos").select("value").write.mode("append").text(path)
+    head = calls.sparkSession.createDataFrame([(-1, "", 0, "\n".join([*(header or VCF_HEADER), names]))], "_n int, chrom string, pos long, value string")
+    rows = head.unionByName(calls.select(number.alias("_n"), "chrom", "pos", line.alias("value"))).repartitionByRange("_n", "chrom", "pos")
+    rows.sortWithinPartitions("_n", "chrom", "pos").select("value").write.text(path)
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +156,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of SAM files: qname, flag, chrom, ref_start, ref_end (0-based, half-open), mapq, cigar, seq, tags.
 
     Header lines and lines with fewer than eleven fields are left out; tags are a map from name to
-    value; unmapped records have no chromosome and no end.
+    value, the first where one is repeated; unmapped records have no chromosome and no end.
     """
     f = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("@")).select(f.alias("f")).where(F.size("f") >= 11)
@@ -161,7 +165,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select(
         at(1).alias("qname"), at(2).cast("int").alias("flag"), F.when(at(3) != "*", at(3)).alias("chrom"), (at(4).cast("long") - 1).alias("ref_start"),
         at(5).cast("int").alias("mapq"), at(6).alias("text"), at(10).alias("seq"),
-        F.map_from_entries(F.transform(F.array_distinct(F.filter(tags, lambda t: F.size(t) == 3)), lambda t: F.struct(t[0].alias("k"), t[2].alias("v")))).alias("tags"),
+        _first_of_each(F.transform(F.filter(tags, lambda t: F.size(t) == 3), lambda t: F.struct(t[0].alias("k"), t[2].alias("v")))).alias("tags"),
     )
     rows = rows.withColumn("cigar", parse_cigar("text")).drop("text")
     return rows.withColumn("ref_end", F.when(F.size("cigar") > 0, F.col("ref_start") + reference_length("cigar")))
