@@ -5,11 +5,17 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import settled
 from .intervals import BIN
 
+#: So many wanted ranks at most are sent to every task.
+FEW_RANKS = 100_000
+
 #: Size limits of the evaluation bins.
 SIZE_CUTS = [50, 100, 200, 400, 800, 1000, 2000, 3000, 4000, 5000, 6000, 7000, 8000, 9000, 10000, 50000]
 
@@ -117,27 +123,93 @@ def blocks_between_errors(snps: DataFrame, block: list[str], pos: str, width: in
     return rows.groupBy(*block, "piece").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("n"))
 
 
-def pairs_by_distance(snps: DataFrame, keys: list[str], pos: str, agree: str, most: int, step: int) -> DataFrame:
+def pairs_by_distance(snps: DataFrame, keys: list[str], pos: str, agree: str, most: int, step: int, chunk: int | None = None) -> DataFrame:
     """Pairs of SNPs up to ``most`` apart by distance bin: bin, pairs, accurate, cumulative pairs.
 
-    ``agree`` is 0 or 1; a pair is accurate if both agree alike. Pairs are counted from positions
-    summed up per value, not listed in one group: positions meet by bins of ``most``.
+    ``agree`` is 0 or 1; a pair is accurate if both agree alike. No pair is listed: a chunk of positions
+    is a histogram, and how many pairs of two chunks are at each distance comes from the Fourier
+    transforms of their histograms, exact after rounding while numbers of pairs are below 2^40 or so. Chunks meet
+    those up to ``most`` ahead, one task a pair of chunks. Rows with a null position or agreement are left out.
     """
-    sums = snps.groupBy(*keys, pos, agree).agg(F.count("*").alias("c")).withColumn("_b", F.floor(F.col(pos) / most))
-    other = sums.select(*keys, F.col(pos).alias("_p"), F.col(agree).alias("_a"), F.col("c").alias("_c"), "_b")
-    near = other.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") - 1)))
-    pairs = sums.join(near, [*keys, "_b"]).where((F.col("_p") > F.col(pos)) & (F.col("_p") - F.col(pos) <= most))
-    bins = pairs.groupBy(F.floor((F.col("_p") - F.col(pos) - 1) / step).alias("bin")).agg(
-        F.sum(F.col("c") * F.col("_c")).alias("pairs"),
-        F.sum(F.when(F.col(agree) == F.col("_a"), F.col("c") * F.col("_c")).otherwise(0)).alias("accurate"),
+    width = chunk or min(1 << 21, 1 << max(12, int(most).bit_length()))
+    reach = -(-most // width)
+    sums = snps.where(F.col(pos).isNotNull() & F.col(agree).isNotNull()).groupBy(*keys, pos).agg(
+        F.sum(F.when(F.col(agree) == 1, 1).otherwise(0)).alias("_yes"), F.count("*").alias("_all")
     )
+    sums = sums.withColumn("_c", F.floor(F.col(pos) / width)).select(*keys, "_c", (F.col(pos) - F.col("_c") * width).cast("int").alias("_at"), "_yes", "_all")
+    ahead = F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_j")
+    left = sums.select("*", ahead)
+    right = sums.select(*keys, "_c", "_at", "_yes", "_all", ahead).withColumn("_c", F.col("_c") - F.col("_j"))
+    on = [*keys, "_c", "_j"]
+
+    def spectra(rows: pd.DataFrame) -> list[np.ndarray]:
+        at, every, signed = rows["_at"].to_numpy(), np.zeros(2 * width), np.zeros(2 * width)
+        every[at] = rows["_all"].to_numpy()
+        signed[at] = 2 * rows["_yes"].to_numpy() - rows["_all"].to_numpy()
+        return [np.fft.rfft(every), np.fft.rfft(signed)]
+
+    def count(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"bin": [], "pairs": [], "accurate": []}, dtype="int64")
+        j = int(one["_j"].iloc[0])
+        found = [np.rint(np.fft.irfft(np.conj(a) * b, 2 * width)) for a, b in zip(spectra(one), spectra(two), strict=True)]
+        distance = j * width + np.concatenate([np.arange(width), np.arange(-width, 0)])
+        mine = (distance > 0) & (distance <= most) & (found[0] > 0)
+        bins, at = np.unique((distance[mine] - 1) // step, return_inverse=True)
+        pairs, signed = (np.bincount(at, weights=f[mine], minlength=len(bins)) for f in found)
+        return pd.DataFrame({"bin": bins, "pairs": pairs.astype(np.int64), "accurate": ((pairs + signed) / 2).astype(np.int64)})
+
+    tasks = 4 * int(snps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.repartition(tasks, *on).groupBy(*on).cogroup(right.repartition(tasks, *on).groupBy(*on)).applyInPandas(count, "bin long, pairs long, accurate long")
+    bins = met.groupBy("bin").agg(F.sum("pairs").alias("pairs"), F.sum("accurate").alias("accurate"))
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # most / step rows
     return bins.select("bin", "pairs", "accurate", F.sum("pairs").over(w).alias("cumulative"))
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], ranges: int = 1024) -> DataFrame:
+    """The exact quantiles of each key, between two neighbouring values in proportion: keys, share, q, n.
+
+    Selection by counts: a wanted rank lies in one of ``ranges`` equal parts of its key's values, so
+    each pass counts the rows of every part and goes on with the one that holds the rank, until
+    its least and greatest value are the same. What is kept is a row a part, whatever the number of
+    values. Null and non-finite values are left out; keys may be null.
+    """
+    data = rows.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+    ends = data.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("n"))
+    share = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    at = F.col("share") * (F.col("n") - 1)
+    open_ = ends.select("*", share).select("*", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank"))
+    open_ = settled(open_.withColumn("_rank", F.col("rank")))
+    same = lambda a, b: reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    done = None
+    while True:
+        ready = open_.where("_low = _high").select(*keys, "share", "n", "rank", F.col("_low").alias("v"))
+        done = ready if done is None else done.unionByName(ready)
+        left = open_.where("_low < _high")
+        ranks = left.count()
+        if not ranks:
+            break
+        half = lambda a, b: F.col(a) / 2 - F.col(b) / 2  # noqa: E731  the difference itself may be infinite
+        part = F.least(F.floor(half("d._v", "t._low") / (half("t._high", "t._low") / ranges)), F.lit(ranges - 1))
+        names = [F.col(f"t.{k}").alias(k) for k in keys]
+        near = F.broadcast(left) if ranks <= FEW_RANKS else left
+        inside = data.alias("d").join(near.alias("t"), same("d", "t") & F.col("d._v").between(F.col("t._low"), F.col("t._high")))
+        counts = inside.select(*names, "t.share", "t.n", "t.rank", "t._rank", part.alias("_part"), "d._v").groupBy(*keys, "share", "n", "rank", "_rank", "_part").agg(
+            F.count("*").alias("_k"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+        )
+        upto = F.sum("_k").over(Window.partitionBy(*keys, "share", "rank").orderBy("_part"))  # up to ``ranges`` rows
+        hit = counts.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_k")))
+        open_ = settled(hit.select(*keys, "share", "n", "rank", (F.col("_rank") - F.col("_upto") + F.col("_k")).alias("_rank"), "_low", "_high"))
+    low, high = F.min(F.struct("rank", "v")), F.max(F.struct("rank", "v"))
+    part = F.col("share") * (F.col("n") - 1) - F.col("low.rank")
+    return done.groupBy(*keys, "share", "n").agg(low.alias("low"), high.alias("high")).select(
+        *keys, "share", (F.col("low.v") + (F.col("high.v") - F.col("low.v")) * part).alias("q"), "n"
+    )
+
+
 def quantile_band(rows: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:
     """Rows whose value is from ``low`` to ``high`` times the exact median of their key."""
-    median = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    median = exact_quantiles(rows, keys, value, [0.5]).select(*keys, F.col("q").alias("_m"))
     return rows.join(median, keys).where(F.col(value).between(low * F.col("_m"), high * F.col("_m"))).drop("_m")
 
 

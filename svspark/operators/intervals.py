@@ -125,25 +125,53 @@ def fold_islands(parted: DataFrame, keys: list[str], order: list[str], columns:
     return parted.repartition(buckets, *keys, "_island").sortWithinPartitions(*keys, "_island", *order).mapInPandas(run, fields)
 
 
+#: Widths of bins of one level and the next; intervals of a level touch this many bins at most, but for the last.
+WIDER = 64
+
+
+def _level_bins(low: str, high: str, width: int, levels: int) -> tuple[Column, Column]:
+    """The level of an interval by its length, and its (level, bin)s there and on all coarser levels."""
+    own = F.lit(levels - 1)
+    for level in reversed(range(levels - 1)):
+        own = F.when(F.col(high) - F.col(low) < WIDER * width * WIDER**level, level).otherwise(own)
+
+    def bins(level: int) -> Column:
+        wide = width * WIDER**level
+        numbers = F.sequence(F.floor(F.col(low) / wide), F.floor(F.col(high) / wide))
+        found = F.transform(numbers, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+        return F.when(own <= level, found).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
+
+    return own, F.concat(*[bins(level) for level in range(levels)])
+
+
 def overlap_pairs(
-    left: DataFrame, right: DataFrame, on: list[str], ls: Column, le: Column, rs: Column, re: Column, width: int = 20_000
+    left: DataFrame, right: DataFrame, on: list[str], ls: Column, le: Column, rs: Column, re: Column, width: int = 20_000, levels: int = 1
 ) -> DataFrame:
     """Inner join of intervals that touch or overlap: least(ends) - greatest(starts) >= 0.
 
     Both sides are dealt to bins of ``width`` and meet in equal (``on``, bin); a pair is kept in the
     bin where its common part starts, so it comes once. ``on`` columns come once; other columns of
     the two sides must have different names. Intervals with nulls or end < start meet nothing.
+
+    With more ``levels`` an interval has the bins of the level that its length asks for and of all
+    coarser ones, and a pair meets on the coarser of its two levels. A few rows more for short
+    intervals, but 64 bins and not length / ``width`` for long ones.
     """
     a = left.withColumn("_ls", ls).withColumn("_le", le).where("_ls <= _le")
     b = right.withColumn("_rs", rs).withColumn("_re", re).where("_rs <= _re")
-    a = a.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_ls") / width), F.floor(F.col("_le") / width))))
-    b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_rs") / width), F.floor(F.col("_re") / width))))
-    return (
-        a.join(b, [*on, "_bin"])
-        .where((F.col("_ls") <= F.col("_re")) & (F.col("_rs") <= F.col("_le")))
-        .where(F.floor(F.greatest("_ls", "_rs") / width) == F.col("_bin"))
-        .drop("_bin", "_ls", "_le", "_rs", "_re")
-    )
+    start = F.greatest("_ls", "_rs")
+    if levels == 1:
+        a = a.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_ls") / width), F.floor(F.col("_le") / width))))
+        b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_rs") / width), F.floor(F.col("_re") / width))))
+        pairs = a.join(b, [*on, "_bin"]).where(F.floor(start / width) == F.col("_bin"))
+    else:
+        one, bins = _level_bins("_ls", "_le", width, levels)
+        two, others = _level_bins("_rs", "_re", width, levels)
+        a = a.withColumn("_one", one).withColumn("_b", F.explode(bins)).withColumns({"_level": F.col("_b.level"), "_bin": F.col("_b.bin")}).drop("_b")
+        b = b.withColumn("_two", two).withColumn("_b", F.explode(others)).withColumns({"_level": F.col("_b.level"), "_bin": F.col("_b.bin")}).drop("_b")
+        wide = F.lit(width) * F.pow(F.lit(WIDER), F.col("_level")).cast("long")
+        pairs = a.join(b, [*on, "_level", "_bin"]).where((F.greatest("_one", "_two") == F.col("_level")) & (F.floor(start / wide) == F.col("_bin"))).drop("_one", "_two", "_level")
+    return pairs.where((F.col("_ls") <= F.col("_re")) & (F.col("_rs") <= F.col("_le"))).drop("_bin", "_ls", "_le", "_rs", "_re")
 
 
 def depth(intervals: DataFrame, reads: DataFrame, on: list[str], width: int = 20_000) -> DataFrame:

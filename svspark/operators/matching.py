@@ -12,15 +12,22 @@ from ..functions.scalars import edit_similarity, overlap_over_least, size_simila
 from .intervals import fold_islands, islands, overlap_pairs
 
 
+#: Levels of bins where intervals may be of any length.
+LEVELS = 3
+
+
 def within(left: DataFrame, right: DataFrame, on: list[str], lpos: str, rpos: str, radius: Column | int, width: int = 5_000) -> DataFrame:
-    """Pairs with |lpos - rpos| <= ``radius`` (a number or a column of the left side), each once."""
+    """Pairs with |lpos - rpos| <= ``radius`` (a number or a column of the left side), each once.
+
+    A radius that is a column may be of any size: bins then follow it.
+    """
     r = F.lit(radius) if isinstance(radius, int) else radius
-    return overlap_pairs(left, right, on, F.col(lpos) - r, F.col(lpos) + r, F.col(rpos), F.col(rpos), width)
+    return overlap_pairs(left, right, on, F.col(lpos) - r, F.col(lpos) + r, F.col(rpos), F.col(rpos), width, 1 if isinstance(radius, int) else LEVELS)
 
 
 def overlap_support(calls: DataFrame, sigs: DataFrame, on: list[str], flank: int = 1000) -> DataFrame:
     """Per call (cid, start, end) the signatures (s_start, s_end) that touch it widened by ``flank``: n, length."""
-    pairs = overlap_pairs(calls, sigs, on, F.col("start") - flank, F.col("end") + flank, F.col("s_start"), F.col("s_end"))
+    pairs = overlap_pairs(calls, sigs, on, F.col("start") - flank, F.col("end") + flank, F.col("s_start"), F.col("s_end"), levels=LEVELS)
     sums = pairs.groupBy("cid").agg(F.count("*").alias("n"), F.sum(F.col("s_end") - F.col("s_start")).alias("length"))
     return calls.join(sums, "cid", "left").select(*calls.columns, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("length", F.lit(0)).alias("length"))
 
@@ -122,6 +129,48 @@ def truth_match(calls: DataFrame, truth: DataFrame, on: list[str], shift: int =
     return calls.join(hits, "cid", "left").select(*calls.columns, "tid")
 
 
+#: Size classes of calls, by the least length of the next, and how far apart calls of one may be.
+CLASSES = [(101, 50), (501, 101), (1001, 501), (10000, 1001), (None, 10000)]
+
+
+def merge_callsets(calls: DataFrame, callers: int, breakend_gap: int = 1000) -> DataFrame:
+    """Calls of several callers merged into one each: chrom, svtype, chrom2, class, start, end, n, supp_vec, callers.
+
+    ``calls``: caller (0, 1, ... below ``callers``), chrom, svtype, chrom2 (null but for BND), start, end,
+    svlen. Calls of a type and size class are merged if their starts chain within the class's distance
+    and, inside such a chain, their ends do; so merging is transitive. BND calls have no size and chain
+    within ``breakend_gap`` between the same two sequences. A merged call begins at its first start and ends at its
+    last end; supp_vec has a 1 for each caller in it, in order.
+    """
+    size = F.abs("svlen")
+    number = F.lit(len(CLASSES) - 1)
+    for k, (below, _) in reversed(list(enumerate(CLASSES[:-1]))):
+        number = F.when(size < below, k).otherwise(number)
+    rows = calls.withColumn("class", F.when(F.col("svtype") == "BND", -1).otherwise(number)).withColumn("_two", F.coalesce("chrom2", F.lit("")))
+    keys, out = ["chrom", "svtype", "_two", "class"], None
+    for k, gap in [(-1, breakend_gap), *((k, far) for k, (_, far) in enumerate(CLASSES))]:
+        part = islands(rows.where(F.col("class") == k), keys, "start", gap, name="_c1")
+        part = islands(part, [*keys, "_c1"], "end", gap, name="_c2")
+        out = part if out is None else out.unionByName(part)
+    bits = [F.max(F.when(F.col("caller") == i, "1").otherwise("0")).alias(f"_b{i}") for i in range(callers)]
+    merged = out.groupBy(*keys, "_c1", "_c2").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.max("chrom2").alias("chrom2"), *bits)
+    vector = F.concat(*[F.col(f"_b{i}") for i in range(callers)])
+    return merged.select("chrom", "svtype", "chrom2", "class", "start", "end", "n", vector.alias("supp_vec"), F.length(F.regexp_replace(vector, "0", "")).alias("callers"))
+
+
+def translocation_match(calls: DataFrame, truth: DataFrame, shift: int = 1000) -> DataFrame:
+    """Calls (cid, chrom, pos, chrom2, pos2) with the first truth row (tid, t_chrom, t_pos, t_chrom2, t_pos2) that matches, or null.
+
+    Both ends must be within ``shift``, in either orientation: a truth row also counts with its ends
+    changed over.
+    """
+    names = ["chrom", "t_pos", "chrom2", "t_pos2"]
+    forth = truth.select("tid", *[F.col(c).alias(n) for c, n in zip(("t_chrom", "t_pos", "t_chrom2", "t_pos2"), names, strict=True)])
+    back = truth.select("tid", *[F.col(c).alias(n) for c, n in zip(("t_chrom2", "t_pos2", "t_chrom", "t_pos"), names, strict=True)])
+    pairs = within(calls, forth.unionByName(back), ["chrom", "chrom2"], "pos", "t_pos", shift).where(F.abs(F.col("pos2") - F.col("t_pos2")) <= shift)
+    return calls.join(pairs.groupBy("cid").agg(F.min("tid").alias("tid")), "cid", "left").select(*calls.columns, "tid")
+
+
 def somatic(tumor: DataFrame, normal: DataFrame, on: list[str]) -> DataFrame:
     """Tumor calls (cid, pos, svlen) without a normal call (n_pos, n_len) of their size class near them.
 

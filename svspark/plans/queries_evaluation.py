@@ -195,8 +195,9 @@ def pairs_by_distance(spark, d):
 
 @query("A31_length_quantiles", sql("SELECT svtype, unnest(quantile_cont(svlen, [0.0, 0.1, 0.5, 0.9])) AS q, count(*) AS n, max(svlen) AS top FROM sigs GROUP BY svtype", "sigs"))
 def length_quantiles(spark, d):
-    q = F.percentile("svlen", F.array(*[F.lit(x) for x in (0.0, 0.1, 0.5, 0.9)]))
-    return A.sigs(spark, d).groupBy("svtype").agg(q.alias("q"), F.count("*").alias("n"), F.max("svlen").alias("top")).select("svtype", F.explode("q").alias("q"), "n", "top")
+    rows = A.sigs(spark, d).select("svtype", "svlen")
+    top = rows.groupBy("svtype").agg(F.max("svlen").alias("top"))
+    return E.exact_quantiles(rows, ["svtype"], "svlen", [0.0, 0.1, 0.5, 0.9]).join(top, "svtype").select("svtype", "q", "n", "top")
 
 
 @query("A32_length_histogram", sql("SELECT svtype, svlen // 100 AS bin, count(*) AS n FROM sigs GROUP BY ALL", "sigs"))

@@ -262,6 +262,89 @@ def precision_recall(spark, d):
     )
 
 
+#: Calls of three callers, some of them breakends.
+CALLERS = """
+ln % 3 AS caller;
+chrom;
+CASE WHEN okey % 13 = 0 THEN 'BND' ELSE svtype END AS svtype;
+CASE WHEN okey % 13 = 0 THEN concat('chr', CAST(rname % 3 AS STRING)) END AS chrom2;
+pos AS start;
+pos + svlen * (1 + 20 * (rname % 2)) AS end;
+svlen * (1 + 20 * (rname % 2)) AS svlen
+"""
+MERGED = (
+    ", callers AS (SELECT "
+    + CALLERS.strip().replace(";\n", ",\n").replace("AS STRING", "AS VARCHAR").replace("AS start", 'AS "start"').replace("AS end", 'AS "end"')
+    + """ FROM sigs), k AS (
+        SELECT *, coalesce(chrom2, '') AS two, CASE WHEN svtype = 'BND' THEN -1 WHEN svlen < 101 THEN 0 WHEN svlen < 501 THEN 1 WHEN svlen < 1001 THEN 2 WHEN svlen < 10000 THEN 3 ELSE 4 END AS class FROM callers
+    ), g AS (SELECT *, CASE class WHEN -1 THEN 1000 WHEN 0 THEN 50 WHEN 1 THEN 101 WHEN 2 THEN 501 WHEN 3 THEN 1001 ELSE 10000 END AS gap FROM k),
+    a AS (SELECT *, CASE WHEN "start" - lag("start") OVER w > gap THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY chrom, svtype, two, class ORDER BY "start")),
+    b AS (SELECT * EXCLUDE new, sum(new) OVER (PARTITION BY chrom, svtype, two, class ORDER BY "start") AS c1 FROM a),
+    c AS (SELECT *, CASE WHEN "end" - lag("end") OVER w > gap THEN 1 ELSE 0 END AS new FROM b WINDOW w AS (PARTITION BY chrom, svtype, two, class, c1 ORDER BY "end")),
+    e AS (SELECT *, sum(new) OVER (PARTITION BY chrom, svtype, two, class, c1 ORDER BY "end") AS c2 FROM c),
+    merged AS (
+        SELECT chrom, svtype, max(chrom2) AS chrom2, CAST(class AS INTEGER) AS class, min("start") AS "start", max("end") AS "end", count(*) AS n,
+               concat(max(CASE WHEN caller = 0 THEN '1' ELSE '0' END), max(CASE WHEN caller = 1 THEN '1' ELSE '0' END), max(CASE WHEN caller = 2 THEN '1' ELSE '0' END)) AS supp_vec
+        FROM e GROUP BY chrom, svtype, two, class, c1, c2
+    )"""
+)
+
+
+def merged_calls(spark, d):
+    return M.merge_callsets(A.sigs(spark, d).selectExpr(*[c.strip() for c in CALLERS.strip().split(";\n")]), 3)
+
+
+@query("J11_merged_callsets", sql(MERGED + "SELECT *, CAST(length(replace(supp_vec, '0', '')) AS INTEGER) AS callers FROM merged", "sigs"))
+def merged_callsets(spark, d):
+    return merged_calls(spark, d)
+
+
+@query("J11_calls_of_one_caller", sql(MERGED + """SELECT chrom, svtype, class, count(*) AS n, min("start") AS first FROM merged WHERE supp_vec = '001' GROUP BY ALL""", "sigs"))
+def calls_of_one_caller(spark, d):
+    """What the last caller alone has, by the vector of support."""
+    return merged_calls(spark, d).where("supp_vec = '001'").groupBy("chrom", "svtype", "class").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+
+
+#: Translocations of the two call sets; every other one of the truth has its ends changed over.
+TRA = """
+okey * 8 + ln AS id;
+concat('chr', CAST(okey % 5 + 1 AS STRING)) AS chrom1;
+pos AS pos1;
+concat('chr', CAST(okey % 7 + 1 AS STRING)) AS chrom2;
+(okey * 37) % 50000 + svlen AS pos2
+"""
+
+
+def translocations(spark, d, flag):
+    return A.sigs(spark, d).where(F.col("flag") == flag).selectExpr(*[c.strip() for c in TRA.strip().split(";\n")])
+
+
+@query(
+    "J10_translocations",
+    sql(
+        ", x AS (SELECT flag, "
+        + TRA.strip().replace(";\n", ",\n").replace("AS STRING", "AS VARCHAR")
+        + """ FROM sigs), c AS (SELECT * FROM x WHERE flag = 'R'), t AS (
+            SELECT id, CASE WHEN id % 2 = 0 THEN chrom1 ELSE chrom2 END AS a, CASE WHEN id % 2 = 0 THEN pos1 ELSE pos2 END AS p,
+                   CASE WHEN id % 2 = 0 THEN chrom2 ELSE chrom1 END AS b, CASE WHEN id % 2 = 0 THEN pos2 ELSE pos1 END AS q FROM x WHERE flag = 'A'
+        ), h AS (
+            SELECT c.id AS cid, min(t.id) AS tid FROM c JOIN t
+              ON (c.chrom1 = t.a AND c.chrom2 = t.b AND abs(c.pos1 - t.p) <= 1000 AND abs(c.pos2 - t.q) <= 1000)
+              OR (c.chrom1 = t.b AND c.chrom2 = t.a AND abs(c.pos1 - t.q) <= 1000 AND abs(c.pos2 - t.p) <= 1000) GROUP BY c.id
+        ) SELECT c.id AS cid, h.tid FROM c LEFT JOIN h ON h.cid = c.id""",
+        "sigs",
+    ),
+)
+def translocation_match(spark, d):
+    c = translocations(spark, d, "R").select(F.col("id").alias("cid"), F.col("chrom1").alias("chrom"), F.col("pos1").alias("pos"), "chrom2", "pos2")
+    t, even = translocations(spark, d, "A"), F.col("id") % 2 == 0
+    truth = t.select(
+        F.col("id").alias("tid"), F.when(even, F.col("chrom1")).otherwise(F.col("chrom2")).alias("t_chrom"), F.when(even, F.col("pos1")).otherwise(F.col("pos2")).alias("t_pos"),
+        F.when(even, F.col("chrom2")).otherwise(F.col("chrom1")).alias("t_chrom2"), F.when(even, F.col("pos2")).otherwise(F.col("pos1")).alias("t_pos2"),
+    )
+    return M.translocation_match(c, truth).select("cid", "tid")
+
+
 @query(
     "J11_somatic_calls",
     sql(
