@@ -179,6 +179,36 @@ def adjusted_parts(spark, d):
     return P.adjusted_blocks(s, P.phase_errors(s, ["chrom", "ps"], "pos", "phase"), cut=True)
 
 
+def block_n50s(blocks):
+    """N50 of the lengths and of the adjusted lengths of a chromosome's blocks."""
+    plain, adjusted = E.n50(blocks, ["chrom"], "length"), E.n50(blocks, ["chrom"], "adjusted")
+    return plain.join(adjusted.withColumnRenamed("n50", "adjusted_n50"), "chrom")
+
+
+@query(
+    "K17_an50",
+    sql(
+        """, snps AS (SELECT chrom, pos, pos // 604800 AS ps FROM points GROUP BY chrom, pos),
+        b AS (SELECT chrom, ps, min(pos) AS low, max(pos) AS high FROM snps WHERE pos % 11 <> 0 GROUP BY chrom, ps),
+        t AS (SELECT b.chrom, b.ps, low, high, count(*) AS total, count(*) FILTER (s.pos % 11 <> 0 AND s.ps = b.ps) AS phased
+              FROM b JOIN snps s ON s.chrom = b.chrom AND s.pos > low AND s.pos <= high GROUP BY ALL),
+        a AS (SELECT chrom, high - low + 1 AS length, round((high - low + 1) * phased / total, 4) AS adjusted FROM t WHERE phased > 0),
+        r AS (SELECT chrom, length, adjusted, sum(length) OVER (PARTITION BY chrom ORDER BY length DESC) AS rl, sum(adjusted) OVER (PARTITION BY chrom ORDER BY adjusted DESC) AS ra,
+                     sum(length) OVER (PARTITION BY chrom) AS al, sum(adjusted) OVER (PARTITION BY chrom) AS aa FROM a)
+        SELECT chrom, max(length) FILTER (rl >= 0.5 * al) AS n50, max(adjusted) FILTER (ra >= 0.5 * aa) AS adjusted_n50 FROM r GROUP BY chrom""",
+        "points",
+    ),
+)
+def an50(spark, d):
+    return block_n50s(adjusted_blocks(spark, d))
+
+
+@query("K17_qan50")
+def qan50(spark, d):
+    """The same of blocks that are parted at switches."""
+    return block_n50s(adjusted_parts(spark, d))
+
+
 @query(
     "A38_pairs_by_distance",
     sql(

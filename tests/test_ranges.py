@@ -10,6 +10,9 @@ from svspark.operators import clustering as C
 from svspark.operators import evaluation as E
 from svspark.operators import intervals as I
 from svspark.operators import matching as M
+from svspark.plans import QUERIES
+
+from .conftest import SF
 
 
 def plain_first_fit(rows, within):
@@ -127,3 +130,20 @@ def test_translocations_match_in_either_orientation(spark):
         spark.createDataFrame(truth, "tid long, t_chrom string, t_pos long, t_chrom2 string, t_pos2 long"),
     )
     assert {x["cid"]: x["tid"] for x in found.collect()} == {1: 7, 2: None, 3: 7, 4: None, 5: 7}
+
+
+def test_n50_of_parted_blocks_query(spark):
+    parts = {}
+    for x in QUERIES["K17_blocks_between_errors"](spark, SF).collect():
+        parts.setdefault(x["chrom"], []).append((x["length"], x["adjusted"]))
+
+    def n50(values):
+        values, run = sorted(values, reverse=True), 0
+        for v in values:
+            run += v
+            if run >= 0.5 * sum(values) - 1e-6:
+                return v
+
+    want = {c: tuple(n50(v) for v in zip(*rows, strict=True)) for c, rows in parts.items()}
+    found = {x["chrom"]: (x["n50"], x["adjusted_n50"]) for x in QUERIES["K17_qan50"](spark, SF).collect()}
+    assert found == want and len(found) > 5
