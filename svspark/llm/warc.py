@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_dir, with_group
 
 #: Fixed values of the seekable format: skippable frame of the seek table, and what ends the file.
 SEEK_FRAME, SEEK_END = 0x184D2A5E, 0x8F92EAB1
@@ -161,16 +161,12 @@ def write_bundles(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("html"),
         F.sha1(F.encode(payload, "utf-8")).alias("digest"), F.octet_length(payload).cast("long").alias("size"),
     )
-    copied = (
-        rows.where(F.col("size") >= least_bytes)
-        .groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
-        .where("copies > 1").select("digest", "keeper")
+    # one row a payload; a payload that a large share of all rows has is met without a shuffle
+    keepers = cut(rows.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")), "warc-keepers")
+    revisits = (F.col("size") >= least_bytes) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    decided = with_group(rows, keepers, ["digest"], size="copies").select(
+        "page_id", "url", "digest", "size", F.when(revisits, F.col("keeper")).alias("refers_to"), "html"
     )
-    decided = rows.join(copied, "digest", "left").select(
-        "page_id", "url", "digest", "size",
-        F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"),
-        "html",
-    )
     # a revisit's payload isn't written: it is dropped here, behind the join that decides on it
     decided = decided.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
 

@@ -446,6 +446,14 @@ def test_warc_round_trip_and_lookup(spark):
     assert warc.read_bundles(warc.archive(df.limit(0))).count() == 0
 
 
+def test_warc_crowded_payloads(spark):
+    """Large and small payloads that over a thousand pages share, next to others."""
+    body = F.when(F.col("id") % 3 == 0, F.repeat(F.lit("x"), 1200)).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.repeat(F.lit("y"), 1000), F.col("id").cast("string")))
+    df = spark.range(6000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), body.alias("html"))
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_bundles(warc.archive(df)).collect()}
+    assert found == {i: ("revisit", 5997) if i % 3 == 0 and i != 5997 else ("response", None) for i in range(6000)}
+
+
 # 6 MinHash
 
 
