@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-from . import queries_calls, queries_clusters, queries_evaluation, queries_evidence, queries_files, queries_haplotypes, queries_matching, queries_scalars, queries_segments  # noqa: E402, F401
+from . import queries_calls, queries_clusters, queries_evaluation, queries_evidence, queries_files, queries_haplotypes, queries_mapping, queries_matching, queries_scalars, queries_segments  # noqa: E402, F401
