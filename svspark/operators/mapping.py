@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from ..sources.reference import with_slices
 BASES = np.full(256, 4, dtype=np.uint64)
 for _letter, _code in zip(b"ACGTacgt", [0, 1, 2, 3, 0, 1, 2, 3], strict=True):
     BASES[_letter] = _code
+TURN = str.maketrans("ACGT", "TGCA")
+OUT = ["cid", "chrom", "pos", "svlen", "k_chrom", "k_start", "k_end", "strand", "anchors", "score"]
 NEVER = np.uint64(2**63 - 1)
 
 
@@ -52,56 +53,26 @@ def sequence_minimizers(bases: str, k: int, w: int) -> tuple[np.ndarray, np.ndar
     return at, hashes[at].astype(np.int64), (there < back)[at]
 
 
-def _checked(k: int, w: int, block: int | None = None) -> None:
-    if k % 2 == 0 or not 3 <= k <= 31 or w < 1:
-        raise ValueError("k must be odd and from 3 to 31, w at least 1")
-    if block is not None and block < k + w:
-        raise ValueError("a block must hold a window")
-
-
-def _rows(key: str, name: pa.Scalar, at: np.ndarray, hashes: np.ndarray, forward: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.repeat(name, len(at)), pa.array(hashes), pa.array(at, pa.int64()), pa.array(forward)], names=[key, "hash", "at", "forward"])
-
-
-def minimizers(sequences: DataFrame, key: str, seq: str, k: int = 15, w: int = 10) -> DataFrame:
-    """(``key``, hash, at, forward) of sequences in rows; null and too short sequences have none."""
-    _checked(k, w)
-    rows = sequences.where(F.col(seq).isNotNull()).select(key, F.col(seq).alias("_seq"))
+def _thinned(found: tuple[np.ndarray, ...], bins: np.ndarray, crowded: int) -> tuple[np.ndarray, ...]:
+    """Minimizers without those between the first and the last of over ``crowded`` alike in a bin."""
+    at, hashes, forward = found
+    if not len(at):
+        return found
+    order = np.lexsort((at, forward, hashes, bins))
+    alike = np.all([c[order][1:] == c[order][:-1] for c in (hashes, forward, bins)], axis=0)
+    group = np.concatenate([[0], np.cumsum(~alike)])
+    stays = (np.bincount(group)[group] <= crowded) | ~np.concatenate([[False], alike]) | ~np.concatenate([alike, [False]])
+    return tuple(c[order[stays]] for c in found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, text in zip(*batch.columns, strict=True):
-                yield _rows(key, name, *sequence_minimizers(text.as_py(), k, w))
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"{key} {kind}, hash long, at long, forward boolean")
 
-
-def reference_minimizers(blocks: DataFrame, block: int, k: int = 15, w: int = 10) -> DataFrame:
-    """(name, hash, at, forward) of a table of reference blocks: those of the whole sequences.
-
-    Each block gets the ends of its neighbours, so that all windows over its own k-mers are in one row.
-    """
-    _checked(k, w, block)
-    ends = F.array(
-        F.struct((F.col("block") + 1).alias("block"), F.right("bases", F.lit(w - 1)).alias("before"), F.lit(None).cast("string").alias("after")),
-        F.struct((F.col("block") - 1).alias("block"), F.lit(None).cast("string").alias("before"), F.left("bases", F.lit(w + k - 2)).alias("after")),
-    )
-    edges = blocks.select("name", F.explode(ends).alias("e")).select("name", "e.*").groupBy("name", "block").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    rows = blocks.join(edges, ["name", "block"], "left").select(
-        "name", "block", F.coalesce("before", F.lit("")).alias("before"), "bases", F.coalesce("after", F.lit("")).alias("after")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, *rest in zip(*batch.columns, strict=True):
-                number, before, bases, after = (x.as_py() for x in rest)
-                at, hashes, forward = sequence_minimizers(before + bases + after, k, w)
-                at = at - len(before)
-                own = (at >= 0) & (at < len(bases))
-                yield _rows("name", name, at[own] + number * block, hashes[own], forward[own])
-
-    return rows.mapInArrow(run, "name string, hash long, at long, forward boolean")
+def _anchors(ours: tuple[np.ndarray, ...], theirs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the reference, place in the sequence, same direction) of each pair with equal hashes."""
+    order = np.argsort(ours[1], kind="stable")
+    at, hashes, forward = (c[order] for c in ours)
+    low, high = np.searchsorted(hashes, theirs[1], "left"), np.searchsorted(hashes, theirs[1], "right")
+    n = high - low
+    mine = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(theirs[0], n), at[mine], np.repeat(theirs[2], n) == forward[mine]
 
 
 def chains(r: np.ndarray, q: np.ndarray, k: int, gap: int, look_back: int, least: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -172,55 +143,56 @@ def align_beside(
 
     Returns cid, chrom, pos, svlen (the sequence's length), k_chrom, k_start, k_end, strand, anchors, score;
     a row for each chain of shared minimizers. An alignment that begins or ends within ``shift`` of ``pos``
-    and is as long as ``similarity`` asks for lies wholly in the stretch that is looked at, so the join
-    goes by (sequence, bin of ``width``, hash), and a minimizer that is frequent in the genome meets
-    only its occurrences there. One that is there over ``crowded`` times in a bin, or in
-    the inserted sequence, stands by its first and last place alone. Chains are extended at both ends base by
-    base, as far as that scores best (see :func:`extension`).
-
-    ``cid`` must be unique; rows with a null place or sequence, and sequences without a chain, have no
-    alignments. A row's anchors meet in one task: they are bounded by its length.
+    and is as long as ``similarity`` asks for lies wholly in the stretch that is looked at. That stretch
+    comes to its row from the table of reference blocks, so nothing but bases is shuffled, and a minimizer
+    that is frequent in the genome meets only its occurrences there. One that is there over
+    ``crowded`` times in a bin of ``width``, or in the inserted sequence, stands by its first and last place
+    alone. Chains are extended at both ends base by base inside the stretch, as far as that scores
+    best (see :func:`extension`).
+
+    Rows with a null place or sequence, and sequences without a chain, have no alignments; rows that
+    repeat have theirs each. What a task holds for a row is bounded by the sequence's length.
     """
-    rows = insertions.where("chrom is not null and pos is not null and seq is not null").select("cid", "chrom", "pos", "seq", F.length("seq").cast("long").alias("svlen"))
-
-    def thinned(found: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows by ``keys``, hash and forward, a group is bounded by a bin or a sequence; crowded ones keep two places."""
-        places = found.groupBy(*keys, "hash", "forward").agg(F.array_sort(F.collect_list("at")).alias("_p"))
-        two = F.array(F.element_at("_p", 1), F.element_at("_p", -1))
-        return places.withColumn("at", F.explode(F.when(F.size("_p") > crowded, two).otherwise(F.col("_p")))).drop("_p")
-
+    if k % 2 == 0 or not 3 <= k <= 31 or w < 1:
+        raise ValueError("k must be odd and from 3 to 31, w at least 1")
     reach = F.lit(shift) + F.ceil(F.col("svlen") / similarity)
-    site = rows.select("cid", "chrom", "svlen", F.greatest(F.col("pos") - reach, F.lit(0)).alias("low"), (F.col("pos") + reach).alias("high"))
-    bins = F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width)))
-    theirs = thinned(minimizers(rows, "cid", "seq", k, w), ["cid"]).withColumnsRenamed({"at": "q", "forward": "q_forward"})
-    asked = theirs.join(site, "cid").withColumn("bin", bins)
-    there = reference_minimizers(blocks, block, k, w).withColumn("bin", F.floor(F.col("at") / width)).withColumnRenamed("name", "chrom")
-    there = thinned(there, ["chrom", "bin"])
-    alike = F.col("forward") == F.col("q_forward")
-    anchors = asked.join(there, ["chrom", "bin", "hash"]).where((F.col("at") >= F.col("low")) & (F.col("at") + k <= F.col("high"))).select(
-        "cid", F.when(alike, "+").otherwise("-").alias("strand"), F.col("at").alias("r"), F.when(alike, F.col("q")).otherwise(F.col("svlen") - k - F.col("q")).alias("q")
-    )
-    kind = rows.schema["cid"].dataType.simpleString()
-
-    def chained(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.sort_by([("r", "ascending"), ("q", "ascending")])
-        found = chains(group["r"].to_numpy(), group["q"].to_numpy(), k, gap, look_back, least)
-        numbers = np.array(found, dtype=np.int64).reshape(-1, 6).T
-        columns = [*[pa.repeat(part, len(found)) for part in key], *[pa.array(c) for c in numbers]]
-        return pa.Table.from_arrays(columns, names=["cid", "strand", "r_start", "r_end", "q_start", "q_end", "anchors", "score"])
-
-    found = anchors.groupBy("cid", "strand").applyInArrow(
-        chained, f"cid {kind}, strand string, r_start long, r_end long, q_start long, q_end long, anchors long, score long"
-    )
-    turned = F.reverse(F.translate(F.upper("seq"), "ACGT", "TGCA"))
-    read = found.join(rows, "cid").withColumn("_read", F.when(F.col("strand") == "+", F.upper("seq")).otherwise(turned)).drop("seq")
-    tail = F.col("svlen") - F.col("q_end")
-    stretches = {"_left": (F.col("chrom"), F.col("r_start") - F.col("q_start"), F.col("r_start")), "_right": (F.col("chrom"), F.col("r_end"), F.col("r_end") + tail)}
-    read = with_slices(read, blocks, stretches, block)
-    extended = F.pandas_udf(lambda ours, theirs: pd.Series([extension(*two, drop) for two in zip(ours, theirs, strict=True)], dtype="int64"), "long")
-    front = F.substring("_read", F.lit(1), F.col("q_start").cast("int"))
-    back = F.substring("_read", (F.col("q_end") + 1).cast("int"), tail.cast("int"))
-    return read.select(
-        "cid", "chrom", "pos", "svlen", F.col("chrom").alias("k_chrom"), (F.col("r_start") - extended(F.reverse(front), F.reverse("_left"))).alias("k_start"),
-        (F.col("r_end") + extended(back, "_right")).alias("k_end"), "strand", "anchors", "score",
-    )
+    rows = (
+        insertions.where("chrom is not null and pos is not null and seq is not null")
+        .select("cid", "chrom", F.col("pos").cast("long").alias("pos"), F.length("seq").cast("long").alias("svlen"), F.upper("seq").alias("_seq"))
+        .withColumn("_low", F.greatest(F.col("pos") - reach, F.lit(0))).withColumn("_high", F.col("pos") + reach)
+    )
+    # with the bases of all windows over k-mers of the stretch
+    rows = with_slices(rows, blocks, {"_bases": (F.col("chrom"), F.col("_low") - (w - 1), F.col("_high") + (w - 1))}, block).where("_bases <> ''")
+
+    def aligned(seq: str, low: int, high: int, bases: str) -> Iterator[tuple]:
+        first = max(0, low - (w - 1))
+        here = bases[low - first : high - first].upper()
+        at, *rest = sequence_minimizers(bases, k, w)
+        inside = (at + first >= low) & (at + first + k <= high)
+        at = at[inside] + first
+        theirs = _thinned((at, *[c[inside] for c in rest]), at // width, crowded)
+        ours = sequence_minimizers(seq, k, w)
+        r, q, same = _anchors(_thinned(ours, np.zeros_like(ours[0]), crowded), theirs)
+        for strand, mask in (("+", same), ("-", ~same)):
+            text = seq if strand == "+" else seq.translate(TURN)[::-1]
+            rs, qs = r[mask], q[mask] if strand == "+" else len(seq) - k - q[mask]
+            order = np.lexsort((qs, rs))
+            for start, end, q_start, q_end, n, score in chains(rs[order], qs[order], k, gap, look_back, least):
+                front = extension(text[:q_start][::-1], here[: start - low][::-1], drop)
+                yield start - front, end + extension(text[q_end:], here[end - low :], drop), strand, n, score
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, values = [], []
+            for i, given in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_seq", "_low", "_high", "_bases")], strict=True)):
+                for found in aligned(*given):
+                    kept.append(i)
+                    values.append(found)
+            start, end, strand, n, score = zip(*values, strict=True) if values else ((),) * 5
+            own = [batch.column(c).take(pa.array(kept, pa.int64())) for c in ("cid", "chrom", "pos", "svlen")]
+            found = [pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(strand, pa.string()), pa.array(n, pa.int64()), pa.array(score, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, own[1], *found], names=OUT)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string' if c in ('k_chrom', 'strand') else 'long')}" for c in OUT)
+    return rows.mapInArrow(run, schema)

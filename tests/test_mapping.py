@@ -102,24 +102,18 @@ def plain_alignments(insertions, sequences, k, w, crowded, width, gap, least, si
             )
             for r1, r2, q1, q2, m, score in plain_chains(anchors, k, gap, least):
                 text, ref = seq.upper() if strand == "+" else turned(seq.upper()), sequences[chrom].upper()
-                start, end = r1 - plain_extension(text[:q1][::-1], ref[:r1][::-1]), r2 + plain_extension(text[q2:], ref[r2:])
+                start, end = r1 - plain_extension(text[:q1][::-1], ref[low:r1][::-1]), r2 + plain_extension(text[q2:], ref[r2:high])
                 out.append((cid, start, end, strand, m, score))
     return sorted(out)
 
 
-@pytest.mark.parametrize("size", [40, 97])
-def test_minimizers_of_blocks_are_those_of_the_whole(spark, size):
-    rng = random.Random(size)
-    texts = {f"c{i}": "".join(rng.choice("ACGTN" if i % 2 else "ACGT") for _ in range(n)) for i, n in enumerate([0, 3, 7, 9, 40, 41, 97, 194, 200, 500])}
-    texts["run"] = "A" * 300
-    df = spark.createDataFrame(list(texts.items()), "name string, seq string")
-    found = mapping.reference_minimizers(reference.blocks_of(df, block=size), size, K, W).collect()
-    want = {(n, *m) for n, s in texts.items() for m in plain_minimizers(s, K, W)}
-    assert len(found) == len(want) and {(r["name"], r["hash"], r["at"], r["forward"]) for r in found} == want
-    rows = mapping.minimizers(df.unionByName(spark.createDataFrame([("none", None)], df.schema)), "name", "seq", K, W).collect()
-    assert {(r["name"], r["hash"], r["at"], r["forward"]) for r in rows} == want
-    with pytest.raises(ValueError):
-        mapping.minimizers(df, "name", "seq", 8, W)
+def test_minimizers_window_by_window():
+    rng = random.Random(1)
+    for n in (0, 3, 7, 9, 10, 11, 40, 500):
+        for letters in ("ACGT", "ACGTN", "A", "AC"):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            at, hashes, forward = mapping.sequence_minimizers(text, K, W)
+            assert set(zip(hashes.tolist(), at.tolist(), forward.tolist(), strict=True)) == plain_minimizers(text, K, W)
 
 
 def test_alignments_against_plain_loops(spark):
@@ -148,6 +142,8 @@ def test_alignments_against_plain_loops(spark):
     assert len(want) > 60 and {"+", "-"} == {w[3] for w in want}
     assert got == want
     assert mapping.align_beside(df.limit(0), blocks, 50, **settings).count() == 0
+    with pytest.raises(ValueError):
+        mapping.align_beside(df, blocks, 50, k=8)
 
 
 def test_planted_copies_are_recovered(spark):
