@@ -28,6 +28,13 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) >> np.uint64(1)
 
 
+def _joined(there: np.ndarray, back: np.ndarray, size: int, there2: np.ndarray, back2: np.ndarray, size2: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Codes of stretches, and of their reverse complements, from those of two neighbours of ``size`` and ``size2`` letters."""
+    n = min(len(there), len(there2) - size)
+    forth = (there[:n] << np.uint64(2 * size2)) | there2[size : size + n]
+    return forth, back[:n] | (back2[size : size + n] << np.uint64(2 * size)), size + size2
+
+
 def sequence_minimizers(bases: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, hashes, forward) of the k-mers with the least hash in some window of ``w`` in a row.
 
@@ -38,12 +45,18 @@ def sequence_minimizers(bases: str, k: int, w: int) -> tuple[np.ndarray, np.ndar
     n = len(letters) - k + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    there, back, bad = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, bool)
-    for j in range(k):
-        letter = letters[j : j + n]
-        bad |= letter > 3
-        there = (there << np.uint64(2)) | (letter & np.uint64(3))
-        back |= (np.uint64(3) - (letter & np.uint64(3))) << np.uint64(2 * j)
+    strange = np.concatenate([[0], np.cumsum(letters > 3)])
+    bad = strange[k:] > strange[:-k]
+    # codes of 1, 2, 4, ... letters, put together to those of k
+    there, back = letters & np.uint64(3), np.uint64(3) - (letters & np.uint64(3))
+    size, codes, left = 1, None, k
+    while left:
+        if left & 1:
+            codes = (there, back, size) if codes is None else _joined(*codes, there, back, size)
+        left >>= 1
+        if left:
+            there, back, size = _joined(there, back, size, there, back, size)
+    there, back = codes[0][:n], codes[1][:n]
     hashes = np.where(bad, NEVER, _mixed(np.minimum(there, back)))
     size = min(w, n)
     least = np.lib.stride_tricks.sliding_window_view(hashes, size).min(axis=1)
@@ -84,16 +97,23 @@ def chains(r: np.ndarray, q: np.ndarray, k: int, gap: int, look_back: int, least
     go to the nearest predecessor and the first end.
     """
     n = len(r)
-    score, before = np.full(n, k, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+    rows, columns = r.tolist(), q.tolist()
+    score, before, highest = [k] * n, [-1] * n, [k] * n  # the highest score up to an anchor bounds what earlier ones can give
     for i in range(1, n):
-        low = max(0, i - look_back)
-        dr, dq = r[i] - r[low:i], q[i] - q[low:i]
-        lag = np.abs(dr - dq)
-        value = score[low:i] + np.minimum(np.minimum(dr, dq), k) - lag // 4 - (lag > 0)
-        value = np.where((dr > 0) & (dq > 0) & (dr <= gap) & (dq <= gap), value, -1)
-        j = len(value) - 1 - int(np.argmax(value[::-1]))
-        if value[j] > k:
-            score[i], before[i] = value[j], low + j
+        low, best, at = max(0, i - look_back), k, -1
+        for j in range(i - 1, low - 1, -1):
+            if best >= highest[j] + k:
+                break
+            dr, dq = rows[i] - rows[j], columns[i] - columns[j]
+            if dr > gap:
+                break
+            if 0 < dr and 0 < dq <= gap:
+                lag = abs(dr - dq)
+                value = score[j] + min(dr, dq, k) - lag // 4 - (lag > 0)
+                if value > best:
+                    best, at = value, j
+        score[i], before[i], highest[i] = best, at, max(highest[i - 1], best)
+    score = np.array(score, dtype=np.int64)
     used, found = np.zeros(n, dtype=bool), []
     for end in np.lexsort((np.arange(n), -score)):
         if used[end]:
