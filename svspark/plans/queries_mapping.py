@@ -12,9 +12,9 @@ from . import adapters as A
 from . import query
 
 
-def placed_insertions(spark, d):
+def placed_insertions(sequences):
     """An insertion a text (cid, chrom, pos, seq): a part of it as it is, turned, with changed bases, or recoded; behind that part or far from it."""
-    s = A.sequences(spark, d).withColumn("n", F.length("seq").cast("long")).where("n >= 600")
+    s = sequences.withColumn("n", F.length("seq").cast("long")).where("n >= 600")
     s = s.withColumn("size", 150 + (F.col("sid") * 37) % F.expr("n div 3")).withColumn("start", F.expr("n div 3"))
     part = F.substring("seq", (F.col("start") + 1).cast("int"), F.col("size").cast("int"))
     kind = F.col("sid") % 4
@@ -27,8 +27,9 @@ def placed_insertions(spark, d):
 
 
 def aligned_insertions(spark, d):
-    blocks = settled(R.blocks_of(A.sequences(spark, d).select(F.concat(F.lit("s"), F.col("sid").cast("string")).alias("name"), "seq")))
-    return mapping.align_beside(settled(placed_insertions(spark, d)), blocks, R.BLOCK)
+    sequences = settled(A.sequences(spark, d))
+    blocks = R.blocks_of(sequences.select(F.concat(F.lit("s"), F.col("sid").cast("string")).alias("name"), "seq"))
+    return mapping.align_beside(placed_insertions(sequences), blocks, R.BLOCK)
 
 
 @query("K16_aligned_insertions")

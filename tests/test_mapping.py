@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from svspark.operators import calls, mapping
-from svspark.plans import queries_mapping
+from svspark.plans import adapters, queries_mapping
 from svspark.sources import reference
 from tests.conftest import SF
 
@@ -174,7 +174,7 @@ def test_planted_copies_are_recovered(spark):
 
 def test_query_finds_the_parts_that_are_there(spark):
     found = {r["cid"]: r for r in queries_mapping.duplications_from_sequences(spark, SF).collect()}
-    given = queries_mapping.placed_insertions(spark, SF).select("cid", "pos", F.length("seq").alias("n")).collect()
+    given = queries_mapping.placed_insertions(adapters.sequences(spark, SF)).select("cid", "pos", F.length("seq").alias("n")).collect()
     beside = [r for r in given if r["cid"] % 8 in (0, 1) and r["cid"] % 50 <= 0.3 * r["n"]]
     assert beside and all(r["cid"] in found for r in beside)
     assert not any(r["cid"] % 4 == 3 and r["n"] > 400 for r in given if r["cid"] in found)
