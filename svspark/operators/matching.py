@@ -187,11 +187,17 @@ def somatic(tumor: DataFrame, normal: DataFrame, on: list[str]) -> DataFrame:
     return tumor.join(pairs.select("cid").distinct(), "cid", "left_anti")
 
 
-def match_links(calls: DataFrame, on: list[str], radius: int, similarity: float, sequence: float | None = None) -> DataFrame:
-    """(a, b): calls (cid, pos, svlen[, seq]) near each other and alike in size, and in sequence if asked for."""
+def match_links(calls: DataFrame, on: list[str], radius: int, similarity: float, sequence: float | None = None, overlap: float | None = None) -> DataFrame:
+    """(a, b): calls (cid, pos, svlen[, seq]) near each other and alike in size, and in sequence if asked for.
+
+    ``overlap``: the least share of the longer one that both have; at 0 they overlap or touch.
+    """
     other = calls.select(*on, *[F.col(c).alias("o_" + c) for c in calls.columns if c not in on])
     pairs = within(calls, other, on, "pos", "o_pos", radius).where("cid < o_cid")
     pairs = pairs.where(size_similarity("svlen", "o_svlen") >= similarity)
+    if overlap is not None:
+        common = F.least(F.col("pos") + F.col("svlen"), F.col("o_pos") + F.col("o_svlen")) - F.greatest("pos", "o_pos")
+        pairs = pairs.where(common >= overlap * F.greatest("svlen", "o_svlen"))
     if sequence is not None:
         pairs = pairs.where(edit_similarity("seq", "o_seq") >= sequence)
     return pairs.select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))

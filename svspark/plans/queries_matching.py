@@ -382,11 +382,11 @@ LINKS = """, docs AS (SELECT count(*) AS n FROM seqs), told AS (
     SELECT c.*, CASE WHEN svtype = 'INS' THEN substr(s.seq, CAST(pos % 300 AS BIGINT) + 1, CAST(svlen // 8 AS BIGINT)) END AS seq
     FROM calls c LEFT JOIN seqs s ON s.sid = (c.pos // 1000) % (SELECT n FROM docs)
 ), near AS (
-    SELECT a.cid AS a, b.cid AS b, a.svtype, a.pos AS p, b.pos AS q, a.seq AS s, b.seq AS t, least(a.svlen, b.svlen)::DOUBLE / greatest(a.svlen, b.svlen) AS alike
+    SELECT a.cid AS a, b.cid AS b, a.svtype, a.pos AS p, b.pos AS q, a.seq AS s, b.seq AS t, least(a.pos + a.svlen, b.pos + b.svlen) - greatest(a.pos, b.pos) AS common, least(a.svlen, b.svlen)::DOUBLE / greatest(a.svlen, b.svlen) AS alike
     FROM told a JOIN told b ON a.chrom = b.chrom AND a.svtype = b.svtype AND a.cid < b.cid AND abs(a.pos - b.pos) <= 3000
 ), scored AS (
     SELECT *, CASE WHEN svtype = 'INS' AND abs(p - q) <= 500 AND alike >= 0.5 THEN (length(s) + length(t) - levenshtein(s, t))::DOUBLE / nullif(length(s) + length(t), 0) END AS score FROM near
-), links AS (SELECT a, b FROM scored WHERE (svtype = 'DEL' AND alike >= 0.1) OR (svtype = 'INS' AND score >= 0.5))"""
+), links AS (SELECT a, b FROM scored WHERE (svtype = 'DEL' AND alike >= 0.1 AND common >= 0) OR (svtype = 'INS' AND score >= 0.5))"""
 
 
 def told(spark, d):
@@ -398,9 +398,9 @@ def told(spark, d):
 
 
 def links(spark, d):
-    """Links by type: deletions within 3000 and of a tenth of each other's size, insertions within 500, half and alike."""
+    """Links by type: deletions within 3000, of a tenth of each other's size and overlapping or touching, insertions within 500, half and alike."""
     c = settled(told(spark, d))
-    found = M.match_links(c.where("svtype = 'DEL'").drop("seq"), ON, 3000, 0.1)
+    found = M.match_links(c.where("svtype = 'DEL'").drop("seq"), ON, 3000, 0.1, overlap=0)
     return found.unionByName(M.match_links(c.where("svtype = 'INS'"), ON, 500, 0.5, 0.5))
 
 

@@ -246,3 +246,19 @@ def test_file_formats(spark, tmp_path):
     assert sorted(map(tuple, T.read_fasta(spark, str(tmp_path / "x.fa")).collect())) == [("a", "ACGT"), ("b", "GG")]
     (tmp_path / "x.gfa").write_text("H\tVN\nS\tu1\tACGT\nL\tu1\n")
     assert [tuple(r) for r in T.read_gfa_segments(spark, str(tmp_path / "x.gfa")).collect()] == [("u1", "ACGT")]
+
+
+def test_links_ask_for_a_common_part(spark):
+    """Calls that touch are linked at 0, those apart aren't; a share is one of the longer call."""
+    rows = [(1, "c", 0, 100), (2, "c", 100, 50), (3, "c", 300, 60), (4, "c", 310, 90), (5, "d", 0, 100), (6, "c", 151, 40)]
+    df = spark.createDataFrame(rows, "cid long, chrom string, pos long, svlen long")
+
+    def links(**more):
+        return {(r["a"], r["b"]) for r in M.match_links(df, ["chrom"], 3000, 0.1, **more).collect()}
+
+    plain = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1]}
+    assert links() == plain
+    for least in (0, 0.5, 0.6):
+        want = {(a[0], b[0]) for a in rows for b in rows if (a[0], b[0]) in plain and min(a[2] + a[3], b[2] + b[3]) - max(a[2], b[2]) >= least * max(a[3], b[3])}
+        assert links(overlap=least) == want
+    assert links(overlap=0) == {(1, 2), (3, 4)} and links(overlap=0.6) == set()
