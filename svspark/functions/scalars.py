@@ -169,6 +169,21 @@ def parse_region(name) -> Column:
     )
 
 
+def contig_name(header, length, haplotype: str | None = None) -> Column:
+    """Name of an assembled contig from a header that holds its region: [haplotype_]chrom_start_end_block.
+
+    The region is cut to [0, ``length``]; the block is what follows the header's last slash up to a
+    point, without _hp1 and _hp2. Null for headers without a region.
+    """
+    region = r"Region_(chr\w+)_S(-?\d+)_E(-?\d+)"
+    part = lambda k: F.regexp_extract(_c(header), region, k)
+    start = F.greatest(part(2).try_cast("long"), F.lit(0))
+    end = F.least(part(3).try_cast("long"), _c(length))
+    block = F.regexp_replace(F.regexp_extract(_c(header), r"([^/]*)$", 1), r"\..*$|_hp[12]", "")
+    name = F.concat_ws("_", *([F.lit(haplotype)] if haplotype else []), part(1), start.cast("string"), end.cast("string"), block)
+    return F.when(_c(header).rlike(region), name)
+
+
 def genotype(ref_reads, alt_reads, error: float = 0.1, prior: float = 1 / 3, most: int = 100) -> Column:
     """struct(gt, pl array, gq, qual) from counts of reads for and against a variant.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import size_similarity
+from ..functions.scalars import corrected_genotype, is_autosome, size_similarity
 from .clustering import first_fit
 from .intervals import islands, overlap_pairs
+from .matching import best_match, overlapping_rows, replace_by_longest
 from .segments import adjacent, segment_pairs
 
 #: Second filter of duplications by technology and state. Ranges are inclusive.
@@ -112,22 +113,29 @@ def block_quality(counts: DataFrame) -> DataFrame:
     return rows.select("block", F.round(F.abs(F.col("s1") - F.col("s2")) / 2, 6).alias("quality"))
 
 
-def split_indels_by_ratio(segments: DataFrame, key: str, order: list[str], ratio: float, low: float, high: float, least: int = 30) -> DataFrame:
+#: Fixed values. Of noisy technologies: ratio, low and high of :func:`split_indels_by_ratio`.
+SPLIT_RATIOS = {"CLR": (0.3, 0.3, 0.3), "ONT": (0.5, 0.8, 0.5)}
+
+
+def split_indels_by_ratio(segments: DataFrame, key: str, order: list[str], ratio: float, low: float, high: float, least: int = 30, most: int = 50_000, far: int = 400) -> DataFrame:
     """Split-read indels of noisy reads: limits follow the size of the difference.
 
     A deletion's read distance is at most ``ratio`` of it; an insertion's overlap lies between
-    ``low`` times the (negative) difference and ``high`` times its size.
+    ``low`` times the (negative) difference and ``high`` times its size. A deletion is placed at the
+    first segment's end, an insertion at the second's start or, if that is over ``far`` away from the
+    first's end, midway. Differences over ``most`` are left out.
     """
     columns = ["chrom", "strand", "ref_start", "ref_end", "q_start", "q_end"]
     rows = adjacent(segments, key, order, columns).where("chrom = n_chrom and strand = n_strand and n_ref_start >= ref_start")
     rows = rows.withColumn("diff", (F.col("n_ref_start") - F.col("ref_end")) - (F.col("n_q_start") - F.col("q_end")))
     rows = rows.withColumn("olap", F.col("ref_end") - F.col("n_ref_start"))
+    rows = rows.where(F.abs("diff") <= most)
     kind = F.when((F.col("diff") >= least) & (F.abs(F.col("q_end") - F.col("n_q_start")) <= F.col("diff") * ratio), "DEL").when(
         (F.col("diff") <= -least) & (F.col("olap") >= F.col("diff") * low) & (F.col("olap") <= F.abs("diff") * high), "INS"
     )
-    return rows.withColumn("svtype", kind).where("svtype is not null").select(
-        key, "chrom", "svtype", F.least("ref_end", "n_ref_start").alias("pos"), F.abs("diff").alias("len")
-    )
+    midway = F.floor((F.col("ref_end") + F.col("n_ref_start")) / 2).cast("long")
+    pos = F.when(kind == "DEL", F.col("ref_end")).when(F.abs("olap") > far, midway).otherwise(F.col("n_ref_start"))
+    return rows.withColumn("svtype", kind).where("svtype is not null").select(key, "chrom", "svtype", pos.alias("pos"), F.abs("diff").alias("len"))
 
 
 def inversion_evidence(segments: DataFrame, key: str, ordinal: str, gap: int = 100, cluster: int = 500, least: int = 30) -> DataFrame:
@@ -179,3 +187,32 @@ def renumbered(parts: list[DataFrame], keys: list[str], order: Column) -> DataFr
     for p in parts[1:]:
         every = every.unionByName(p)
     return every.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def finished_calls(calls: DataFrame, drafts: DataFrame, technology: str, flank: int = 100, least: int = 30, most: int = 50_000) -> DataFrame:
+    """Calls with their final genotypes by ``technology``: cid, chrom, svtype, pos, svlen, gt.
+
+    ``calls``: cid, chrom, svtype, pos, svlen, gt and, for "Hifi", ratio and the limits lh, sh, lt, st of
+    :func:`corrected_genotype`; ``drafts``, candidates called from reads: kid, chrom, svtype, k_pos, k_len, k_gt.
+    "Hifi" holds a call's own genotype against its share of supporting reads. "CLR" and "ONT" take the
+    genotype of the most similar draft and keep their own without one. "ONT" then gives insertions place
+    and length of the longest draft near them and keeps those of ``least`` to ``most`` bases, and keeps
+    deletions that come within ``flank`` of the start of a draft of any type on an autosome. Null limits
+    or ratios change nothing; without drafts "ONT" has no deletions.
+    """
+    columns = ["cid", "chrom", "svtype", "pos", "svlen", "gt"]
+    if technology == "Hifi":
+        return calls.withColumn("gt", corrected_genotype("svlen", "gt", "ratio", "lh", "sh", "lt", "st")).select(*columns)
+    on = ["chrom", "svtype"]
+    told = best_match(calls.select(*columns), drafts, on)
+    if technology == "CLR":
+        return told
+    if technology != "ONT":
+        raise ValueError(f"no rules for {technology}")
+    longest = replace_by_longest(told.where("svtype = 'INS'"), drafts.where("svtype = 'INS'").drop("k_gt"), on)
+    starts = drafts.where(is_autosome("chrom") & (F.abs("k_len") >= least)).select(
+        "chrom", F.greatest(F.col("k_pos") - flank + 1, F.lit(1)).alias("start"), (F.col("k_pos") + flank).alias("end")
+    )
+    places = told.where("svtype = 'DEL'").withColumns({"vid": F.col("cid"), "v_start": F.col("pos"), "v_end": F.col("pos") + F.abs("svlen")})
+    deletions = overlapping_rows(places, starts, ["chrom"])
+    return longest.where(F.abs("svlen").between(least, most)).select(*columns).unionByName(deletions.select(*columns))

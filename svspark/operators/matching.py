@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import edit_similarity, overlap_over_least, size_similarity
+from ..functions.scalars import edit_similarity, overlap_over_greatest, overlap_over_least, size_similarity
+from ..lineage import settled
 from .intervals import fold_islands, islands, overlap_pairs
 
 
@@ -265,6 +266,66 @@ def similar_calls(left: DataFrame, right: DataFrame, on: list[str], distance: in
     ).select("cid", "bid", "score")
 
 
+def alike_calls(
+    left: DataFrame, right: DataFrame, on: list[str], distance: int = 500, size: float = 0.5, overlap: float = 0.01,
+    sequence: float = 0.5, least: int = 30, least_right: int = 50,
+) -> DataFrame:
+    """(cid, bid, score): as :func:`similar_calls`, of minimal sizes and alike in sequence as well.
+
+    Calls have (cid, start, end, seq), benchmark rows (bid, b_start, b_end, b_seq); a call of under
+    ``least`` and a benchmark row of under ``least_right`` bases take no part. The score is the mean of the likeness
+    in sequence and size and of the reciprocal overlap. Null or empty sequences on both sides are like nothing.
+    """
+    a = left.where(F.col("end") - F.col("start") >= least)
+    b = right.where(F.col("b_end") - F.col("b_start") >= least_right)
+    near = within(a, b, on, "start", "b_start", distance).withColumn("_z", size_similarity(F.col("end") - F.col("start"), F.col("b_end") - F.col("b_start")))
+    near = near.where((F.col("_z") >= size) & (overlap_over_least("start", "end", "b_start", "b_end") >= overlap))
+    near = near.withColumn("_s", edit_similarity("seq", "b_seq")).where(F.col("_s") >= sequence)
+    return near.select("cid", "bid", ((F.col("_s") + F.col("_z") + overlap_over_greatest("start", "end", "b_start", "b_end")) / 3).alias("score"))
+
+
+def one_to_one(pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs(cid, bid, score)`` that a greedy choice by falling score takes, each cid and bid once at most.
+
+    Ties go to the lesser cid, then bid; repeated pairs and null ids or scores count nothing. In each
+    round every pair that is the best of both its ends is taken, and what shares an end with it goes; that is
+    what the greedy choice takes as well, whose order matters between pairs with a common end alone.
+    Each round takes the best of all at least, so the rounds end without a bound; each is a written table.
+    """
+    rest = settled(pairs.groupBy("cid", "bid").agg(F.max("score").alias("score")).where("cid is not null and bid is not null and score is not null"))
+    taken, order = None, F.struct(-F.col("score"), "cid", "bid")
+    while not rest.isEmpty():
+        ones = rest.groupBy("cid").agg(F.min_by("bid", order).alias("bid"))
+        twos = rest.groupBy("bid").agg(F.min_by("cid", order).alias("cid"))
+        best = settled(ones.join(twos, ["cid", "bid"]).join(rest, ["cid", "bid"]).select("cid", "bid", "score"))
+        taken = best if taken is None else taken.unionByName(best)
+        rest = settled(rest.join(best.select("cid"), "cid", "left_anti").join(best.select("bid"), "bid", "left_anti"))
+    return rest if taken is None else taken
+
+
+def benchmark(calls: DataFrame, truth: DataFrame, on: list[str], regions: DataFrame | None = None, least: int = 30, least_truth: int = 50, **bars) -> DataFrame:
+    """Calls against a benchmark: side (call or truth), id, mate (its partner's id or null), score.
+
+    ``calls`` and ``truth`` as for :func:`alike_calls`, whose ``bars`` apply; with ``regions`` (chrom, start, end) rows
+    that don't lie in one of them whole take no part. Partners are chosen one to one. Truth rows without a mate are false
+    negatives, calls without one false positives; calls under ``least`` and truth rows under ``least_truth`` bases aren't listed.
+    """
+    a = settled(calls.where(F.col("end") - F.col("start") >= least))
+    b = settled(truth.where(F.col("b_end") - F.col("b_start") >= least_truth))
+    if regions is not None:
+        places = regions.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+        for side, (rows, key, s, e) in enumerate([(a, "cid", "start", "end"), (b, "bid", "b_start", "b_end")]):
+            pairs = overlap_pairs(rows.select("chrom", key, s, e), places, ["chrom"], F.col(s), F.col(e), F.col("r_start"), F.col("r_end"), levels=LEVELS)
+            inside = pairs.where((F.col("r_start") <= F.col(s)) & (F.col(e) <= F.col("r_end"))).select(key).distinct()
+            rows = settled(rows.join(inside, key, "left_semi"))
+            a, b = (rows, b) if side == 0 else (a, rows)
+    mates = one_to_one(alike_calls(a, b, on, least=least, least_right=least_truth, **bars))
+    found = lambda rows, key, other, side: rows.select(key).distinct().join(mates, key, "left").select(
+        F.lit(side).alias("side"), F.col(key).alias("id"), F.col(other).alias("mate"), "score"
+    )
+    return found(a, "cid", "bid", "call").unionByName(found(b, "bid", "cid", "truth"))
+
+
 def regions_of_points(regions: DataFrame, points: DataFrame, on: list[str], edge: int = 0) -> DataFrame:
     """How many points lie in each region (rid, start, end), ``edge`` away from its ends: adds n."""
     pairs = overlap_pairs(regions, points, on, F.col("start") + edge, F.col("end") - edge, F.col("pos"), F.col("pos"))

@@ -214,18 +214,25 @@ def equal_haplotypes(spark, d):
     return pairs.agg(F.count("*").alias("pairs"), F.sum(same).cast("long").alias("same"), F.round(F.avg(same), 6).alias("share"))
 
 
-@query(
-    "K4_split_indels_by_ratio",
-    sql(
+def split_indels_sql(ratio, low, high):
+    return sql(
         NEXT
-        + """, s AS (SELECT *, (n_ref_start - ref_end) - (n_q_start - q_end) AS diff, ref_end - n_ref_start AS olap FROM adj WHERE chrom = n_chrom AND strand = n_strand AND n_ref_start >= ref_start),
-        k AS (SELECT *, CASE WHEN diff >= 30 AND abs(q_end - n_q_start) <= diff * 0.3 THEN 'DEL' WHEN diff <= -30 AND olap >= diff * 0.3 AND olap <= abs(diff) * 0.3 THEN 'INS' END AS svtype FROM s)
-        SELECT qname, chrom, svtype, least(ref_end, n_ref_start) AS pos, abs(diff) AS len FROM k WHERE svtype IS NOT NULL""",
+        + f""", s AS (SELECT *, (n_ref_start - ref_end) - (n_q_start - q_end) AS diff, ref_end - n_ref_start AS olap FROM adj WHERE chrom = n_chrom AND strand = n_strand AND n_ref_start >= ref_start),
+        k AS (SELECT *, CASE WHEN diff >= 30 AND abs(q_end - n_q_start) <= diff * {ratio}::DOUBLE THEN 'DEL' WHEN diff <= -30 AND olap >= diff * {low}::DOUBLE AND olap <= abs(diff) * {high}::DOUBLE THEN 'INS' END AS svtype FROM s)
+        SELECT qname, chrom, svtype, CASE WHEN svtype = 'DEL' THEN ref_end WHEN abs(olap) > 400 THEN (ref_end + n_ref_start) // 2 ELSE n_ref_start END AS pos, abs(diff) AS len
+        FROM k WHERE svtype IS NOT NULL""",
         "segments",
-    ),
-)
+    )
+
+
+@query("K4_split_indels_by_ratio", split_indels_sql(*K.SPLIT_RATIOS["CLR"]))
 def split_indels_by_ratio(spark, d):
-    return K.split_indels_by_ratio(A.segments(spark, d), "qname", ORDER, 0.3, 0.3, 0.3)
+    return K.split_indels_by_ratio(A.segments(spark, d), "qname", ORDER, *K.SPLIT_RATIOS["CLR"])
+
+
+@query("K4_split_indels_ont", split_indels_sql(*K.SPLIT_RATIOS["ONT"]))
+def split_indels_ont(spark, d):
+    return K.split_indels_by_ratio(A.segments(spark, d), "qname", ORDER, *K.SPLIT_RATIOS["ONT"])
 
 
 @query("K11_inversion_evidence")
@@ -258,6 +265,48 @@ def finished_genotypes(spark, d):
     return v.join(F.broadcast(rules), "svtype").select("cid", F.round("ratio", 6).alias("ratio"), gt.alias("gt"))  # two rules
 
 
+#: Genotypes that the calls and the drafts have of their own.
+OWN = "CASE WHEN pos % 3 = 0 THEN '1/1' ELSE '0/1' END"
+DRAFT = "CASE WHEN svlen % 2 = 0 THEN '1/1' ELSE '0/1' END"
+
+
+@query(
+    "K15_finished_calls",
+    sql(
+        CALLS
+        + f""", rules(dtype, svtype, lh, sh, lt, st) AS (VALUES {GT_VALUES}),
+        sup AS (SELECT c.cid, sum(s.reads) AS n FROM calls c JOIN support s ON c.chrom = s.chrom AND c.svtype = s.svtype AND abs(c.pos - s.s_pos) <= greatest(500, CAST(floor(2.3 * c.svlen) AS BIGINT))
+                AND s.s_len >= 0.6 * c.svlen AND s.s_len <= c.svlen / 0.6 GROUP BY c.cid),
+        v AS (SELECT c.*, {OWN} AS gt, coalesce(n, 0)::DOUBLE / 3 AS ratio FROM calls c LEFT JOIN sup USING (cid)),
+        x AS (SELECT v.*, CASE WHEN gt = '1/1' THEN CASE WHEN svlen > 1000 THEN lh ELSE sh END ELSE CASE WHEN svlen > 1000 THEN lt ELSE st END END AS lim FROM v JOIN rules r ON r.svtype = v.svtype AND r.dtype = 'Hifi'),
+        drafts AS (SELECT *, {DRAFT} AS gt FROM truth),
+        m AS (SELECT c.cid, t.gt AS g, row_number() OVER (PARTITION BY c.cid ORDER BY -(least(c.svlen, t.svlen)::DOUBLE / greatest(c.svlen, t.svlen)), t.pos - c.pos, t.cid) AS k
+              FROM calls c JOIN drafts t ON c.chrom = t.chrom AND c.svtype = t.svtype AND abs(c.pos - t.pos) <= 1000 AND least(c.svlen, t.svlen)::DOUBLE / greatest(c.svlen, t.svlen) >= 0.5),
+        told AS (SELECT v.cid, chrom, svtype, pos, svlen, coalesce(m.g, v.gt) AS gt FROM v LEFT JOIN m ON m.cid = v.cid AND k = 1),
+        l AS (SELECT c.cid, t.pos AS kp, t.svlen AS kl, row_number() OVER (PARTITION BY c.cid ORDER BY t.svlen DESC, t.cid) AS k
+              FROM told c JOIN truth t ON c.chrom = t.chrom AND t.svtype = 'INS' AND abs(c.pos - t.pos) <= 200 WHERE c.svtype = 'INS'),
+        ins AS (SELECT c.cid, chrom, svtype, coalesce(kp, pos) AS pos, coalesce(kl, svlen) AS svlen, gt FROM told c LEFT JOIN l ON l.cid = c.cid AND k = 1 WHERE svtype = 'INS')
+        SELECT 'Hifi' AS technology, cid, chrom, svtype, pos, svlen, CASE WHEN lim IS NULL THEN gt WHEN ratio > lim THEN '1/1' ELSE '0/1' END AS gt FROM x
+        UNION ALL SELECT 'CLR', * FROM told
+        UNION ALL SELECT 'ONT', * FROM ins WHERE svlen BETWEEN 30 AND 50000
+        UNION ALL SELECT 'ONT', * FROM told c WHERE svtype = 'DEL' AND EXISTS (SELECT 1 FROM truth t WHERE t.chrom = c.chrom AND t.svlen >= 30 AND c.pos <= t.pos + 100 AND c.pos + c.svlen >= greatest(t.pos - 99, 1))""",
+        "sigs",
+    ),
+)
+def finished_calls(spark, d):
+    """The last step for each technology, from the calls' own genotypes and those of the drafts."""
+    rules = spark.createDataFrame(GT_RULES, "dtype string, svtype string, lh double, sh double, lt double, st double").where("dtype = 'Hifi'").drop("dtype")
+    v = M.tolerance_support(calls(spark, d), support(spark, d), ON).withColumn("ratio", F.col("support").cast("double") / 3).withColumn("gt", F.expr(OWN))
+    v = v.join(F.broadcast(rules), "svtype")  # two rules
+    drafts = renamed(calls(spark, d, "A"), "k_").withColumnRenamed("k_id", "kid")
+    drafts = drafts.withColumn("k_gt", F.expr(DRAFT.replace("svlen", "k_len")))
+    out = None
+    for technology in ("Hifi", "CLR", "ONT"):
+        part = K.finished_calls(v, drafts, technology).select(F.lit(technology).alias("technology"), "cid", "chrom", "svtype", "pos", "svlen", "gt")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "K14_union_of_insertions",
     sql(

@@ -318,3 +318,35 @@ def three_merges(spark, d):
     ]
     both = merged[0].unionByName(merged[1]).select("chrom", "start", "end")
     return I.merge_intervals(both, ["chrom"], "start", "end", 15000)
+
+
+#: Assembled contigs: a sequence's region, which may reach beyond both ends of its chromosome, and its block.
+CONTIGS = """
+sid;
+seq;
+concat('chr', CAST(sid % 3 + 1 AS STRING)) AS chrom;
+(sid % 50) * 1000 - 5000 AS start;
+(sid % 50) * 1000 + 40000 AS end;
+concat('blk', CAST(sid % 2 AS STRING), 'z') AS block
+"""
+CONTIG_ENDS = [("chr1", 60_000), ("chr2", 70_000)]
+
+
+@query(
+    "F24_folded_headers",
+    sql(
+        ", c AS (SELECT " + CONTIGS.strip().replace(";\n", ",\n").replace("AS STRING", "AS VARCHAR").replace("AS start", 'AS "start"').replace("AS end", 'AS "end"') + " FROM seqs),"
+        + f""" n AS (SELECT sid, seq, concat('hp1_', chrom, '_', greatest("start", 0), '_', least("end", l.length), '_', block) AS name FROM c LEFT JOIN (VALUES {", ".join(map(repr, CONTIG_ENDS))}) AS l(chrom, length) USING (chrom))
+        SELECT concat(name, '-', row_number() OVER (PARTITION BY name ORDER BY sid)) AS name, length(seq) AS n, md5(seq) AS digest FROM n""",
+        "seqs",
+    ),
+)
+def folded_headers(spark, d):
+    """Contigs whose headers are folded at each slash, written in order, read back and named by their regions."""
+    path = _folder(spark, "contigs")
+    c = A.sequences(spark, d).selectExpr(*[x.strip() for x in CONTIGS.strip().split(";\n")])
+    head = F.concat(F.lit(">asm/run_1/"), X.region_name("chrom", "start", "end"), F.lit("/out_hp1/"), "block", F.lit("_hp1.p.fa"))
+    lines = F.concat_ws("\n", F.regexp_replace(head, "/", "/\n"), F.when(F.col("seq") != "", F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")))
+    c.select("sid", lines.alias("value")).repartitionByRange("sid").sortWithinPartitions("sid").select("value").write.text(path)
+    ends = spark.createDataFrame(CONTIG_ENDS, "chrom string, length long")
+    return T.read_folded_contigs(spark, path, ends, "hp1").select("name", F.length("seq").alias("n"), F.md5("seq").alias("digest"))

@@ -377,9 +377,12 @@ def similar_calls(spark, d):
     return M.similar_calls(c, b, ON).withColumn("score", F.round("score", 6))
 
 
+#: The place of a call's sequence in a document's letters: as long as the call, where the document is.
+PLACE = "pos % (greatest(length(seq) - svlen, 0) + 1) + 1"
+
 #: Insertions have a sequence: a stretch of a document's letters, recoded to bases.
-LINKS = """, docs AS (SELECT count(*) AS n FROM seqs), told AS (
-    SELECT c.*, CASE WHEN svtype = 'INS' THEN substr(s.seq, CAST(pos % 300 AS BIGINT) + 1, CAST(svlen // 8 AS BIGINT)) END AS seq
+LINKS = f""", docs AS (SELECT count(*) AS n FROM seqs), told AS (
+    SELECT c.*, CASE WHEN svtype = 'INS' THEN substr(s.seq, CAST({PLACE} AS BIGINT), svlen) END AS seq
     FROM calls c LEFT JOIN seqs s ON s.sid = (c.pos // 1000) % (SELECT n FROM docs)
 ), near AS (
     SELECT a.cid AS a, b.cid AS b, a.svtype, a.pos AS p, b.pos AS q, a.seq AS s, b.seq AS t, least(a.pos + a.svlen, b.pos + b.svlen) - greatest(a.pos, b.pos) AS common, least(a.svlen, b.svlen)::DOUBLE / greatest(a.svlen, b.svlen) AS alike
@@ -393,7 +396,7 @@ def told(spark, d):
     """Calls, insertions with their sequence."""
     seqs = A.sequences(spark, d)
     c = calls(spark, d).crossJoin(F.broadcast(seqs.agg(F.count("*").alias("docs")))).withColumn("sid", F.expr("(pos div 1000) % docs"))  # one row
-    seq = F.when(F.col("svtype") == "INS", F.expr("substring(seq, cast(pos % 300 as int) + 1, cast(svlen div 8 as int))"))
+    seq = F.when(F.col("svtype") == "INS", F.expr(f"substring(seq, cast({PLACE} as int), cast(svlen as int))"))
     return c.join(seqs, "sid", "left").withColumn("seq", seq).drop("sid", "docs")
 
 
@@ -427,6 +430,50 @@ def components_best_pick(spark, d):
     return rows.groupBy("component").agg(F.count("*").alias("n"), F.max_by("cid", F.col("svlen") * 1000000000000 - F.col("cid")).alias("cid"))
 
 
+#: Both call sets with a sequence each, on every fifth place repeats of one base; the regions that count.
+WITH_SEQUENCES = f""", docs AS (SELECT count(*) AS n FROM seqs), both_sets AS (SELECT 'R' AS flag, * FROM calls UNION ALL SELECT 'A', * FROM truth), spelled AS (
+    SELECT c.*, CASE WHEN pos % 5 = 0 THEN repeat(substr('ACGT', CAST(svlen % 4 AS BIGINT) + 1, 1), svlen) ELSE substr(s.seq, CAST({PLACE} AS BIGINT), svlen) END AS seq
+    FROM both_sets c LEFT JOIN seqs s ON s.sid = (c.pos // 1000) % (SELECT n FROM docs)
+)"""
+
+
+def spelled(spark, d, flag):
+    """Calls with a sequence each: cid, chrom, svtype, start, end, seq."""
+    seqs = A.sequences(spark, d)
+    c = calls(spark, d, flag).crossJoin(F.broadcast(seqs.agg(F.count("*").alias("docs")))).withColumn("sid", F.expr("(pos div 1000) % docs"))  # one row
+    seq = F.expr(f"CASE WHEN pos % 5 = 0 THEN repeat(substring('ACGT', cast(svlen % 4 as int) + 1, 1), cast(svlen as int)) ELSE substring(seq, cast({PLACE} as int), cast(svlen as int)) END")
+    return c.join(seqs, "sid", "left").select("cid", *ON, F.col("pos").alias("start"), (F.col("pos") + F.col("svlen")).alias("end"), seq.alias("seq"))
+
+
+def benchmark_rows(spark, d):
+    t = spelled(spark, d, "A")
+    return t.select(*ON, F.col("cid").alias("bid"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("seq").alias("b_seq"))
+
+
+@query(
+    "J12_alike_calls",
+    sql(
+        CALLS + WITH_SEQUENCES
+        + """, p AS (SELECT c.cid, t.cid AS bid, c.seq AS s, t.seq AS t, least(c.svlen, t.svlen)::DOUBLE / greatest(c.svlen, t.svlen) AS z,
+                   (least(c.pos + c.svlen, t.pos + t.svlen) - greatest(c.pos, t.pos))::DOUBLE AS common, least(c.svlen, t.svlen) AS low, greatest(c.svlen, t.svlen) AS high
+                   FROM spelled c JOIN spelled t ON c.flag = 'R' AND t.flag = 'A' AND c.chrom = t.chrom AND c.svtype = t.svtype AND abs(c.pos - t.pos) <= 500 WHERE c.svlen >= 30 AND t.svlen >= 50),
+        q AS (SELECT *, CASE WHEN z >= 0.5 AND common / low >= 0.01 THEN (length(s) + length(t) - levenshtein(s, t))::DOUBLE / nullif(length(s) + length(t), 0) END AS w FROM p)
+        SELECT cid, bid, round((w + z + common / high) / 3, 6) AS score FROM q WHERE w >= 0.5""",
+        "sigs", "seqs",
+    ),
+)
+def alike_calls(spark, d):
+    """Benchmark matches that are alike in sequence too; repeats of unlike bases fail."""
+    return M.alike_calls(settled(spelled(spark, d, "R")), settled(benchmark_rows(spark, d)), ON).withColumn("score", F.round("score", 6))
+
+
+@query("J12_benchmark")
+def benchmark(spark, d):
+    """Calls and benchmark inside the regions, matched one to one: what has no mate is a false positive or negative."""
+    found = M.benchmark(spelled(spark, d, "R"), benchmark_rows(spark, d), ON, A.regions(spark, d))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "J21_points_in_regions",
     sql(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import contig_name
 from ..operators.segments import parse_cigar, reference_length
 
 #: Header lines that the format prescribes.
@@ -94,6 +95,26 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(head.alias("name"), F.upper(body).alias("seq"))
 
 
+def read_folded_contigs(spark: SparkSession, path: str, lengths: DataFrame, haplotype: str | None = None) -> DataFrame:
+    """(name, seq) of assembled contigs in FASTA files whose headers may be folded over several lines.
+
+    Lines of a record that hold other letters than A, C, G, T and N belong to its header. Names come
+    from :func:`contig_name` with ``lengths`` (chrom, length), a sequence that isn't in it isn't cut, and end in the
+    running number of their like, in order of the files. A header without a region gives a null name.
+    """
+    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")]
+    rows = spark.read.option("lineSep", ">").text(path).select("value", *place).where(F.length(F.trim("value")) > 0)
+    lines = F.split("value", "\r?\n")
+    base = lambda x: x.rlike("^[ACGTNacgtn]+$")
+    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    head = F.concat(lines[0], F.array_join(F.filter(rest, lambda x: ~base(x)), ""))
+    rows = rows.select(head.alias("head"), F.array_join(F.filter(rest, base), "").alias("seq"), "_f", "_b", "_i")
+    rows = rows.withColumn("chrom", F.regexp_extract("head", r"Region_(chr\w+)_S-?\d+_E", 1)).join(lengths, "chrom", "left")
+    rows = rows.withColumn("name", contig_name("head", "length", haplotype))
+    number = F.row_number().over(Window.partitionBy("name").orderBy("_f", "_b", "_i"))
+    return rows.select(F.concat("name", F.lit("-"), number.cast("string")).alias("name"), "seq")
+
+
 def write_fasta(rows: DataFrame, path: str, width: int = 60) -> None:
     """Writes (name, seq) as FASTA with lines of ``width`` bases."""
     lines = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
