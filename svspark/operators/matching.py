@@ -188,6 +188,17 @@ def somatic(tumor: DataFrame, normal: DataFrame, on: list[str]) -> DataFrame:
     return tumor.join(pairs.select("cid").distinct(), "cid", "left_anti")
 
 
+def compared(pairs: DataFrame, ids: list[str], left: str, right: str, name: str, *others: Column | str) -> DataFrame:
+    """``ids`` and ``others`` of ``pairs`` with the edit similarity of two texts in ``name``, written without the texts.
+
+    A pair is little to read and much to compute: pairs are dealt out evenly to as many tasks as a shuffle
+    has, which adaptive execution would merge by their bytes, and a filter that follows doesn't compare again.
+    """
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return settled(pairs.select(*ids, left, right, *others).repartition(parts, *ids).withColumn(name, edit_similarity(left, right)).drop(left, right))
+
+
 def match_links(calls: DataFrame, on: list[str], radius: int, similarity: float, sequence: float | None = None, overlap: float | None = None) -> DataFrame:
     """(a, b): calls (cid, pos, svlen[, seq]) near each other and alike in size, and in sequence if asked for.
 
@@ -200,7 +211,7 @@ def match_links(calls: DataFrame, on: list[str], radius: int, similarity: float,
         common = F.least(F.col("pos") + F.col("svlen"), F.col("o_pos") + F.col("o_svlen")) - F.greatest("pos", "o_pos")
         pairs = pairs.where(common >= overlap * F.greatest("svlen", "o_svlen"))
     if sequence is not None:
-        pairs = pairs.where(edit_similarity("seq", "o_seq") >= sequence)
+        pairs = compared(pairs, ["cid", "o_cid"], "seq", "o_seq", "_s").where(F.col("_s") >= sequence)
     return pairs.select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
 
 
@@ -280,8 +291,9 @@ def alike_calls(
     b = right.where(F.col("b_end") - F.col("b_start") >= least_right)
     near = within(a, b, on, "start", "b_start", distance).withColumn("_z", size_similarity(F.col("end") - F.col("start"), F.col("b_end") - F.col("b_start")))
     near = near.where((F.col("_z") >= size) & (overlap_over_least("start", "end", "b_start", "b_end") >= overlap))
-    near = near.withColumn("_s", edit_similarity("seq", "b_seq")).where(F.col("_s") >= sequence)
-    return near.select("cid", "bid", ((F.col("_s") + F.col("_z") + overlap_over_greatest("start", "end", "b_start", "b_end")) / 3).alias("score"))
+    overlapped = overlap_over_greatest("start", "end", "b_start", "b_end").alias("_o")
+    near = compared(near, ["cid", "bid"], "seq", "b_seq", "_s", "_z", overlapped).where(F.col("_s") >= sequence)
+    return near.select("cid", "bid", ((F.col("_s") + F.col("_z") + F.col("_o")) / 3).alias("score"))
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:

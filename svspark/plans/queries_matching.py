@@ -510,10 +510,8 @@ def shared_read_names(spark, d):
     sql(CALLS + LINKS + "SELECT a, b, round(score, 6) AS score FROM scored WHERE score IS NOT NULL", "sigs", "seqs"),
 )
 def sequence_links(spark, d):
-    from ..functions.scalars import edit_similarity
-
     c = settled(told(spark, d).where("svtype = 'INS'"))
     pairs = M.match_links(c, ON, 500, 0.5)
     one, two = c.select(F.col("cid").alias("a"), "seq"), c.select(F.col("cid").alias("b"), F.col("seq").alias("o"))
-    scored = pairs.join(one, "a").join(two, "b").select("a", "b", F.round(edit_similarity("seq", "o"), 6).alias("score"))
-    return scored.where("score is not null")
+    scored = M.compared(pairs.join(one, "a").join(two, "b"), ["a", "b"], "seq", "o", "score")
+    return scored.where("score is not null").withColumn("score", F.round("score", 6))
