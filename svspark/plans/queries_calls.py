@@ -220,7 +220,7 @@ def split_indels_sql(ratio, low, high):
         + f""", s AS (SELECT *, (n_ref_start - ref_end) - (n_q_start - q_end) AS diff, ref_end - n_ref_start AS olap FROM adj WHERE chrom = n_chrom AND strand = n_strand AND n_ref_start >= ref_start),
         k AS (SELECT *, CASE WHEN diff >= 30 AND abs(q_end - n_q_start) <= diff * {ratio}::DOUBLE THEN 'DEL' WHEN diff <= -30 AND olap >= diff * {low}::DOUBLE AND olap <= abs(diff) * {high}::DOUBLE THEN 'INS' END AS svtype FROM s)
         SELECT qname, chrom, svtype, CASE WHEN svtype = 'DEL' THEN ref_end WHEN abs(olap) > 400 THEN (ref_end + n_ref_start) // 2 ELSE n_ref_start END AS pos, abs(diff) AS len
-        FROM k WHERE svtype IS NOT NULL""",
+        FROM k WHERE svtype IS NOT NULL AND abs(diff) <= 50000""",
         "segments",
     )
 
