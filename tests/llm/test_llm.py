@@ -678,6 +678,41 @@ def test_lists_are_read_no_further_than_needed():
     assert len(rows) <= 20 and (np.sort(found)[-5:] == np.sort(scores)[-5:]).all()
 
 
+def test_most_vectors_are_dropped_by_their_bounds(monkeypatch):
+    # without any structure, as in the given vectors: entries are added up once, and not those of vectors that can't be among the best
+    r, added = np.random.default_rng(8), []
+    values = r.standard_normal((5000, 64))
+    values = np.floor(values / np.linalg.norm(values, axis=1)[:, None] * 256).astype(np.int64)
+    add = topk.Reader._add
+    monkeypatch.setattr(topk.Reader, "_add", lambda self, out, rows, what: (added.append(len(rows)), add(self, out, rows, what)))
+    lists = topk.SortedLists(values)
+    for q in range(0, 5000, 500):
+        scores, own = values @ values[q], np.arange(5000) == q
+        rows, found, _ = topk.best_of_block(lists, values[q], own, 5)
+        bar = np.sort(scores[~own])[-5]
+        assert set(np.flatnonzero((scores >= bar) & ~own)) <= set(rows) and not own[rows].any()
+        assert found.tolist() == scores[rows].tolist()
+    assert sum(added) < 10 * 0.85 * values.size
+
+
+@pytest.mark.parametrize("scale", [1, 10**5, 10**8, 10**9, 10**17])  # sums in doubles, in longs and beyond
+def test_best_of_blocks_with_ties_and_either_sign(scale):
+    r = np.random.default_rng(9)
+    kinds = []
+    for shift in (-60, 0, 60, 1):
+        values = (r.integers(-50, 50, (900, 5)) // (30 if shift == 1 else 1) + shift) * scale
+        lists, own = topk.SortedLists(values), np.zeros(900, dtype=bool)
+        for query in (values[3], -values[4], values[5] * 0, values[6] * np.array([1, 0, 0, 0, 0])):
+            own[3] = not own[3]
+            scores = np.array([sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in values], dtype=object)
+            rows, found, _ = topk.best_of_block(lists, query, own, 5)
+            bar = min(2**63 - 1, sorted(scores[~own])[-5])
+            assert {i for i in np.flatnonzero(~own) if scores[i] >= bar} <= set(rows.tolist()) and not own[rows].any()
+            assert [int(x) for x in found] == scores[rows].tolist()
+            kinds.append(topk.Reader(lists, query).kind)
+    assert {1: np.float64, 10**8: np.int64, 10**17: object}.get(scale, kinds[0]) in kinds
+
+
 # 9 packing
 
 
