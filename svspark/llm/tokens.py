@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,10 +27,14 @@ GAP = re.compile(r"\s ")
 SPACES = re.compile(r"\s\s|^\s|\s$")
 CUT = re.compile(r"(?<=\S)(?= )")
 
+#: Bytes of texts that are encoded together, besides the last of them.
+TOGETHER = 2 << 20
 #: Words remembered at a time, in each of two tables, and their greatest length.
 LIMIT, LONGEST = 1_000_000, 40
 #: Below this code point every library agrees on what a letter is.
 LETTERS = "\u0530"
+#: A word of such letters and some marks, which are a piece of their own; no apostrophe, which may belong to letters.
+MARKED = r"^(?P<word>[" + "".join(chr(c) for c in range(ord(LETTERS)) if chr(c).isalpha()) + r"]+)(?P<marks>[!-&(-/:-@\[-`{-~]{1,4})$"
 
 SCHEMA = "doc_id long, shard int, seq long, shard_start long, n_tokens int, tokens array<int>"
 
@@ -51,7 +56,7 @@ def byte_level(file: dict) -> bool:
 class Words(dict):
     """Word -> the ids of ``before`` + word as bytes; what isn't known yet is encoded.
 
-    Only short words are remembered, so that ``LIMIT`` of them is a bound in bytes too (about 240 MB).
+    Only short words are remembered, so that ``LIMIT`` of them, and those of texts encoded together, is a bound in bytes too (about 240 MB).
     """
 
     def __init__(self, encoder: Encoder, before: str):
@@ -102,6 +107,12 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.table = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         self.words, self.bare, self.marks = Words(self, " "), Words(self, ""), {}
+        # many words at once: the model gets them as they are, and the bytes of its tokens tell where words end
+        self.many, vocabulary = Tokenizer(self.model), self.tokenizer.get_vocab()
+        self.token_sizes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.token_sizes[i] = len(token)
+        self.whole_bytes = self.plain and all(chr(c) in vocabulary for c in self.table.values())
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -112,6 +123,8 @@ class Encoder:
 
     def mark(self, char: str) -> bytes:
         if char not in self.marks:
+            if len(self.marks) >= 1 << 16:
+                self.marks.clear()
             self.marks[char] = self.whole(char)
         return self.marks[char]
 
@@ -126,6 +139,71 @@ class Encoder:
             head, *rest = text.split(" ")
         return self.bare[head] + b"".join(map(self.words.__getitem__, rest))
 
+    def words_of_letters(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and each of ``words``, which are of letters alone."""
+        shown = "\n ".join(["", *words]).encode().decode("latin-1").translate(self.table).split(chr(self.table[10]))[1:]
+        found = self.many.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0].ids
+        ids = np.array(found, dtype="<u4")
+        ends = np.searchsorted(np.cumsum(self.token_sizes[ids]), np.cumsum(list(map(len, shown)))) + 1
+        coded, at = ids.tobytes(), 0
+        return [coded[at : (at := end)] for end in (4 * ends).tolist()]
+
+    def after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and each of ``words``, none of which comes twice."""
+        known = self.words
+        coded = list(map(known.get, words))
+        new = [i for i, x in enumerate(coded) if x is None]
+        letters = [i for i in new if words[i].isalpha() and max(words[i]) < LETTERS] if self.whole_bytes else []
+        if letters:
+            some = [words[i] for i in letters]
+            for i, ids in zip(letters, self.words_of_letters(some), strict=True):
+                coded[i] = ids
+                if len(words[i]) <= LONGEST:
+                    known[words[i]] = ids
+            if len(known) >= LIMIT:
+                known.clear()
+        for i in new:
+            if coded[i] is None:
+                coded[i] = known[words[i]]
+        return coded
+
+    def encode_all(self, texts: list[str], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with those of ``end`` behind it, and how many that are for each.
+
+        Every different word of the texts is looked up once, and ids are gathered by the words' numbers.
+        """
+        alone = [not self.plain or bool(self.spelled(t) or GAP.search(t)) for t in texts]
+        split = pc.split_pattern(pa.array(["" if x else t for t, x in zip(texts, alone, strict=True)], pa.string()), " ")
+        starts = split.offsets.to_numpy()[:-1]
+        # first words have no space before them; a text that is encoded alone is a single piece, and so is what ends texts
+        first = [self.encode(t) if x else self.bare[t.partition(" ")[0]] for t, x in zip(texts, alone, strict=True)]
+        found = split.values.dictionary_encode()
+        parted = pc.extract_regex(found.dictionary, MARKED)
+        words = pc.coalesce(pc.struct_field(parted, "word"), found.dictionary).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(parted, "marks"), "").dictionary_encode()
+        coded = self.after_space(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        both = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(coded)], axis=1)
+        known, sizes = gather([*coded, *map(self.mark, marks.dictionary.to_pylist())], both.ravel())
+        coded, ends = known.tobytes(), 4 * np.cumsum(sizes.reshape(-1, 2).sum(axis=1))
+        n = len(ends)
+        pieces = np.array(found.indices)
+        pieces[starts] = np.arange(n, n + len(first), dtype=pieces.dtype)
+        pieces = np.insert(pieces, split.offsets.to_numpy()[1:], n + len(first))
+        ids, sizes = gather([coded, *first, end], pieces, ends)
+        return ids, np.add.reduceat(sizes, starts + np.arange(len(starts)))
+
+
+def gather(coded: list[bytes], pieces: np.ndarray, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ``pieces``, numbers in ``coded``, one after another, and how many each has.
+
+    ``parts``: where the pieces end that the first of ``coded`` consists of.
+    """
+    sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+    ends = np.cumsum(sizes) if parts is None else np.concatenate([parts, np.cumsum(sizes)[1:]])
+    starts = np.concatenate([[0], ends]) // 4
+    lists = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
+    return lists.take(pa.array(pieces)).flatten().to_numpy(), np.diff(starts)[pieces]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -159,13 +237,13 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, seq, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounded batches, whatever the texts' length
-                part = batch.slice(at, 256)
-                coded = [enc.encode(t or "") + end for t in part.column(1).to_pylist()]
-                n = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+            before_text = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()) // TOGETHER
+            cuts = sorted({0, *(np.flatnonzero(np.diff(before_text)) + 1).tolist(), batch.num_rows})
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(at, to - at)
+                ids, n = enc.encode_all([t or "" for t in part.column(1).to_pylist()], end)
                 ends = np.cumsum(n)
-                ids = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), ids)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 k = len(n)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -92,6 +92,35 @@ def test_texts_that_spell_special_tokens_out(name):
             assert np.frombuffer(enc.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+def together(enc, texts, end=(2).to_bytes(4, "little")):
+    ids, n = enc.encode_all(texts, end)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_texts_encoded_together_agree_with_the_tokenizer():
+    enc, own, r = tokens.Encoder(TOKENIZER), library(), random.Random(2)
+    parts = ["a", "Word", "été", "ñandú", "слово", "Ωmega", "中文", "ªº", "µ", "x1", "7", "don't", "it's,", "'s", "", "", "\n", "end.\nNext", "a\n\nb", "\t", "x\xa0", "|", "so---",
+             "a.b", "no!?,", "q,***", "a!!!!!", "<|endoftext|>", "<", "e\u0301,", "\u0130", "\u0345.", "\U0001f600", "l" * 50, "l" * 50 + ",", "_", "^^", "[x]", "\x1f", "\0"]
+    texts = ["", " ", "  ", "a", " a", "a ", "word, word. word"] + [" ".join(r.choice(parts[:: r.randint(1, 3)]) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    want = [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for enc.whole_bytes in (True, False):
+        for size in (1, 50, 4000):
+            assert [x for at in range(0, len(texts), size) for x in together(enc, texts[at : at + size])] == want
+        enc.words.clear()
+    other, own = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    assert together(other, texts[:200]) == [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts[:200]]
+
+
+def test_different_words_are_looked_up_once(monkeypatch):
+    enc, looked, missing = tokens.Encoder(TOKENIZER), [], tokens.Words.__missing__
+    monkeypatch.setattr(tokens.Words, "__missing__", lambda self, word: (looked.append(word), missing(self, word))[1])
+    monkeypatch.setattr(tokens, "LIMIT", 20)
+    words = [f"{a}{b}{m}" for a in "abcde" for b in "vwxyz" for m in ("", ",", ".", "###")]
+    texts = [" ".join(["The", *words * 20])] * 10
+    assert together(enc, texts) == [[*library().encode(texts[0], add_special_tokens=False).ids, 2]] * 10
+    assert looked == ["The"] and len(enc.words) <= 25
+
+
 def test_token_files(spark, docs):
     written = tokens.encode_table(docs, TOKENIZER, 2)
     found = tokens.token_digest(written).collect()
