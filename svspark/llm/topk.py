@@ -186,21 +186,24 @@ def best_of_block(lists: SortedLists, query: np.ndarray, own: np.ndarray, k: int
     if halt is None:  # all scores are 0
         return np.flatnonzero(can), reader.sum[can], reader.read
     reader.down_to(halt)
-    bounds = np.sort if reader.kind is object else lambda x: np.partition(x, len(x) - most)
     first, most = can, max(FIRST, 4 * k)
     if can.sum() > most:
         high = reader.greatest()
-        first = can & (high >= bounds(high[can])[-most]).astype(bool)
+        some = high[can]
+        least = np.sort(some)[-most] if reader.kind is object else np.partition(some, len(some) - most)[len(some) - most]
+        first = can & (high >= least).astype(bool)
     reader.to_the_end(first)
     scores = reader.greatest()
     if first.sum() < can.sum():
         bar = np.sort(scores[first])[-k]
         # ties at the bar stay in, also those by the limits of a long: the smaller id wins them later
-        can &= (scores >= (-np.inf if bar <= LONG.min else min(bar, LONG.max))).astype(bool)
-        if (can & ~first).any():
-            reader.to_the_end(can & ~first)
+        bar = -np.inf if bar <= LONG.min else min(bar, LONG.max)
+        can &= (scores >= bar).astype(bool)
+        rest = can & ~first
+        if rest.any():
+            reader.to_the_end(rest)
             scores = reader.greatest()
-            can &= (scores >= (-np.inf if bar <= LONG.min else min(bar, LONG.max))).astype(bool)
+            can &= (scores >= bar).astype(bool)
     rows = np.flatnonzero(can)
     return rows, scores[rows], reader.read
 
