@@ -26,15 +26,25 @@ from .common import shared_dir
 GAP = re.compile(r"\s ")
 SPACES = re.compile(r"\s\s|^\s|\s$")
 CUT = re.compile(r"(?<=\S)(?= )")
+#: What Python takes for white space; Arrow's own class has less.
+SPACE = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "]"
 
 #: Bytes of texts that are encoded together, besides the last of them.
 TOGETHER = 2 << 20
-#: Words remembered at a time, in each of two tables, and their greatest length.
-LIMIT, LONGEST = 1_000_000, 40
+#: Words after which the table of those after a space starts anew (the other one: a third), and the greatest length of a word.
+LIMIT, LONGEST = 300_000, 40
+#: New words that the model gets at once; it holds about a kilobyte for each of them meanwhile.
+AT_ONCE = 4096
 #: Below this code point every library agrees on what a letter is.
 LETTERS = "\u0530"
 #: A word of such letters and some marks, which are a piece of their own; no apostrophe, which may belong to letters.
-MARKED = r"^(?P<word>[" + "".join(chr(c) for c in range(ord(LETTERS)) if chr(c).isalpha()) + r"]+)(?P<marks>[!-&(-/:-@\[-`{-~]{1,4})$"
+MARKED = r"^(?P<word>[L]+)(?P<marks>[M]{1,4})$"
+#: Two words of letters, with marks or without, and a line feed between them, which is a piece of its own too.
+FED = r"^(?P<word>[L]+)(?P<marks>[M]{0,4})\n(?P<next>[L]+)(?P<last>[M]{0,4})$"
+MARKED, FED = (
+    x.replace("[L]", "[" + "".join(chr(c) for c in range(ord(LETTERS)) if chr(c).isalpha()) + "]").replace("[M]", r"[!-&(-/:-@\[-`{-~]")
+    for x in (MARKED, FED)
+)
 
 SCHEMA = "doc_id long, shard int, seq long, shard_start long, n_tokens int, tokens array<int>"
 
@@ -53,31 +63,44 @@ def byte_level(file: dict) -> bool:
     )
 
 
+def of_letters(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) < LETTERS)
+
+
 class Words(dict):
     """Word -> the ids of ``before`` + word as bytes; what isn't known yet is encoded.
 
-    Only short words are remembered, so that ``LIMIT`` of them, and those of texts encoded together, is a bound in bytes too (about 240 MB).
+    A full table becomes ``older``, and of an older one those words stay that come again meanwhile. Only short words
+    are remembered, so that twice the limit, and those of texts encoded together, is a bound in bytes too.
     """
 
     def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.older = encoder, before, {}
+
+    def keep(self, words: list[str], ids: list[bytes]) -> None:
+        if words and max(map(len, words)) > LONGEST:
+            short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
+            words, ids = [words[i] for i in short], [ids[i] for i in short]
+        self.update(zip(words, ids, strict=True))
+        if len(self) >= (LIMIT if self.before else LIMIT // 3):
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha() and max(word) < LETTERS:
+        if word in self.older:
+            ids = self.older[word]
+        elif of_letters(word):
             ids = self.encoder.model_ids(self.before + word)
         elif word[:-1].isalpha() and word[-1] in ",.:;!?":
             return self[word[:-1]] + self.encoder.mark(word[-1])  # not kept: both parts are
         elif "\n" in word and not SPACES.search(word):
-            # a single line feed between two words is a piece of its own
+            # a single line feed between two words is a piece of its own; not kept either
             head, *lines = word.split("\n")
             feed, bare = self.encoder.mark("\n"), self.encoder.bare
             return self[head] + b"".join([x for line in lines for x in (feed, bare[line])])
         else:
             ids = self.encoder.whole(self.before + word)
-        if len(word) <= LONGEST:
-            if len(self) >= LIMIT:
-                self.clear()
-            self[word] = ids
+        self.keep([word], [ids])
         return ids
 
 
@@ -139,29 +162,34 @@ class Encoder:
             head, *rest = text.split(" ")
         return self.bare[head] + b"".join(map(self.words.__getitem__, rest))
 
-    def words_of_letters(self, words: list[str]) -> list[bytes]:
-        """The ids of a space and each of ``words``, which are of letters alone."""
-        shown = "\n ".join(["", *words]).encode().decode("latin-1").translate(self.table).split(chr(self.table[10]))[1:]
+    def words_of_letters(self, before: str, words: list[str]) -> list[bytes]:
+        """The ids of ``before`` and each of ``words``, which are of letters alone."""
+        shown = f"\n{before}".join(["", *words]).encode().decode("latin-1").translate(self.table).split(chr(self.table[10]))[1:]
         found = self.many.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0].ids
         ids = np.array(found, dtype="<u4")
         ends = np.searchsorted(np.cumsum(self.token_sizes[ids]), np.cumsum(list(map(len, shown)))) + 1
         coded, at = ids.tobytes(), 0
         return [coded[at : (at := end)] for end in (4 * ends).tolist()]
 
-    def after_space(self, words: list[str]) -> list[bytes]:
-        """The ids of a space and each of ``words``, none of which comes twice."""
-        known = self.words
+    def look_up(self, known: Words, words: list[str]) -> list[bytes]:
+        """The ids that ``known`` has or gets for each of ``words``, none of which comes twice."""
         coded = list(map(known.get, words))
         new = [i for i, x in enumerate(coded) if x is None]
-        letters = [i for i in new if words[i].isalpha() and max(words[i]) < LETTERS] if self.whole_bytes else []
-        if letters:
-            some = [words[i] for i in letters]
-            for i, ids in zip(letters, self.words_of_letters(some), strict=True):
-                coded[i] = ids
-                if len(words[i]) <= LONGEST:
-                    known[words[i]] = ids
-            if len(known) >= LIMIT:
-                known.clear()
+        if known.older:
+            found = list(map(known.older.get, [words[i] for i in new]))
+            again = [i for i, x in zip(new, found, strict=True) if x is not None]
+            for i, x in zip(new, found, strict=True):
+                coded[i] = x
+            new = [i for i in new if coded[i] is None]
+            known.keep([words[i] for i in again], [coded[i] for i in again])
+        letters = [i for i in new if of_letters(words[i])] if self.whole_bytes else []
+        for at in range(0, len(letters), AT_ONCE):
+            here = letters[at : at + AT_ONCE]
+            some = [words[i] for i in here]
+            ids = self.words_of_letters(known.before, some)
+            known.keep(some, ids)
+            for i, x in zip(here, ids, strict=True):
+                coded[i] = x
         for i in new:
             if coded[i] is None:
                 coded[i] = known[words[i]]
@@ -172,19 +200,33 @@ class Encoder:
 
         Every different word of the texts is looked up once, and ids are gathered by the words' numbers.
         """
-        alone = [not self.plain or bool(self.spelled(t) or GAP.search(t)) for t in texts]
+        gaps = pc.match_substring_regex(pa.array(texts, pa.string()), GAP.pattern.replace(r"\s", SPACE)).to_pylist()
+        alone = [not self.plain or gap or bool(self.spelled(t)) for t, gap in zip(texts, gaps, strict=True)]
         split = pc.split_pattern(pa.array(["" if x else t for t, x in zip(texts, alone, strict=True)], pa.string()), " ")
         starts = split.offsets.to_numpy()[:-1]
         # first words have no space before them; a text that is encoded alone is a single piece, and so is what ends texts
         first = [self.encode(t) if x else self.bare[t.partition(" ")[0]] for t, x in zip(texts, alone, strict=True)]
         found = split.values.dictionary_encode()
         parted = pc.extract_regex(found.dictionary, MARKED)
-        words = pc.coalesce(pc.struct_field(parted, "word"), found.dictionary).dictionary_encode()
-        marks = pc.fill_null(pc.struct_field(parted, "marks"), "").dictionary_encode()
-        coded = self.after_space(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-        both = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(coded)], axis=1)
-        known, sizes = gather([*coded, *map(self.mark, marks.dictionary.to_pylist())], both.ravel())
-        coded, ends = known.tobytes(), 4 * np.cumsum(sizes.reshape(-1, 2).sum(axis=1))
+        of = {"word": pc.coalesce(pc.struct_field(parted, "word"), found.dictionary), "marks": pc.fill_null(pc.struct_field(parted, "marks"), "")}
+        at = np.flatnonzero(pc.match_substring(found.dictionary, "\n").to_numpy(zero_copy_only=False))
+        parted = pc.extract_regex(found.dictionary.take(pa.array(at)), FED)
+        at, parted = at[parted.is_valid().to_numpy(zero_copy_only=False)], parted.drop_null()
+        fed = np.zeros(len(found.dictionary), dtype=bool)
+        fed[at] = True
+        for name in ("word", "marks"):
+            of[name] = pc.replace_with_mask(of[name], pa.array(fed), pc.struct_field(parted, name))
+        # columns of a word, its marks, and for some a line feed, another word and its marks; the first of ``coded`` is nothing
+        coded, columns = [b"", self.mark("\n")], np.zeros((len(fed), 5), dtype=np.int64)
+        columns[at, 2] = 1
+        for to, name, rows in ((0, "word", slice(None)), (1, "marks", slice(None)), (3, "next", at), (4, "last", at)):
+            parts = (of[name] if name in of else pc.struct_field(parted, name)).dictionary_encode()
+            columns[rows, to] = parts.indices.to_numpy() + len(coded)
+            some = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+            known = {"word": self.words, "next": self.bare}.get(name)
+            coded += map(self.mark, some) if known is None else self.look_up(known, some)
+        known, sizes = gather(coded, columns.ravel())
+        coded, ends = known.tobytes(), 4 * np.cumsum(sizes.reshape(-1, 5).sum(axis=1))
         n = len(ends)
         pieces = np.array(found.indices)
         pieces[starts] = np.arange(n, n + len(first), dtype=pieces.dtype)

@@ -5,8 +5,11 @@ text, ties, repeated rows and extra columns whose names clash with names that op
 """
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -121,6 +124,34 @@ def test_different_words_are_looked_up_once(monkeypatch):
     assert looked == ["The"] and len(enc.words) <= 25
 
 
+def test_words_that_leave_the_tables_and_come_again(monkeypatch):
+    monkeypatch.setattr(tokens, "LIMIT", 12)
+    monkeypatch.setattr(tokens, "AT_ONCE", 3)
+    enc, own, r = tokens.Encoder(TOKENIZER), library(), random.Random(3)
+    parts = ["no.\nThe", "a\nb", "x,\n", "\nA", "été!\nÑu??", "word\n-x", "a\n\nb", "l" * 50 + "\n" + "m" * 50, "a.\nb.\nc", "it's\nso", "so,\nit's", "слово.\nOn", "a\r\nb", "a!!!!!\nb", "a\nb!!!!!",
+             "1\nb", "a\n1", "a\u3000", "b\x1c", "c\x85", "d\u2009", "e\u200b", "\ufeff"] + ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(30)]
+    for _ in range(300):
+        texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 6))]
+        assert together(enc, texts) == [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert enc.words.older and enc.bare.older
+
+
+def test_memory_stays_bounded_on_a_million_different_words():
+    run = """
+import itertools, resource, public_tokenizers
+from svspark.llm import tokens
+
+enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+enc.encode_all(["some words"], b"\\2\\0\\0\\0")
+before, words = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, map("".join, itertools.product("etaoinsh", repeat=7))
+for _ in range(10):
+    enc.encode_all([" ".join(itertools.islice(words, 1000)) for _ in range(130)], b"\\2\\0\\0\\0")
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    done = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, timeout=300, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, sys.path))})
+    assert int(done.stdout) < 195_000
+
+
 def test_token_files(spark, docs):
     written = tokens.encode_table(docs, TOKENIZER, 2)
     found = tokens.token_digest(written).collect()
