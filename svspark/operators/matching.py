@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import edit_similarity, overlap_over_greatest, overlap_over_least, size_similarity
+from ..functions.edits import edits
+from ..functions.scalars import overlap_over_greatest, overlap_over_least, size_similarity
 from ..lineage import settled
 from .intervals import fold_islands, islands, overlap_pairs
 
@@ -188,15 +193,34 @@ def somatic(tumor: DataFrame, normal: DataFrame, on: list[str]) -> DataFrame:
     return tumor.join(pairs.select("cid").distinct(), "cid", "left_anti")
 
 
+@F.pandas_udf(T.LongType())
+def _edits(left: pd.Series, right: pd.Series) -> pd.Series:
+    out = pd.Series(np.nan, index=left.index, dtype="Int64")
+    known = (left.notna() & right.notna()).to_numpy()
+    out[known] = edits(list(zip(left[known], right[known], strict=True)))
+    return out
+
+
+def with_texts(pairs: DataFrame, rows: DataFrame, keys: dict[str, str], text: str, name: str) -> DataFrame:
+    """``pairs`` with the text of the row that they name in ``name``; ``keys``: columns of ``pairs`` and those of ``rows``.
+
+    Texts that no pair asks for are left out before they are dealt anywhere. Of several such rows each gives a pair.
+    """
+    same = lambda x, y: reduce(lambda p, q: p & q, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(x, y, strict=True)])
+    names, asked, own = list(keys.values()), [f"_w{i}" for i in range(len(keys))], [f"_t{i}" for i in range(len(keys))]
+    wanted = pairs.select(*[F.col(c).alias(w) for c, w in zip(keys, asked, strict=True)]).distinct()
+    found = rows.join(wanted, same(asked, names), "left_semi").select(*[F.col(c).alias(t) for c, t in zip(names, own, strict=True)], F.col(text).alias(name))
+    return pairs.join(found, same(keys, own)).drop(*own)
+
+
 def compared(pairs: DataFrame, ids: list[str], left: str, right: str, name: str, *others: Column | str) -> DataFrame:
     """``ids`` and ``others`` of ``pairs`` with the edit similarity of two texts in ``name``, written without the texts.
 
-    A pair is little to read and much to compute: pairs are dealt out evenly to as many tasks as a shuffle
-    has, which adaptive execution would merge by their bytes, and a filter that follows doesn't compare again.
+    The same as ``edit_similarity`` (upper-cased), worked out for many pairs at once.
     """
-    spark = pairs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return settled(pairs.select(*ids, left, right, *others).repartition(parts, *ids).withColumn(name, edit_similarity(left, right)).drop(left, right))
+    a, b = F.upper(left), F.upper(right)
+    total = F.length(a) + F.length(b)
+    return settled(pairs.select(*ids, F.try_divide(total - _edits(a, b), total).alias(name), *others))
 
 
 def match_links(calls: DataFrame, on: list[str], radius: int, similarity: float, sequence: float | None = None, overlap: float | None = None) -> DataFrame:
@@ -204,13 +228,18 @@ def match_links(calls: DataFrame, on: list[str], radius: int, similarity: float,
 
     ``overlap``: the least share of the longer one that both have; at 0 they overlap or touch.
     """
-    other = calls.select(*on, *[F.col(c).alias("o_" + c) for c in calls.columns if c not in on])
-    pairs = within(calls, other, on, "pos", "o_pos", radius).where("cid < o_cid")
+    slim = calls.select(*on, "cid", "pos", "svlen")
+    other = slim.select(*on, *[F.col(c).alias("o_" + c) for c in ("cid", "pos", "svlen")])
+    pairs = within(slim, other, on, "pos", "o_pos", radius).where("cid < o_cid")
     pairs = pairs.where(size_similarity("svlen", "o_svlen") >= similarity)
     if overlap is not None:
         common = F.least(F.col("pos") + F.col("svlen"), F.col("o_pos") + F.col("o_svlen")) - F.greatest("pos", "o_pos")
         pairs = pairs.where(common >= overlap * F.greatest("svlen", "o_svlen"))
     if sequence is not None:
+        own, mate = [*on, "cid", "pos", "svlen"], [*on, "o_cid", "o_pos", "o_svlen"]
+        pairs = settled(pairs.select(*own, *mate[len(on) :]).distinct())
+        pairs = with_texts(pairs, calls, dict(zip(own, own, strict=True)), "seq", "seq")
+        pairs = with_texts(pairs, calls, dict(zip(mate, own, strict=True)), "seq", "o_seq")
         pairs = compared(pairs, ["cid", "o_cid"], "seq", "o_seq", "_s").where(F.col("_s") >= sequence)
     return pairs.select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
 
@@ -287,12 +316,23 @@ def alike_calls(
     ``least`` and a benchmark row of under ``least_right`` bases take no part. The score is the mean of the likeness
     in sequence and size and of the reciprocal overlap. Null or empty sequences on both sides are like nothing.
     """
-    a = left.where(F.col("end") - F.col("start") >= least)
-    b = right.where(F.col("b_end") - F.col("b_start") >= least_right)
-    near = within(a, b, on, "start", "b_start", distance).withColumn("_z", size_similarity(F.col("end") - F.col("start"), F.col("b_end") - F.col("b_start")))
-    near = near.where((F.col("_z") >= size) & (overlap_over_least("start", "end", "b_start", "b_end") >= overlap))
+    a = left.where(F.col("end") - F.col("start") >= least).select(*on, "cid", "start", "end")
+    b = right.where(F.col("b_end") - F.col("b_start") >= least_right).select(*on, "bid", "b_start", "b_end")
+    return _alike(a, b, left, right, on, distance, size, overlap, sequence)
+
+
+def _alike(
+    a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame, on: list[str], distance: int = 500, size: float = 0.5, overlap: float = 0.01, sequence: float = 0.5
+) -> DataFrame:
+    """Pairs of ``a`` and ``b``, places that take part, by the sequences that ``left`` and ``right`` have for them."""
+    own, mate = [*on, "cid", "start", "end"], [*on, "bid", "b_start", "b_end"]
+    z = size_similarity(F.col("end") - F.col("start"), F.col("b_end") - F.col("b_start"))
+    near = within(a, b, on, "start", "b_start", distance).where((z >= size) & (overlap_over_least("start", "end", "b_start", "b_end") >= overlap))
+    near = settled(near.select(*own, *mate[len(on) :]).distinct())
+    near = with_texts(near, left, dict(zip(own, own, strict=True)), "seq", "seq")
+    near = with_texts(near, right, dict(zip(mate, mate, strict=True)), "b_seq", "b_seq")
     overlapped = overlap_over_greatest("start", "end", "b_start", "b_end").alias("_o")
-    near = compared(near, ["cid", "bid"], "seq", "b_seq", "_s", "_z", overlapped).where(F.col("_s") >= sequence)
+    near = compared(near, ["cid", "bid"], "seq", "b_seq", "_s", z.alias("_z"), overlapped).where(F.col("_s") >= sequence)
     return near.select("cid", "bid", ((F.col("_s") + F.col("_z") + F.col("_o")) / 3).alias("score"))
 
 
@@ -322,16 +362,18 @@ def benchmark(calls: DataFrame, truth: DataFrame, on: list[str], regions: DataFr
     that don't lie in one of them whole take no part. Partners are chosen one to one. Truth rows without a mate are false
     negatives, calls without one false positives; calls under ``least`` and truth rows under ``least_truth`` bases aren't listed.
     """
-    a = settled(calls.where(F.col("end") - F.col("start") >= least))
-    b = settled(truth.where(F.col("b_end") - F.col("b_start") >= least_truth))
+    a = calls.where(F.col("end") - F.col("start") >= least).select(*on, "cid", "start", "end")
+    b = truth.where(F.col("b_end") - F.col("b_start") >= least_truth).select(*on, "bid", "b_start", "b_end")
     if regions is not None:
         places = regions.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-        for side, (rows, key, s, e) in enumerate([(a, "cid", "start", "end"), (b, "bid", "b_start", "b_end")]):
-            pairs = overlap_pairs(rows.select("chrom", key, s, e), places, ["chrom"], F.col(s), F.col(e), F.col("r_start"), F.col("r_end"), levels=LEVELS)
-            inside = pairs.where((F.col("r_start") <= F.col(s)) & (F.col(e) <= F.col("r_end"))).select(key).distinct()
-            rows = settled(rows.join(inside, key, "left_semi"))
-            a, b = (rows, b) if side == 0 else (a, rows)
-    mates = one_to_one(alike_calls(a, b, on, least=least, least_right=least_truth, **bars))
+
+        def inside(rows: DataFrame, key: str, s: str, e: str) -> DataFrame:
+            pairs = overlap_pairs(rows.where(F.col(key).isNotNull()), places, ["chrom"], F.col(s), F.col(e), F.col("r_start"), F.col("r_end"), levels=LEVELS)
+            return pairs.where((F.col("r_start") <= F.col(s)) & (F.col(e) <= F.col("r_end"))).select(*rows.columns).distinct()
+
+        a, b = inside(a, "cid", "start", "end"), inside(b, "bid", "b_start", "b_end")
+    a, b = settled(a), settled(b)
+    mates = one_to_one(_alike(a, b, calls, truth, on, **bars))
     found = lambda rows, key, other, side: rows.select(key).distinct().join(mates, key, "left").select(
         F.lit(side).alias("side"), F.col(key).alias("id"), F.col(other).alias("mate"), "score"
     )

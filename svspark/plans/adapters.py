@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,11 +84,19 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("pos", *[c.strip() for c in POINTS.strip().split(";\n")])
 
 
+#: What a letter becomes, and all bytes that go.
+BASES = bytes.maketrans(string.ascii_lowercase.encode(), ("ACGT" * 7)[:26].encode())
+OTHERS = bytes(b for b in range(256) if chr(b) not in string.ascii_lowercase)
+
+
+@F.pandas_udf(T.StringType())
+def _bases(text: pd.Series) -> pd.Series:
+    return pd.Series(["" if t is None else t.lower().encode().translate(BASES, OTHERS).decode() for t in text], dtype=object)
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of documents recoded to bases: (sid, seq)."""
-    letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
-    bases = F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), bases.alias("seq"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), _bases("text").alias("seq"))
 
 
 def _sql(columns: str, source: str) -> str:

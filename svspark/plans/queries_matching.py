@@ -402,9 +402,8 @@ def told(spark, d):
 
 def links(spark, d):
     """Links by type: deletions within 3000, of a tenth of each other's size and overlapping or touching, insertions within 500, half and alike."""
-    c = settled(told(spark, d))
-    found = M.match_links(c.where("svtype = 'DEL'").drop("seq"), ON, 3000, 0.1, overlap=0)
-    return found.unionByName(M.match_links(c.where("svtype = 'INS'"), ON, 500, 0.5, 0.5))
+    found = M.match_links(calls(spark, d).where("svtype = 'DEL'"), ON, 3000, 0.1, overlap=0)
+    return found.unionByName(M.match_links(told(spark, d).where("svtype = 'INS'"), ON, 500, 0.5, 0.5))
 
 
 @query("J18_match_links", sql(CALLS + LINKS + "SELECT a, b FROM links", "sigs", "seqs"))
@@ -464,7 +463,7 @@ def benchmark_rows(spark, d):
 )
 def alike_calls(spark, d):
     """Benchmark matches that are alike in sequence too; repeats of unlike bases fail."""
-    return M.alike_calls(settled(spelled(spark, d, "R")), settled(benchmark_rows(spark, d)), ON).withColumn("score", F.round("score", 6))
+    return M.alike_calls(spelled(spark, d, "R"), benchmark_rows(spark, d), ON).withColumn("score", F.round("score", 6))
 
 
 @query("J12_benchmark")
@@ -510,8 +509,8 @@ def shared_read_names(spark, d):
     sql(CALLS + LINKS + "SELECT a, b, round(score, 6) AS score FROM scored WHERE score IS NOT NULL", "sigs", "seqs"),
 )
 def sequence_links(spark, d):
-    c = settled(told(spark, d).where("svtype = 'INS'"))
-    pairs = M.match_links(c, ON, 500, 0.5)
-    one, two = c.select(F.col("cid").alias("a"), "seq"), c.select(F.col("cid").alias("b"), F.col("seq").alias("o"))
-    scored = M.compared(pairs.join(one, "a").join(two, "b"), ["a", "b"], "seq", "o", "score")
+    c = told(spark, d).where("svtype = 'INS'")
+    pairs = settled(M.match_links(c, ON, 500, 0.5))
+    pairs = M.with_texts(M.with_texts(pairs, c, {"a": "cid"}, "seq", "seq"), c, {"b": "cid"}, "seq", "o")
+    scored = M.compared(pairs, ["a", "b"], "seq", "o", "score")
     return scored.where("score is not null").withColumn("score", F.round("score", 6))
