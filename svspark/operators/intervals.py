@@ -129,8 +129,12 @@ def fold_islands(parted: DataFrame, keys: list[str], order: list[str], columns:
 WIDER = 64
 
 
-def _level_bins(low: str, high: str, width: int, levels: int) -> tuple[Column, Column]:
-    """The level of an interval by its length, and its (level, bin)s there and on all coarser levels."""
+def _level_bins(low: str, high: str, width: int, levels: int, left: bool) -> Column:
+    """The (level, bin)s of an interval on the level that its length asks for and on all coarser ones.
+
+    With each comes whom it meets there, so that no two meet above their own levels: in 0 a left one on its own level
+    meets the right ones of that level and of finer ones, in 1 a left one of a finer level those on their own.
+    """
     own = F.lit(levels - 1)
     for level in reversed(range(levels - 1)):
         own = F.when(F.col(high) - F.col(low) < WIDER * width * WIDER**level, level).otherwise(own)
@@ -138,10 +142,11 @@ def _level_bins(low: str, high: str, width: int, levels: int) -> tuple[Column, C
     def bins(level: int) -> Column:
         wide = width * WIDER**level
         numbers = F.sequence(F.floor(F.col(low) / wide), F.floor(F.col(high) / wide))
-        found = F.transform(numbers, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
-        return F.when(own <= level, found).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
+        found = lambda side: F.transform(numbers, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), F.lit(side).alias("side")))
+        at, above = (found(0), found(1)) if left else (F.concat(found(0), found(1)), found(0))
+        return F.when(own == level, at).when(own < level, above).otherwise(F.array().cast("array<struct<level:int,bin:bigint,side:int>>"))
 
-    return own, F.concat(*[bins(level) for level in range(levels)])
+    return F.concat(*[bins(level) for level in range(levels)])
 
 
 def overlap_pairs(
@@ -154,7 +159,7 @@ def overlap_pairs(
     the two sides must have different names. Intervals with nulls or end < start meet nothing.
 
     With more ``levels`` an interval has the bins of the level that its length asks for and of all
-    coarser ones, and a pair meets on the coarser of its two levels. A few rows more for short
+    coarser ones, and a pair meets on the coarser of its two levels alone. A few rows more for short
     intervals, but 64 bins and not length / ``width`` for long ones.
     """
     a = left.withColumn("_ls", ls).withColumn("_le", le).where("_ls <= _le")
@@ -165,12 +170,11 @@ def overlap_pairs(
         b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_rs") / width), F.floor(F.col("_re") / width))))
         pairs = a.join(b, [*on, "_bin"]).where(F.floor(start / width) == F.col("_bin"))
     else:
-        one, bins = _level_bins("_ls", "_le", width, levels)
-        two, others = _level_bins("_rs", "_re", width, levels)
-        a = a.withColumn("_one", one).withColumn("_b", F.explode(bins)).withColumns({"_level": F.col("_b.level"), "_bin": F.col("_b.bin")}).drop("_b")
-        b = b.withColumn("_two", two).withColumn("_b", F.explode(others)).withColumns({"_level": F.col("_b.level"), "_bin": F.col("_b.bin")}).drop("_b")
+        key = ["_level", "_bin", "_side"]
+        dealt = lambda rows, bins: rows.withColumn("_b", F.explode(bins)).withColumns({k: F.col("_b." + k.strip("_")) for k in key}).drop("_b")
+        a, b = dealt(a, _level_bins("_ls", "_le", width, levels, True)), dealt(b, _level_bins("_rs", "_re", width, levels, False))
         wide = F.lit(width) * F.pow(F.lit(WIDER), F.col("_level")).cast("long")
-        pairs = a.join(b, [*on, "_level", "_bin"]).where((F.greatest("_one", "_two") == F.col("_level")) & (F.floor(start / wide) == F.col("_bin"))).drop("_one", "_two", "_level")
+        pairs = a.join(b, [*on, *key]).where(F.floor(start / wide) == F.col("_bin")).drop("_level", "_side")
     return pairs.where((F.col("_ls") <= F.col("_re")) & (F.col("_rs") <= F.col("_le"))).drop("_bin", "_ls", "_le", "_rs", "_re")
 
 
