@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.edits import edits
 from ..lineage import settled
 from ..sources.reference import BLOCK, with_slices
 from .intervals import islands
@@ -77,6 +78,22 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     return most + 1
 
 
+#: Up to this length texts are compared many at a time; of longer ones the diagonals alone are followed.
+LONG = 2048
+
+
+def edit_distances(pairs: list[tuple[bytes, bytes]], most: int) -> np.ndarray:
+    """:func:`edit_distance` of many pairs; short ones go by bits, whatever their number of edits."""
+    found = np.full(len(pairs), most + 1)
+    near = [i for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= most]
+    short = [i for i in near if max(map(len, pairs[i])) <= LONG]
+    found[short] = np.minimum(edits([pairs[i] for i in short]), most + 1)
+    for i in near:
+        if max(map(len, pairs[i])) > LONG:
+            found[i] = edit_distance(*pairs[i], most)
+    return found
+
+
 def altered(kind: str, region: str, start: int, end: int, seq: str | None, copies: int | None, source: str | None) -> bytes:
     """What a candidate makes of ``region``; start and end are places in it."""
     text = region.encode()
@@ -130,7 +147,8 @@ def haplotype_distances(candidates: DataFrame, blocks: DataFrame, most: int = 20
         .when(F.col("svtype") == "INS", F.coalesce(F.length("seq"), F.lit(0))).when(F.col("svtype") == "DUP_INT", F.coalesce(F.col("src_end") - F.col("src_start"), F.lit(0))).otherwise(0)
     )
     rows = candidates.withColumns({"_place": place.cast("long"), "_stop": stop, "_grows": grows.cast("long")})
-    rows = islands(rows, ["svtype", "chrom"], "_place", gap, name="_chain").withColumn("_class", F.floor(F.col("_grows") / (most + 1)))
+    rows = rows.withColumn("seq", F.when(F.col("svtype") == "INS", F.col("seq")))  # no other type's allele has it
+    rows = settled(islands(rows, ["svtype", "chrom"], "_place", gap, name="_chain").withColumn("_class", F.floor(F.col("_grows") / (most + 1))))
     fields = ["cid", "start", "_stop", "seq", "copies", "src_chrom", "src_start", "src_end", "_grows"]
     one = rows.where("hap = 1").select("svtype", "chrom", "_chain", "_class", *[F.col(c).alias(f"a_{c.strip('_')}") for c in fields])
     two = rows.where("hap = 2").select("svtype", "chrom", "_chain", F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)).alias("_class"), *[F.col(c).alias(f"b_{c.strip('_')}") for c in fields])
@@ -138,8 +156,7 @@ def haplotype_distances(candidates: DataFrame, blocks: DataFrame, most: int = 20
     low = F.greatest(F.least("a_start", "b_start") - flank, F.lit(0))
     wanted = {
         "region": (F.col("chrom"), low, F.greatest("a_stop", "b_stop") + flank),
-        "a_source": (F.col("a_src_chrom"), F.col("a_src_start"), F.col("a_src_end")),
-        "b_source": (F.col("b_src_chrom"), F.col("b_src_start"), F.col("b_src_end")),
+        **{f"{s}_source": (F.when(F.col("svtype") == "DUP_INT", F.col(f"{s}_src_chrom")), F.col(f"{s}_src_start"), F.col(f"{s}_src_end")) for s in "ab"},
     }
     pairs = with_slices(pairs.withColumn("low", low), blocks, wanted, block)
     columns = ["svtype", "region", "low", *[f"{s}_{c}" for s in "ab" for c in ("cid", "start", "stop", "seq", "copies", "source")]]
@@ -147,19 +164,18 @@ def haplotype_distances(candidates: DataFrame, blocks: DataFrame, most: int = 20
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text = lambda v: v if isinstance(v, str) else None
         for batch in batches:
-            out = []
+            ids, alleles = list(zip(batch["a_cid"], batch["b_cid"], strict=True)), []
             for r in batch.to_dict("records"):
-                alleles = [
+                alleles.append(tuple(
                     altered(r["svtype"], r["region"] or "", int(r[f"{s}_start"] - r["low"]), int(r[f"{s}_stop"] - r["low"]), text(r[f"{s}_seq"]), 0 if pd.isna(r[f"{s}_copies"]) else int(r[f"{s}_copies"]), text(r[f"{s}_source"]))
                     for s in "ab"
-                ]
-                d = edit_distance(*alleles, most)
-                if d <= most:
-                    out.append((r["a_cid"], r["b_cid"], d))
+                ))
+            found = edit_distances(alleles, most)
+            out = [(*ids[i], found[i]) for i in np.flatnonzero(found <= most)]
             yield pd.DataFrame(out, columns=["a", "b", "d"]).astype({"a": "int64", "b": "int64", "d": "int64"})
 
     known = pairs.where("region is not null").select(*columns)
-    return known.repartition(F.xxhash64("a_cid", "b_cid")).mapInPandas(measure, "a long, b long, d long")
+    return known.mapInPandas(measure, "a long, b long, d long")
 
 
 def _paired(candidates: DataFrame, pairs: DataFrame, place: Column) -> DataFrame:

@@ -68,12 +68,12 @@ def blocks(spark, d):
     ),
 )
 def haplotype_distances(spark, d):
-    return H.haplotype_distances(candidates(spark, d), blocks(spark, d), block=1024)
+    return H.haplotype_distances(settled(candidates(spark, d)), blocks(spark, d), block=1024)
 
 
 @query("A17_paired_haplotypes")
 def paired_haplotypes(spark, d):
-    found = H.pair_haplotypes(settled(candidates(spark, d)), settled(blocks(spark, d)), block=1024)
+    found = H.pair_haplotypes(settled(candidates(spark, d)), blocks(spark, d), block=1024)
     return found.select("cid", "hap", "svtype", "chrom", "start", "end", "other", "gt", "d")
 
 

@@ -5,9 +5,13 @@ No row holds more than a block, whatever the length of a sequence.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import settled
+
 BLOCK = 1 << 16
 
 
@@ -81,24 +85,30 @@ def with_slices(rows: DataFrame, blocks: DataFrame, wanted: dict[str, tuple[Colu
     place or an unknown sequence null. Each stretch is cut once however many rows want it, from the
     blocks that it touches, and joined in order.
     """
+    names = {out: [f"_{out}_{k}" for k in ("name", "start", "end")] for out in wanted}
+    keyed = rows
     for out, (chrom, start, end) in wanted.items():
-        key = [f"_{out}_{k}" for k in ("name", "start", "end")]
         given = start.isNotNull() & end.isNotNull()
         low, high = F.greatest(start.cast("long"), F.lit(0)), F.greatest(end.cast("long"), start.cast("long"), F.lit(0))
-        keyed = rows.withColumns({key[0]: chrom, key[1]: F.when(given, low), key[2]: F.when(given, high)})
-        stretches = keyed.select(*[F.col(k).alias(c) for k, c in zip(key, ("name", "start", "end"), strict=True)]).distinct().where("name is not null and start is not null and end is not null")
-        touched = stretches.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / block))))
-        # the first block comes along even for an empty stretch, to tell it from an unknown sequence
-        low = F.greatest("start", F.col("block") * block)
-        size = F.greatest(F.least("end", (F.col("block") + 1) * block) - low, F.lit(0))
-        part = F.substring("bases", (low - F.col("block") * block + 1).cast("int"), size.cast("int"))
-        cut = touched.join(blocks, ["name", "block"]).select("name", "start", "end", "block", part.alias("part"))
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda p: p["part"]), "")
-        known = blocks.select("name").distinct()
-        found = cut.groupBy("name", "start", "end").agg(text.alias(out))
-        # stretches beyond the last block of a known sequence are empty
-        found = stretches.join(found, ["name", "start", "end"], "left").join(known.withColumn("_known", F.lit(True)), "name", "left").select(
-            *[F.col(c).alias(k) for k, c in zip(key, ("name", "start", "end"), strict=True)], F.coalesce(out, F.when(F.col("_known"), F.lit(""))).alias(out)
-        )
-        rows = keyed.join(found, key, "left").drop(*key)
+        keyed = keyed.withColumns(dict(zip(names[out], (chrom, F.when(given, low), F.when(given, high)), strict=True)))
+    keyed = settled(keyed)  # read for the stretches and again for what they give
+    place = ["name", "start", "end"]
+    stretches = reduce(DataFrame.unionAll, [keyed.select(*[F.col(k).alias(c) for k, c in zip(key, place, strict=True)]) for key in names.values()])
+    stretches = stretches.where("name is not null and start is not null and end is not null").distinct()
+    touched = stretches.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / block))))
+    # the first block comes along even for an empty stretch, to tell it from an unknown sequence
+    low = F.greatest("start", F.col("block") * block)
+    size = F.greatest(F.least("end", (F.col("block") + 1) * block) - low, F.lit(0))
+    part = F.substring("bases", (low - F.col("block") * block + 1).cast("int"), size.cast("int"))
+    cut = touched.join(blocks, ["name", "block"]).select(*place, "block", part.alias("part"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda p: p["part"]), "")
+    known = blocks.select("name").distinct()
+    found = cut.groupBy(*place).agg(text.alias("_text"))
+    # stretches beyond the last block of a known sequence are empty
+    found = stretches.join(found, place, "left").join(known.withColumn("_known", F.lit(True)), "name", "left").select(
+        *place, F.coalesce("_text", F.when(F.col("_known"), F.lit(""))).alias("_text")
+    )
+    found, rows = settled(found), keyed
+    for out, key in names.items():
+        rows = rows.join(found.select(*[F.col(c).alias(k) for k, c in zip(key, place, strict=True)], F.col("_text").alias(out)), key, "left").drop(*key)
     return rows
