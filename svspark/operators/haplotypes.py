@@ -8,10 +8,11 @@ in rounds that take every pair that is the best one of both its members.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edits import edits
@@ -217,6 +218,42 @@ def breakend_distances(candidates: DataFrame, most: int = 900) -> DataFrame:
     return one.join(two, on).select("a", "b", d.cast("long").alias("d")).where(F.col("d") <= most)
 
 
+#: The places of a breakend: what two must share, and where they may differ.
+ENDS = ["chrom", "chrom2", "form"]
+
+
+def match_breakends(candidates: DataFrame, most: int = 900, spare: int = 2_000_000) -> DataFrame:
+    """Pairs (a, b, d) that :func:`match_greedily` takes of :func:`breakend_distances`, without listing all of these.
+
+    The nearest pairs are taken first, so those within a distance are taken before any other counts. Pairs at one place
+    go by their ranks; then the distance widens step by step, each time as far as what is left
+    makes about half as many pairs again as there are rows, or ``spare`` pairs, and what was taken leaves the rest.
+    """
+    left = settled(candidates.where(F.col("hap").isin(1, 2)).select("cid", "hap", *ENDS, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna())
+    place = [*ENDS, "start", "end"]
+    rank = F.row_number().over(Window.partitionBy(*place, "hap").orderBy("cid"))
+    ranked = left.withColumn("_rank", rank).groupBy(*place, "_rank").agg(
+        *[F.max(F.when(F.col("hap") == h, F.col("cid"))).alias(c) for h, c in ((1, "a"), (2, "b"))]
+    )
+    taken = [settled(ranked.where("a is not null and b is not null").select("a", "b", F.lit(0).cast("long").alias("d")))]
+    radius = 0
+    while radius < most:
+        gone = taken[-1].select(F.explode(F.array("a", "b")).alias("cid"))
+        left = settled(left.join(gone, "cid", "left_anti"))
+        wider = sorted({min(most, w) for k in range(1, 12) for w in [max(radius + 1, radius * k // 4 + radius)]} | {min(most, max(4, radius) << k) for k in range(1, 10)} | {most})
+        wider = [w for w in wider if w > radius]
+        # twice the pairs in one bin of each width is about how many there are within it
+        bins = left.select("hap", *ENDS, "start", "end", F.explode(F.array(*[F.lit(w) for w in wider])).alias("_w"))
+        bins = bins.groupBy("_w", *ENDS, F.floor(F.col("start") / (F.col("_w") + 1)).alias("_x"), F.floor(F.col("end") / (F.col("_w") + 1)).alias("_y")).agg(*[F.sum((F.col("hap") == h).cast("double")).alias(f"_n{h}") for h in (1, 2)])
+        counts = bins.groupBy("_w").agg(F.sum(2 * F.col("_n1") * F.col("_n2")).alias("pairs"), F.sum(F.col("_n1") + F.col("_n2")).alias("rows")).collect()
+        if not counts:
+            break
+        fits = [r["_w"] for r in counts if r["pairs"] <= max(spare, 1.5 * r["rows"])]
+        radius = max(fits, default=min(wider))
+        taken.append(settled(match_greedily(breakend_distances(left, radius))))
+    return reduce(DataFrame.unionByName, taken)
+
+
 def pair_breakends(candidates: DataFrame, most: int = 900) -> DataFrame:
     """Breakends of both haplotypes as calls: as :func:`pair_haplotypes`, by (d1 + d2) / 3000 <= 0.3."""
-    return _paired(candidates, match_greedily(breakend_distances(candidates, most)), F.col("start"))
+    return _paired(candidates, match_breakends(candidates, most), F.col("start"))

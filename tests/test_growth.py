@@ -37,3 +37,15 @@ def test_targets_meet_pairs_and_not_segments(spark):
     assert time.time() - began < 60
     assert sorted(r["tid"] for r in found) == list(range(8000))
     assert {tuple(r)[1:] for r in found} == {("chr1", 1405, 2802, 2)}
+
+
+def test_breakends_are_matched_without_all_pairs(spark):
+    """The greedy choice over all pairs, in steps as narrow as they get and in one."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice([1, 1, 2]), "chr1", rng.randrange(300), "chr2", rng.choice([5, 5, 40, rng.randrange(300)]), rng.choice(["x", "y"])) for i in range(250)]
+    rows += [(900, 1, "chr1", 5000, "chr2", 5000, "x"), (901, 2, "chr1", 5400, "chr2", 5500, "x"), (902, 2, "chr1", 5000, "chr2", 5901, "x"), (903, 1, None, 5400, "chr2", 5500, "x")]
+    df = spark.createDataFrame(rows, "cid long, hap int, chrom string, start long, chrom2 string, end long, form string")
+    want = {tuple(r) for r in H.match_greedily(H.breakend_distances(df, 900)).collect()}
+    assert (900, 901, 900) in want
+    for spare in (0, 2_000_000):
+        assert {tuple(r) for r in H.match_breakends(df, 900, spare=spare).collect()} == want
