@@ -49,3 +49,17 @@ def test_breakends_are_matched_without_all_pairs(spark):
     assert (900, 901, 900) in want
     for spare in (0, 2_000_000):
         assert {tuple(r) for r in H.match_breakends(df, 900, spare=spare).collect()} == want
+
+
+def test_first_fit_looks_at_clusters_near_a_row():
+    """30,000 clusters open at a time; each row was held against all of them."""
+    from svspark.operators.clustering import _Fit
+
+    fit = _Fit(10, [])
+    began = time.process_time()
+    assert [fit.add(0, b * 100) for b in range(30_000)] == list(range(30_000))
+    assert [fit.add(5, b * 100 + 10) for b in range(30_000)] == list(range(30_000))
+    assert fit.add(16, 10) == 30_000  # out of reach of all in the first coordinate
+    assert fit.add(16, float("nan")) == 30_001
+    assert fit.add(16, 20) == 30_000
+    assert time.process_time() - began < 10
