@@ -129,12 +129,8 @@ def fold_islands(parted: DataFrame, keys: list[str], order: list[str], columns:
 WIDER = 64
 
 
-def _level_bins(low: str, high: str, width: int, levels: int, left: bool) -> Column:
-    """The (level, bin)s of an interval on the level that its length asks for and on all coarser ones.
-
-    With each comes whom it meets there, so that no two meet above their own levels: in 0 a left one on its own level
-    meets the right ones of that level and of finer ones, in 1 a left one of a finer level those on their own.
-    """
+def _level_bins(low: str, high: str, width: int, levels: int) -> tuple[Column, Column]:
+    """The level of an interval by its length, and its (level, bin)s there and on all coarser levels."""
     own = F.lit(levels - 1)
     for level in reversed(range(levels - 1)):
         own = F.when(F.col(high) - F.col(low) < WIDER * width * WIDER**level, level).otherwise(own)
@@ -142,11 +138,23 @@ def _level_bins(low: str, high: str, width: int, levels: int, left: bool) -> Col
     def bins(level: int) -> Column:
         wide = width * WIDER**level
         numbers = F.sequence(F.floor(F.col(low) / wide), F.floor(F.col(high) / wide))
-        found = lambda side: F.transform(numbers, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), F.lit(side).alias("side")))
-        at, above = (found(0), found(1)) if left else (F.concat(found(0), found(1)), found(0))
-        return F.when(own == level, at).when(own < level, above).otherwise(F.array().cast("array<struct<level:int,bin:bigint,side:int>>"))
+        found = F.transform(numbers, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+        return F.when(own <= level, found).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
+
+    return own, F.concat(*[bins(level) for level in range(levels)])
 
-    return F.concat(*[bins(level) for level in range(levels)])
+
+def _sided_bins(low: str, high: str, width: int, levels: int, left: bool) -> Column:
+    """The (level, bin)s of an interval with whom it meets there, so that no two meet above their own levels.
+
+    On side 0 a left one on its own level meets the right ones of that level and of finer ones, on side 1 a left one of a
+    finer level those on their own.
+    """
+    own, bins = _level_bins(low, high, width, levels)
+    at = lambda b, side: F.struct(b["level"].alias("level"), b["bin"].alias("bin"), F.lit(side).alias("side"))
+    if left:
+        return F.transform(bins, lambda b: F.when(b["level"] == own, at(b, 0)).otherwise(at(b, 1)))
+    return F.flatten(F.transform(bins, lambda b: F.when(b["level"] == own, F.array(at(b, 0), at(b, 1))).otherwise(F.array(at(b, 0)))))
 
 
 def overlap_pairs(
@@ -172,7 +180,7 @@ def overlap_pairs(
     else:
         key = ["_level", "_bin", "_side"]
         dealt = lambda rows, bins: rows.withColumn("_b", F.explode(bins)).withColumns({k: F.col("_b." + k.strip("_")) for k in key}).drop("_b")
-        a, b = dealt(a, _level_bins("_ls", "_le", width, levels, True)), dealt(b, _level_bins("_rs", "_re", width, levels, False))
+        a, b = dealt(a, _sided_bins("_ls", "_le", width, levels, True)), dealt(b, _sided_bins("_rs", "_re", width, levels, False))
         wide = F.lit(width) * F.pow(F.lit(WIDER), F.col("_level")).cast("long")
         pairs = a.join(b, [*on, *key]).where(F.floor(start / wide) == F.col("_bin")).drop("_level", "_side")
     return pairs.where((F.col("_ls") <= F.col("_re")) & (F.col("_rs") <= F.col("_le"))).drop("_bin", "_ls", "_le", "_rs", "_re")

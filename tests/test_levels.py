@@ -20,6 +20,6 @@ def test_pairs_of_all_lengths(spark):
 def test_short_intervals_do_not_meet_on_coarse_levels(spark):
     """2,000 short intervals far from each other meet a few others; on a level above, all met all."""
     df = spark.range(2000).select((F.col("id") * 1000).alias("s"), (F.col("id") * 1000 + 10).alias("e"))
-    a = df.select(F.explode(I._level_bins("s", "e", 500, 3, True)).alias("b"))
-    b = df.select(F.explode(I._level_bins("s", "e", 500, 3, False)).alias("b"))
+    a = df.select(F.explode(I._sided_bins("s", "e", 500, 3, True)).alias("b"))
+    b = df.select(F.explode(I._sided_bins("s", "e", 500, 3, False)).alias("b"))
     assert a.join(b, "b").count() < 5000
